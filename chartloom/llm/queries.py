@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chartloom.llm.encode import encode_corpus
+from chartloom.llm.repeats import repeated_lines, without_repeats
 from chartloom.session import table
 
 
@@ -15,8 +16,18 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that one chart repeats on at least a third of its pages."""
+    return repeated_lines(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "page_content"))
+
+
+def p4_clean_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks without the lines that their chart repeats."""
+    return without_repeats(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "page_content"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids,)}
+    return {f.__name__: f for f in (p4_found, p4_clean_blocks, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
