@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per Spark context, whatever their import path is."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chartloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="chartloom-"), "chartloom"), "zip", os.path.dirname(here), "chartloom")
+    sc.addPyFile(archive)
+    sc._chartloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of the data directory (a file or a directory of parquet files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
