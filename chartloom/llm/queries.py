@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chartloom.llm.encode import encode_corpus
 from chartloom.llm.repeats import repeated_lines, without_repeats
+from chartloom.llm.truncation import truncated_texts, truncation_by_source
 from chartloom.session import table
 
 
@@ -26,8 +27,18 @@ def p4_clean_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "page_content"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncated_texts(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
+
+
+def p8_cut_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return truncation_by_source(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_clean_blocks, p6_ids)}
+    return {f.__name__: f for f in (p4_found, p4_clean_blocks, p6_ids, p8_found, p8_cut_share_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
