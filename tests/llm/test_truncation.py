@@ -31,7 +31,7 @@ def test_cut_texts(spark):
 
 def test_share_per_source(spark):
     got = {r.source: (r.texts, r.cut_texts) for r in truncation_by_source(spark.createDataFrame(rows(), DOCS)).collect()}
-    assert got == {"a": (9, 3), "b": (12, 2), None: (2, 1)}
+    assert got == {"a": (9, 3), "b": (11, 2), None: (2, 1)}
 
 
 def test_empty(spark):
