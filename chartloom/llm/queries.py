@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chartloom.llm.encode import encode_corpus
 from chartloom.llm.repeats import repeated_lines, without_repeats
+from chartloom.llm.scans import repaired_pages, scan_traces
 from chartloom.llm.truncation import truncated_texts, truncation_by_source
 from chartloom.session import table
 
@@ -17,6 +18,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with traces of scanning."""
+    return scan_traces(table(spark, sf_dir, "page_content")).select("document_id", "page_number")
+
+
+def p1_repaired_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as continuous paragraphs."""
+    return repaired_pages(table(spark, sf_dir, "page_content"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that one chart repeats on at least a third of its pages."""
     return repeated_lines(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "page_content"))
@@ -38,7 +49,7 @@ def p8_cut_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_clean_blocks, p6_ids, p8_found, p8_cut_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p4_found, p4_clean_blocks, p6_ids, p8_found, p8_cut_share_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
