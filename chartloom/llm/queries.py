@@ -5,14 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chartloom.llm.encode import encode_corpus
+from chartloom.llm.pii import lexicon_names, pages_with_items, redacted
 from chartloom.llm.repeats import repeated_lines, without_repeats
 from chartloom.llm.scans import repaired_pages, scan_traces
 from chartloom.llm.truncation import truncated_texts, truncation_by_source
 from chartloom.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with personal information, by kind."""
+    return pages_with_items(*(table(spark, sf_dir, t) for t in ("page_content", "text_blocks", "name_lexicon")))
+
+
+def p5_redacted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with placeholders in clean_text."""
+    names = lexicon_names(table(spark, sf_dir, "name_lexicon"))
+    return table(spark, sf_dir, "page_content").select("document_id", "page_number", redacted(F.col("clean_text"), names).alias("redacted"))
+
+
+def p5_redacted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All text blocks with placeholders."""
+    names = lexicon_names(table(spark, sf_dir, "name_lexicon"))
+    return table(spark, sf_dir, "text_blocks").select("document_id", "page_number", "block_id", redacted(F.col("text"), names).alias("redacted"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -49,7 +68,7 @@ def p8_cut_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p4_found, p4_clean_blocks, p6_ids, p8_found, p8_cut_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p4_found, p4_clean_blocks, p5_found, p5_redacted_pages, p5_redacted_blocks, p6_ids, p8_found, p8_cut_share_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
