@@ -11,6 +11,7 @@ from chartloom.llm.encode import encode_corpus
 from chartloom.llm.pii import lexicon_names, pages_with_items, redacted
 from chartloom.llm.repeats import repeated_lines, without_repeats
 from chartloom.llm.scans import repaired_pages, scan_traces
+from chartloom.llm.splitting import split_sections
 from chartloom.llm.truncation import truncated_texts, truncation_by_source
 from chartloom.session import table
 
@@ -47,6 +48,16 @@ def p1_repaired_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_pages(table(spark, sf_dir, "page_content"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section rows whose text had to be split."""
+    return split_sections(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "page_content")).where("piece_no = 2").select("chunk_id")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all oversized sections."""
+    return split_sections(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "page_content"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that one chart repeats on at least a third of its pages."""
     return repeated_lines(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "page_content"))
@@ -68,8 +79,16 @@ def p8_cut_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p4_found, p4_clean_blocks, p5_found, p5_redacted_pages, p5_redacted_blocks, p6_ids, p8_found, p8_cut_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p2_found, p2_pieces, p4_found, p4_clean_blocks, p5_found, p5_redacted_pages, p5_redacted_blocks, p6_ids, p8_found, p8_cut_share_by_source)}
+
+
+#: Length of each section's text, by SQL.
+P2_SQL = """
+WITH pages AS (SELECT document_id, page_number, max(clean_text) AS clean_text FROM page_content WHERE clean_text <> '' GROUP BY 1, 2)
+SELECT c.chunk_id FROM chunks c JOIN pages p ON p.document_id = c.document_id AND p.page_number BETWEEN c.page_start AND c.page_end
+WHERE c.chunk_type = 'section' GROUP BY c.chunk_id HAVING sum(length(p.clean_text)) + count(*) - 1 > 2200
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL}
