@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartloom.llm.repeats import _bounded, _matched, line_key
+from chartloom.llm.repeats import _bounded, _matched, chunk_hashes, line_key
 from chartloom.session import cut
 
 TOKEN = r"[\p{L}\p{N}$†|]*\p{L}[\p{L}\p{N}$†|]*"
@@ -21,7 +21,7 @@ KNOWN_SHARE = 1e-5
 TIMES = 15
 #: Hyphens that only scanning leaves at a line's end.
 SOFT_HYPHENS = "‐¬­"
-BROKEN = r"(\p{L}+)([-‐¬\x{AD}])[ \t]*\r?\n[ \t]*(\p{Ll}[\p{L}$†]*)"
+BROKEN = r"(?<!\p{L})(\p{L}++)([-‐¬\x{AD}])[ \t]*\r?\n[ \t]*(\p{Ll}[\p{L}$†]*)"
 SPACED = r"(?<![\p{L}\p{N}])\p{L}(?: \p{L}){3,}(?![\p{L}\p{N}])"
 STRAY = r"(?m)^[ \t]*[·»¦~`'|†‡\\][ \t]+(?=\S)|(?<=\S)[ \t]+[·»¦~`'|†‡\;.][ \t\r]*$"
 LIGATURES = "[ﬀ-ﬆ]"
@@ -39,14 +39,20 @@ def skeleton(word: Column) -> Column:
     return out
 
 
+#: Few pages break words, so a cheap test guards the expressions that look for broken words.
+HYPHEN_END = r"[-‐¬\x{AD}][ \t]*\r?\n"
+
+
 def _joined(text: Column) -> Column:
     """Text with words that a line end breaks put together."""
-    return F.regexp_replace(text, r"(?<=\p{L})[-‐¬\x{AD}][ \t]*\r?\n[ \t]*(?=\p{Ll})", "")
+    whole = F.regexp_replace(text, r"(?<=\p{L})[-‐¬\x{AD}][ \t]*\r?\n[ \t]*(?=\p{Ll})", "")
+    return F.when(text.rlike(HYPHEN_END), whole).otherwise(text)
 
 
 def _unbroken(text: Column) -> Column:
     """Text without the words that line ends break, so that fragments and false wholes aren't learnt."""
-    return F.regexp_replace(text, r"\p{L}+[-‐¬\x{AD}][ \t]*\r?\n[ \t]*\p{Ll}[\p{L}$†]*", "\n")
+    apart = F.regexp_replace(text, r"(?<!\p{L})\p{L}++[-‐¬\x{AD}][ \t]*\r?\n[ \t]*\p{Ll}[\p{L}$†]*", "\n")
+    return F.when(text.rlike(HYPHEN_END), apart).otherwise(text)
 
 
 def _token_rows(pages: DataFrame, read=None) -> DataFrame:
@@ -123,7 +129,7 @@ def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[D
     """Running lines: per chart an array of keys (its size is bounded by the lines of a page's edges), and keys of many charts."""
     edge = (
         pages.where("document_id is not null and page_number is not null")
-        .select("document_id", "page_number", F.explode(F.array_union(_edges(F.coalesce("text", F.lit(""))), _edges(F.coalesce("clean_text", F.lit(""))))).alias("line"))
+        .select("document_id", "page_number", F.explode(_edges(F.coalesce("text", "clean_text"))).alias("line"))
         .select("document_id", F.pmod("page_number", F.lit(16)).alias("salt"), "page_number", line_key(F.col("line")).alias("key"))
         .where("key <> ''")
     )
@@ -134,7 +140,10 @@ def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[D
     )
     size = pages.groupBy("document_id", F.pmod("page_number", F.lit(16)).alias("salt"), "page_number").agg(F.lit(1).alias("one")).groupBy("document_id").agg(F.count("*").alias("pages"))
     seen = cut(seen.join(size, "document_id").withColumn("running", (F.col("n") >= least) & (F.col("n") >= F.col("pages") * share)))
-    own = seen.where("running").groupBy("document_id").agg(F.collect_set("key").alias("anchors"))
+    own = (
+        seen.where("running").select("document_id", "key", chunk_hashes("key").alias("chunks"))
+        .groupBy("document_id").agg(F.collect_set("key").alias("anchors"), F.array_distinct(F.flatten(F.collect_list("chunks"))).alias("chunks"))
+    )
     # Charts of few pages borrow the keys that run through other charts wherever they appear often enough.
     common = (
         seen.groupBy("key").agg(F.count_if("running").alias("running"), F.count_if(F.col("pages") >= least * 2).alias("charts"))
@@ -150,10 +159,12 @@ def running_lines(pages: DataFrame) -> DataFrame:
         pages.where("clean_text is not null").select("document_id", "page_number", F.explode(_edges(F.col("clean_text"))).alias("line"))
         .withColumn("key", line_key(F.col("line"))).where("key <> ''")
     )
+    # A damaged copy still shares chunks with the running line; only such lines are compared by edits.
+    akin = F.arrays_overlap(chunk_hashes("key"), "chunks")
     return (
         edge.join(own, "document_id", "left")
         .join(common.withColumn("common", F.lit(True)), "key", "left")
-        .where(F.col("common") | (F.size(_matched(F.col("key"), F.col("anchors"))) > 0))
+        .where(F.col("common") | F.when(akin, F.size(_matched(F.col("key"), F.col("anchors"))) > 0))
         .select("document_id", "page_number", "line")
     )
 
@@ -161,7 +172,7 @@ def running_lines(pages: DataFrame) -> DataFrame:
 def _broken(text: Column) -> Column:
     """Words broken over line ends, as structs (left, mark, right)."""
     return F.transform(
-        F.regexp_extract_all(text, F.lit(BROKEN), F.lit(0)),
+        F.when(text.rlike(HYPHEN_END), F.regexp_extract_all(text, F.lit(BROKEN), F.lit(0))),
         lambda x: F.struct(*(F.regexp_extract(x, BROKEN, i).alias(n) for i, n in ((1, "left"), (2, "mark"), (3, "right")))),
     )
 
