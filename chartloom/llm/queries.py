@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm.encode import encode_corpus
+from chartloom.llm.mixing import mixture, mixture_shares
 from chartloom.llm.pii import lexicon_names, pages_with_items, redacted
 from chartloom.llm.repeats import repeated_lines, without_repeats
 from chartloom.llm.scans import repaired_pages, scan_traces
@@ -68,6 +69,16 @@ def p4_clean_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "page_content"))
 
 
+def p7_mix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in the mix."""
+    return mixture_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document in the mix."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut."""
     return truncated_texts(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
@@ -79,7 +90,7 @@ def p8_cut_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p2_found, p2_pieces, p4_found, p4_clean_blocks, p5_found, p5_redacted_pages, p5_redacted_blocks, p6_ids, p8_found, p8_cut_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p2_found, p2_pieces, p4_found, p4_clean_blocks, p5_found, p5_redacted_pages, p5_redacted_blocks, p6_ids, p7_mix_shares, p7_mix_copies, p8_found, p8_cut_share_by_source)}
 
 
 #: Length of each section's text, by SQL.
