@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chartloom.llm.repeats import _bounded, _matched, chunk_hashes, line_key
 from chartloom.session import cut
 
-TOKEN = r"[\p{L}\p{N}$†|]*\p{L}[\p{L}\p{N}$†|]*"
+TOKEN = r"[\p{N}$†|]*+\p{L}[\p{L}\p{N}$†|]*+"
 #: A word of at least this share of all words is known; there can be no more than its inverse of them.
 KNOWN_SHARE = 1e-5
 #: How much more frequent the right form must be than its misreading.
@@ -25,6 +25,9 @@ BROKEN = r"(?<!\p{L})(\p{L}++)([-‐¬\x{AD}])[ \t]*\r?\n[ \t]*(\p{Ll}[\p{L}$†
 SPACED = r"(?<![\p{L}\p{N}])\p{L}(?: \p{L}){3,}(?![\p{L}\p{N}])"
 STRAY = r"(?m)^[ \t]*[·»¦~`'|†‡\\][ \t]+(?=\S)|(?<=\S)[ \t]+[·»¦~`'|†‡\;.][ \t\r]*$"
 LIGATURES = "[ﬀ-ﬆ]"
+#: Cheaper tests that hold wherever SPACED or STRAY match; few texts pass them.
+MAYBE_SPACED = r" \p{L} \p{L} \p{L}(?![\p{L}\p{N}])"
+MAYBE_STRAY = r"(?:^|[ \t\n])[·»¦~`'|†‡\\;.](?:[ \t\r\n]|$)"
 
 #: Glyphs that recognition confuses, each written as the strokes it shares with its lookalikes.
 SINGLE_FROM, SINGLE_TO = "ecil1|!hb8gqt†s$5o0", "eeiiiiihhhggttsssoo"
@@ -120,7 +123,7 @@ def apart_words(rare: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def _edges(text: Column) -> Column:
     """The first and last three lines of a page that are not blank."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")) != "")
     n = F.size(lines)
     return F.array_union(F.slice(lines, 1, 3), F.slice(lines, F.greatest(F.lit(1), n - 2), 3))
 
@@ -204,8 +207,8 @@ def scan_traces(pages: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     rare = cut(_rare(pages.where("clean_text is not null"), lexicon))
     direct = F.filter(
         F.array(
-            F.when(text.rlike(STRAY) | text.rlike(LIGATURES), F.lit("stray")),
-            F.when(text.rlike(SPACED), F.lit("apart")),
+            F.when((text.rlike(MAYBE_STRAY) & text.rlike(STRAY)) | text.rlike(LIGATURES), F.lit("stray")),
+            F.when(text.rlike(MAYBE_SPACED) & text.rlike(SPACED), F.lit("apart")),
             F.when(text.rlike(rf"[‐¬\x{{AD}}][ \t]*(?:\r?\n|$)"), F.lit("broken_word")),
         ),
         lambda x: x.isNotNull(),
