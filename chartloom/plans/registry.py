@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.session import table
+from chartloom.plans import dates
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query behind ``entry``."""
-    return table(spark, sf_dir, "documents").groupBy("source").count()
+MODULES = (dates,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query behind ``entry``."""
+    return queries()["p3_found"](spark, sf_dir)

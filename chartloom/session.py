@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,3 +42,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder; an executor lost later costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Materialise ``df`` and mark it for broadcast if it has at most ``rows`` rows; else it is joined by shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
