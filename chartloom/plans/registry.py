@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.plans import dates
+from chartloom.plans import dates, pages
 
-MODULES = (dates,)
+MODULES = (dates, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
