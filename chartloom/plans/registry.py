@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.plans import dates, pages
+from chartloom.plans import dates, pages, structure
 
-MODULES = (dates, pages)
+MODULES = (dates, pages, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
