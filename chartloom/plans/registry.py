@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.plans import dates, pages, structure
+from chartloom.plans import chunks, dates, pages, structure
 
-MODULES = (dates, pages, structure)
+MODULES = (dates, pages, structure, chunks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
