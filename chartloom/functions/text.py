@@ -53,11 +53,13 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(normalize_text(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def with_synonyms(text: Column) -> Column:
-    """The normalised text followed by the sorted synonyms of the terms it holds as whole words."""
-    norm = normalize_text(text)
+def with_synonyms(norm: Column) -> Column:
+    """A normalised text followed by the sorted synonyms of the terms it holds as whole words.
+
+    Give the name of a column that holds the normalised text: it is looked at once per term.
+    """
     extra = F.array_sort(F.array_distinct(F.flatten(F.array(
-        *(F.when(norm.rlike(rf"\b{term}\b"), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for term, names in SYNONYMS.items())
+        *(F.when(norm.contains(term) & norm.rlike(rf"\b{term}\b"), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for term, names in SYNONYMS.items())
     ))))
     return F.when(F.size(extra) > 0, F.concat_ws(" ", norm, F.array_join(extra, " "))).otherwise(norm)
 

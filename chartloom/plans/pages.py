@@ -95,9 +95,9 @@ B08 = f"SELECT doc_id, length({NORM.format('text')})::INTEGER AS characters, md5
 
 def b09_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that gain synonyms, with what they gain."""
-    docs = table(spark, sf_dir, "documents")
-    gained = F.trim(F.substring(fx.with_synonyms(F.col("text")), F.length(fx.normalize_text(F.col("text"))) + 1, F.lit(10_000)))
-    return docs.select("doc_id", gained.alias("gained")).where("gained <> ''")
+    docs = table(spark, sf_dir, "documents").select("doc_id", fx.normalize_text(F.col("text")).alias("norm"))
+    docs = docs.select("doc_id", "norm", fx.with_synonyms(F.col("norm")).alias("more"))
+    return docs.where("more <> norm").select("doc_id", F.substring("more", F.length("norm") + 2, F.length("more")).alias("gained"))
 
 
 def _b09() -> str:

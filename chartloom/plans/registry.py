@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.plans import chunks, dates, pages, structure
+from chartloom.plans import chunks, dates, pages, retrieval, structure
 
-MODULES = (dates, pages, structure, chunks)
+MODULES = (dates, pages, structure, chunks, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query behind ``entry``."""
-    return queries()["p3_found"](spark, sf_dir)
+    return queries()["g17_results"](spark, sf_dir)
