@@ -24,13 +24,12 @@ MONTH_NAMES = "January February March April May June July August September Octob
 _MONTH = "(?:" + "|".join(MONTH_NAMES) + ")"
 #: Abbreviations and spellings with their normal form, applied in this order to lower-case text.
 REWRITES = [
-    ("[—–]", "-"),
     (r"(\d)\s*mg\b", "$1 mg"),
     (r"\bb\.?i\.?d\b\.?", "twice daily"),
     (r"\bt\.?i\.?d\b\.?", "three times daily"),
     (r"\bq\.?d\b\.?", "once daily"),
     (r"\ba1c\b", "hba1c"),
-    (r"\s+", " "),
+    (r"\s\s+|[\t\n\x0B\f\r]", " "),
 ]
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)?"
 
@@ -42,15 +41,20 @@ def normalize_whitespace(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Lower case, plain dashes, spaced doses, spelt-out frequencies, single blanks."""
-    out = F.lower(text)
+    out = F.translate(F.lower(text), "—–", "--")
     for pattern, form in REWRITES:
         out = F.regexp_replace(out, pattern, form)
     return F.trim(out)
 
 
+def tokens_of(norm: Column) -> Column:
+    """Search tokens of a normalised text, in order; none for null."""
+    return F.coalesce(F.regexp_extract_all(norm, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+
+
 def tokens(text: Column) -> Column:
     """Search tokens of a text, in order; none for null."""
-    return F.coalesce(F.regexp_extract_all(normalize_text(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    return tokens_of(normalize_text(text))
 
 
 def with_synonyms(norm: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartloom.functions.text import normalize_text, tokens
+from chartloom.functions.text import tokens
 
 
 @dataclass(frozen=True)
@@ -60,9 +60,9 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, text)) / F.size(q)).otherwise(F.lit(0.0))
 
 
-def head(text: Column) -> Column:
+def head(norm: Column) -> Column:
     """What near duplicates have in common: the beginning of the normalised text."""
-    return F.substring(normalize_text(text), 1, 180)
+    return F.substring(norm, 1, 180)
 
 
 def final_ranking(fused: DataFrame, items: DataFrame, plans: DataFrame, s: Settings = Settings()) -> DataFrame:

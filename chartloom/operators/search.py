@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.functions.text import tokens
+from chartloom.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -40,7 +41,7 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     The idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one is replaced by a quarter of the mean idf of the
     vocabulary. Repeated query terms count repeatedly. Queries with the same text are scored once.
     """
-    index = postings(texts)
+    index = cut(postings(texts))
     lengths = index.groupBy("id").agg(F.sum("tf").alias("dl"))
     stats = texts.agg(F.count("*").alias("n")).join(lengths.agg(F.sum("dl").alias("total")))
     n = F.col("n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import text as fx
 from chartloom.operators import pages as op
-from chartloom.session import table
+from chartloom.session import once, table
 
 LATEST = """
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY loaded_at DESC NULLS LAST, coalesce(clean_text, '') DESC) AS rn
@@ -78,7 +78,7 @@ def a04_block_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 A04 = """SELECT document_id, coalesce(block_type, 'unknown') AS block_type, count(*) AS blocks, round(avg(font_size), 6) AS mean_font_size,
  count(*) FILTER (is_bold) AS bold_blocks, coalesce(sum(len(string_split(text, chr(10)))), 0)::BIGINT AS lines FROM text_blocks GROUP BY 1, 2"""
 
-NORM = "lower({0})"
+NORM = "regexp_replace(lower({0}), '[—–]', '-', 'g')"
 for _p, _r in fx.REWRITES:
     NORM = f"regexp_replace({NORM}, '{_p}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
 NORM = f"trim({NORM}, ' ')"
@@ -86,8 +86,8 @@ NORM = f"trim({NORM}, ' ')"
 
 def b08_normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised document texts, as length and digest."""
-    norm = fx.normalize_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(norm).alias("characters"), F.md5(norm).alias("digest"))
+    docs = once(table(spark, sf_dir, "documents").select("doc_id", "text"), norm=fx.normalize_text(F.col("text")))
+    return docs.select("doc_id", F.length("norm").alias("characters"), F.md5("norm").alias("digest"))
 
 
 B08 = f"SELECT doc_id, length({NORM.format('text')})::INTEGER AS characters, md5({NORM.format('text')}) AS digest FROM documents"
@@ -95,8 +95,8 @@ B08 = f"SELECT doc_id, length({NORM.format('text')})::INTEGER AS characters, md5
 
 def b09_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that gain synonyms, with what they gain."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", fx.normalize_text(F.col("text")).alias("norm"))
-    docs = docs.select("doc_id", "norm", fx.with_synonyms(F.col("norm")).alias("more"))
+    docs = once(table(spark, sf_dir, "documents").select("doc_id", "text"), norm=fx.normalize_text(F.col("text")))
+    docs = once(docs.select("doc_id", "norm"), more=fx.with_synonyms(F.col("norm")))
     return docs.where("more <> norm").select("doc_id", F.substring("more", F.length("norm") + 2, F.length("more")).alias("gained"))
 
 

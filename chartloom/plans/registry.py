@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.plans import chunks, dates, pages, retrieval, structure
+from chartloom.plans import chunks, dates, jobs, pages, retrieval, structure
 
-MODULES = (dates, pages, structure, chunks, retrieval)
+MODULES = (dates, pages, structure, chunks, retrieval, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.functions.text import TOKEN, tokens
+from chartloom.functions.text import TOKEN, normalize_text, tokens_of
 from chartloom.operators import answers, evaluation, planning, ranking, search
 from chartloom.operators.chunking import section_texts
 from chartloom.plans.chunks import TEXTS
 from chartloom.plans.pages import NORM
-from chartloom.session import cut, table
+from chartloom.session import cut, once, table
 
 SHARES = {"bm25": ("lexical", 1.0), "exact": ("lexical", 1.5), "structured": ("structured", 1.0)}
 
@@ -31,7 +31,8 @@ class Inputs:
         texts = section_texts(chunks, table(spark, sf_dir, "page_content"))
         grp = F.coalesce("encounter_id", F.concat(F.lit("page_"), F.col("page_start").cast("string")))
         # Read by every channel and by the final ranking, so written once.
-        self.items = cut(texts.select(F.col("chunk_id").alias("id"), "document_id", grp.alias("grp"), "key", "text", "page_start", "page_end", "encounter_id", "section", "provider", tokens(F.col("text")).alias("tokens"), ranking.head(F.col("text")).alias("head")))
+        texts = once(texts, norm=normalize_text(F.col("text")))
+        self.items = cut(texts.select(F.col("chunk_id").alias("id"), "document_id", grp.alias("grp"), "key", "text", "page_start", "page_end", "encounter_id", "section", "provider", tokens_of(F.col("norm")).alias("tokens"), ranking.head(F.col("norm")).alias("head")))
         self._hits: dict[str, DataFrame] = {}
         drug = F.lower(F.trim("medication"))
         asked = self.medications.where((F.col("id") % 20 == 0) & (drug != "")).join(chunks.select("chunk_id", "section"), "chunk_id", "left")

@@ -48,3 +48,13 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Materialise ``df`` and mark it for broadcast if it has at most ``rows`` rows; else it is joined by shuffle."""
     df = cut(df)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Add costly columns that are computed once per row, however often later expressions and filters use them.
+
+    Catalyst copies a projected expression into each filter and expression above it, but never a generated column.
+    """
+    for name, c in columns.items():
+        df = df.select(*[x for x in df.columns if x != name], F.explode(F.array(c)).alias(name))
+    return df
