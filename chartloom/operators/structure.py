@@ -32,7 +32,7 @@ def latest_encounters(encounters: DataFrame) -> DataFrame:
     rest = [c for c in encounters.columns if c not in ("document_id", "encounter_id", "loaded_at")]
     return (
         encounters.where("document_id is not null and encounter_id is not null")
-        .groupBy("document_id", "encounter_id").agg(F.max_by(F.struct(*rest), "loaded_at").alias("e")).select("document_id", "encounter_id", "e.*")
+        .groupBy("document_id", "encounter_id").agg(F.max_by(F.struct(*rest), F.struct("loaded_at")).alias("e")).select("document_id", "encounter_id", "e.*")
     )
 
 

@@ -8,17 +8,15 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chartloom.session import ship
 
-PAGE = T.StructType.fromDDL(
-    "document_id string, page_number int, width double, height double, text string, clean_text string, char_count int, ocr_required boolean"
-)
-GOLD = T.StructType.fromDDL("query_id string, query string, expected_pages string, ground_truth_evidence string, category string, source_document string")
+# Record schemas, as DDL.
+PAGE = "document_id string, page_number int, width double, height double, text string, clean_text string, char_count int, ocr_required boolean"
+GOLD = "query_id string, query string, expected_pages string, ground_truth_evidence string, category string, source_document string"
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON lines with a fixed schema; broken lines give rows of nulls."""
     return spark.read.schema(schema).json(path)
 
