@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.session import broadcast_if_small
+from chartloom.session import broadcast_if_small, cut, once
 
 FORMATS = ("iso", "slash_mdy", "slash_dmy", "dotted_dmy", "text_mdy", "text_dmy", "epoch_seconds", "epoch_millis", "compact")
 #: A reading is taken if its posterior reaches this; else the value is ambiguous.
@@ -140,7 +140,7 @@ def normalise(values: DataFrame, value_col: str = "encounter_date") -> DataFrame
     that no_zone keeps its day. A local time that occurs twice means the first, a skipped one the moment one hour
     later on the clock.
     """
-    values = values.withColumn("_readings", readings(F.col(value_col)))
+    values = once(values, _readings=readings(F.col(value_col)))
     formats = F.transform("_readings", lambda r: r["format"])
     source = F.struct("source_table", "facility")
     counted = (
@@ -156,7 +156,7 @@ def normalise(values: DataFrame, value_col: str = "encounter_date") -> DataFrame
     joined = values.withColumn("_s", source).join(broadcast_if_small(weights).withColumnRenamed("s", "_s2"), F.col("_s").eqNullSafe(F.col("_s2")), "left")
     mass = F.aggregate("_readings", F.lit(0.0), lambda a, r: a + F.get(F.col("_weights"), r["format"]))
     best = F.array_max(F.transform("_readings", lambda r: F.struct(F.get(F.col("_weights"), r["format"]).alias("w"), (-r["format"]).alias("o"), r.alias("r"))))
-    joined = joined.withColumn("_best", best).withColumn("_posterior", F.col("_best.w") / mass)
+    joined = once(joined, _best=best).withColumn("_posterior", F.col("_best.w") / mass)
     # Readings that agree on the moment leave nothing to decide.
     same = F.size(F.array_distinct(F.transform("_readings", lambda r: F.struct(r["wall"], r["offset"], r["dated"])))) == 1
     clear = (F.col("_posterior") >= CERTAIN) | same
@@ -211,10 +211,12 @@ def contradicting_records(encounters: DataFrame, facilities: DataFrame, **tables
     With a time of day on both sides the UTC minutes are compared, else the calendar days at the facility. Missing,
     invalid and ambiguous dates, and records without encounter, contradict nothing.
     """
-    dated = normalise(dated_records(encounters, facilities, **tables)).where("local_day is not null")
     minute = F.substring(F.col("utc").cast("string"), 1, 16).alias("minute")
-    own = dated.where("source_table = 'encounters'").select("encounter_id", F.col("local_day").alias("their_day"), minute.alias("their_minute"))
-    rest = dated.where("source_table <> 'encounters' and record_key is not null").select("source_table", "record_key", "encounter_id", "local_day", minute)
+    dated = normalise(dated_records(encounters, facilities, **tables)).where("local_day is not null")
+    # Both sides of the comparison read it, so it is written once.
+    dated = cut(dated.select("source_table", "record_key", "encounter_id", "local_day", minute))
+    own = dated.where("source_table = 'encounters'").select("encounter_id", F.col("local_day").alias("their_day"), F.col("minute").alias("their_minute"))
+    rest = dated.where("source_table <> 'encounters' and record_key is not null")
     both = F.col("minute").isNotNull() & F.col("their_minute").isNotNull()
     return (
         rest.join(own, "encounter_id")
