@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.functions.text import normalize_text
+
 
 def first_match(results: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, first_rank): the best rank whose id is among the query's gold ids (query_id, id), null for a miss."""
@@ -51,3 +56,28 @@ def token_overlap(a: Column, b: Column) -> Column:
     """Share of the distinct words of ``a`` that ``b`` has; 0 for an ``a`` without words."""
     words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
     return F.when(F.size(words(a)) > 0, F.size(F.array_intersect(words(a), words(b))) / F.size(words(a))).otherwise(0.0)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two texts, which no built-in function computes; null counts as empty."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def evidence_matches(pairs: DataFrame, least_overlap: float = 0.70, least_ratio: float = 0.82) -> DataFrame:
+    """Add ``matches`` to (text, evidence): every part of the evidence, split at semicolons, is found in the text.
+
+    A part is found if the normalised text contains it, or holds enough of its words, or, for what is left, if both
+    are similar enough as wholes. Evidence without parts matches nothing.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce("evidence", F.lit("")), ";"), lambda p: normalize_text(p)), lambda p: p != "")
+    rows = pairs.withColumn("_text", F.coalesce(normalize_text(F.col("text")), F.lit(""))).withColumn("_parts", parts)
+    clear = F.forall("_parts", lambda p: F.col("_text").contains(p) | (token_overlap(p, F.col("_text")) >= least_overlap))
+    rows = rows.withColumn("_clear", (F.size("_parts") > 0) & clear)
+    whole = normalize_text(F.coalesce("evidence", F.lit("")))
+    near = (F.size("_parts") == 1) & (similarity(F.when(F.col("_clear"), F.lit("")).otherwise(F.col("_text")), whole) >= least_ratio)
+    return rows.withColumn("matches", F.col("_clear") | near).drop("_text", "_parts", "_clear")

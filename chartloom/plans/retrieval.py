@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import TOKEN, normalize_text, tokens_of
-from chartloom.operators import answers, evaluation, planning, ranking, search
+from chartloom.operators import answers, evaluation, planning, ranking, search, vector_index
 from chartloom.operators.chunking import section_texts
 from chartloom.plans.chunks import TEXTS
 from chartloom.plans.pages import NORM
@@ -246,6 +246,13 @@ F04 = f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({_DOT.fo
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10"""
 
 
+def f05_cell_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors by an inverted-file index over all vectors."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    centres = vector_index.fit_centres(v)
+    return vector_index.search_cells(vector_index.assign(v, centres), v.where("id % 20 = 0"), centres, probes=20)
+
+
 def f12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vectors of the labels, of length 1, one row per dimension."""
     v = search.pooled(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("vector")), F.col("label"))
@@ -266,7 +273,7 @@ def f11_late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        e08_query_plans, f02_bm25, f04_dense, f06_exact, f08_structured, f11_late_interaction, f12_centroids, g01_fused, g17_results,
+        e08_query_plans, f02_bm25, f04_dense, f05_cell_index, f06_exact, f08_structured, f11_late_interaction, f12_centroids, g01_fused, g17_results,
         h04_answers, i13_quality, i14_grounding, i15_ablation,
     )
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.operators import encounters
 from chartloom.operators import structure as op
 from chartloom.plans.pages import LATEST
 from chartloom.session import table
@@ -45,6 +46,12 @@ def c06_page_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.encounter_of_page(_pages(spark, sf_dir), table(spark, sf_dir, "encounters"))
 
 
+def c12_detected_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encounters found in the page texts, by headers or visit dates."""
+    pages = _pages(spark, sf_dir)
+    return encounters.with_ends(encounters.detected(pages), pages)
+
+
 C06 = f"""WITH {ENC}, p AS (SELECT DISTINCT document_id, page_number FROM page_content WHERE document_id IS NOT NULL AND page_number IS NOT NULL)
 SELECT p.document_id, p.page_number, arg_min(e.encounter_id, (e.start_page, e.encounter_id)) AS encounter_id
 FROM p LEFT JOIN enc e ON e.document_id = p.document_id AND p.page_number BETWEEN e.start_page AND e.end_page GROUP BY 1, 2"""
@@ -132,7 +139,7 @@ UNION SELECT 'pressure', unnest(regexp_extract_all(text, '{op.PRESSURE}', 1)), d
 QUERIES = {
     f.__name__: f
     for f in (
-        c02_chart_style, c05_closed_intervals, c06_page_encounters, c08_sections, c20_table_rows, c21_code_sets, c22_list_items,
+        c02_chart_style, c05_closed_intervals, c06_page_encounters, c08_sections, c12_detected_encounters, c20_table_rows, c21_code_sets, c22_list_items,
         c25_signatures, c26_vitals, c27_note_sentences, c30_entity_postings,
     )
 }
