@@ -44,7 +44,7 @@ NAME_BEFORE = (
 )
 NAME_AFTER = ("states that", "was counselled", "'s brother", "'s sister", "'s mother", "'s father", "'s son", "'s daughter", "'s wife", "'s husband", "’s brother", "’s sister", "recommends", "who agrees")
 ROLES = (
-    "the a an her his their this that no not with who and or to of in on at for from by is was has had can should patient "
+    "the an her his their this that no not with who and or to of in on at for from by is was has had can should patient "
     "mother father sister brother daughter son wife husband spouse caregiver nurse doctor provider interpreter family "
     "care team visiting clinic hospital centre center group medical health services infirmary regional klinik clinique "
     "physician specialist parent guardian child neighbour neighbor friend pharmacy laboratory staff contact kin tel phone "

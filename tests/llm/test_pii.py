@@ -9,6 +9,7 @@ CASES = [
     ("ACCOMPANIED BY ULRIKE FJARIN FOR\nTODAY'S VISIT.", "ACCOMPANIED BY [PERSON] FOR\nTODAY'S VISIT."),
     ("Emergency\ncontact: Yarran, Corvin. Done.", "Emergency\ncontact: [PERSON]. Done."),
     ("Case reviewed with H. van der Wexo, who agrees.", "Case reviewed with [PERSON], who agrees."),
+    ("Case reviewed with A. Wexo, who agrees.", "Case reviewed with [PERSON], who agrees."),
     ("spoke with emrick o'talm regarding nausea", "spoke with [PERSON] regarding nausea"),
     ("Faith K. Zelk states that cough began.", "[PERSON] states that cough began."),
     ("Her daughter Mark helps; mark the scalp.", "Her daughter [PERSON] helps; mark the scalp."),
