@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chartloom.session import cut
+from chartloom.session import cut, once
 
 #: Marks and debris that a cut leaves at the end.
 MARK = r"(?:\s*\[(?:cut|more|truncated|continued|\.\.\.)\]|\s*\((?:cut|more|truncated)\)|…|\.\.\.|\x{FFFD}+|\\u[0-9A-Fa-f]{0,3}|&[A-Za-z#][A-Za-z0-9]{0,7}|<[^<>\s]{0,20})\s*$"
 #: A sentence's end, with what may close it.
 PROPER_END = r"[.!?。！？।؟…][\"'”’»)\]]*$"
+BLANK_END = r"(?<![\s\x{00A0}])[\s\x{00A0}]+$"
 WORD = r"\p{L}[\p{L}\p{M}'’]*"
 LIST_LINE = r"^\s*(?:[-*•·]|\d+[.)])\s+\S"
 TABLE_LINE = r"\t| \| |; .*; "
@@ -71,11 +72,9 @@ def truncated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     item = lines.where(F.col("line").rlike(LIST_LINE) | F.col("line").rlike(TABLE_LINE))
     ends = item.groupBy(F.substring_index(_mask(F.col("line")), " ", -1).alias("last_token")).agg(F.count("*").alias("end_seen")).where("end_seen >= 3")
 
-    bare = F.regexp_replace(text, r"[\s\x{00A0}]+$", "")
+    bare = F.regexp_replace(text, BLANK_END, "")
     open_ended = (
-        given.withColumn("bare", bare)
-        .withColumn("core", F.regexp_replace("bare", MARK, ""))
-        .withColumn("core", F.regexp_replace("core", r"[\s\x{00A0}]+$", ""))
+        once(once(given, bare=bare), core=F.regexp_replace(F.regexp_replace("bare", MARK, ""), BLANK_END, ""))
         .withColumn("marked", F.length("core") < F.length("bare"))
         .withColumn("chars", F.length(text)).withColumn("bytes", F.octet_length(text))
         .withColumn("last_line", F.regexp_replace(F.substring_index("core", "\n", -1), r"\r", ""))
