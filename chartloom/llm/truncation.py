@@ -22,7 +22,13 @@ BLANK_END = r"(?<![\s\x{00A0}])[\s\x{00A0}]+$"
 WORD = r"\p{L}[\p{L}\p{M}'’]*"
 LIST_LINE = r"^\s*(?:[-*•·]|\d+[.)])\s+\S"
 TABLE_LINE = r"\t| \| |; .*; "
-FILING_LINE = r"^\p{Lu}[\p{L} ]{1,40}(?:: \S.*|, \d{1,2}:\d{2})$"
+FILING_LINE = r"^\p{L}[\p{L} ]{1,40}(?:: \S.*|, \d{1,2}:\d{2})$"
+#: Rates, which do not move with the number of texts. A line is whole if another line follows this share of its copies,
+WHOLE_SHARE = 0.25
+#: a row's last word may end it if it ends this share of the rows it stands in,
+END_SHARE = 0.3
+#: and a filing line closes more than these shares of the other texts, of the corpus or of its source.
+CLOSING_SHARE, SOURCE_CLOSING_SHARE = 0.002, 0.01
 
 
 def _mask(line: Column) -> Column:
@@ -68,12 +74,16 @@ def truncated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = given.select(F.posexplode(F.split(text, r"\r?\n")).alias("i", "line"), F.size(F.split(F.rtrim(text), r"\r?\n")).alias("n")).where(
         "i < n - 1 and trim(line) <> ''"
     )
-    whole = lines.groupBy(_mask(F.col("line")).alias("last_masked")).agg(F.count("*").alias("whole_seen")).where("whole_seen >= 3")
-    item = lines.where(F.col("line").rlike(LIST_LINE) | F.col("line").rlike(TABLE_LINE))
-    ends = item.groupBy(F.substring_index(_mask(F.col("line")), " ", -1).alias("last_token")).agg(F.count("*").alias("end_seen")).where("end_seen >= 3")
+    inner = lines.groupBy(F.xxhash64(_mask(F.col("line"))).alias("form")).agg(F.count("*").alias("inner"))
+    item = lines.where(F.col("line").rlike(LIST_LINE) | F.col("line").rlike(TABLE_LINE)).select(F.split(_mask(F.col("line")), " ").alias("tokens"))
+    ends = (
+        item.select(F.size("tokens").alias("of"), F.posexplode("tokens").alias("i", "last_token"))
+        .groupBy("last_token").agg((F.count_if(F.col("i") == F.col("of") - 1) / F.count("*")).alias("share"))
+        .where((F.col("share") >= END_SHARE) & (F.col("last_token") != "")).select("last_token", F.lit(True).alias("ends_rows"))
+    )
 
     bare = F.regexp_replace(text, BLANK_END, "")
-    open_ended = (
+    open_ended = cut(
         once(once(given, bare=bare), core=F.regexp_replace(F.regexp_replace("bare", MARK, ""), BLANK_END, ""))
         .withColumn("marked", F.length("core") < F.length("bare"))
         .withColumn("chars", F.length(text)).withColumn("bytes", F.octet_length(text))
@@ -83,16 +93,33 @@ def truncated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("final_word", F.nullif(_last_word(F.col("core")), F.lit("")))
         .withColumn("last_masked", _mask(F.col("last_line")))
         .withColumn("last_token", F.substring_index("last_masked", " ", -1))
-        .select("id", "source", "source_key", "chars", "bytes", "marked", "open_end", "last_line", "last_masked", "last_token", "final_word")
+        .withColumn("form", F.xxhash64("last_masked")).withColumn("text_hash", F.xxhash64("text"))
+        .select("id", "source", "source_key", "chars", "bytes", "marked", "open_end", "last_line", "form", "text_hash", "last_token", "final_word")
     )
-    # A filing line is one that closes several texts, or a label with codes only.
-    closing = open_ended.where(F.col("last_line").rlike(FILING_LINE)).groupBy("last_masked").agg(F.count("*").alias("closing_seen")).where("closing_seen >= 3")
+    # How often a line closes texts, against how often another line follows it. Texts stored twice count once.
+    sizes = given.select("source_key", F.xxhash64("text").alias("text_hash")).distinct().groupBy("source_key").agg(F.count("*").alias("of_source"))
+    sizes = sizes.join(F.broadcast(sizes.agg(F.sum("of_source").alias("of_all"))))
+    same = W.partitionBy("form")  # at most one row per source
+    closes, closes_all = F.col("closes"), F.col("closes_all")
+    forms = (
+        open_ended.where("open_end").groupBy("form", "source_key", "text_hash").agg(F.max(F.col("last_line").rlike(FILING_LINE)).alias("filing"))
+        .groupBy("form", "source_key").agg(F.count("*").alias("closes"), F.max("filing").alias("filing"))
+        .withColumn("closes_all", F.sum("closes").over(same)).withColumn("filing", F.max("filing").over(same))
+        .join(inner, "form", "left").withColumn("inner", F.coalesce("inner", F.lit(0)))
+        .join(F.broadcast(sizes), "source_key")
+        .select(
+            "form", "source_key",
+            ((F.col("inner") > 0) & (F.col("inner") >= (F.col("inner") + closes_all) * WHOLE_SHARE)).alias("whole"),
+            (F.col("filing") & (closes_all >= F.col("inner")) & (
+                (closes_all - 1 > (F.col("of_all") - 1) * CLOSING_SHARE) | (closes - 1 > (F.col("of_source") - 1) * SOURCE_CLOSING_SHARE)
+            )).alias("closing"),
+        ).where("whole or closing")
+    )
     known = vocabulary.select(F.col("word").alias("final_word"), F.lit(True).alias("known"))
     joined = (
         open_ended.join(known, "final_word", "left")
         .join(trie, "final_word", "left")
-        .join(whole, "last_masked", "left")
-        .join(closing, "last_masked", "left")
+        .join(forms, ["form", "source_key"], "left")
         .join(ends, "last_token", "left")
         .join(_limits(sized, "chars"), ["source_key", "chars"], "left")
         .join(_limits(sized, "bytes"), ["source_key", "bytes"], "left")
@@ -101,12 +128,13 @@ def truncated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at_limit = F.coalesce("chars_limit", F.lit(False)) | F.coalesce("bytes_limit", F.lit(False))
     row = F.col("last_line").rlike(LIST_LINE) | F.col("last_line").rlike(TABLE_LINE)
     codes = F.col("last_line").rlike(r"^\p{L}[\p{L} ]*: (?:[A-Z]\d[0-9A-Z]*(?:\.[0-9A-Z]+)?(?:, )?)+$")
-    ended = F.col("closing_seen").isNotNull() | codes | F.col("whole_seen").isNotNull() | (row & F.col("end_seen").isNotNull())
+    whole, closing, ends_rows = (F.coalesce(c, F.lit(False)) for c in ("whole", "closing", "ends_rows"))
+    ended = closing | codes | whole | (row & ends_rows)
     is_cut = (
         F.when(~F.col("open_end"), at_limit & ~F.col("marked"))  # '12.' of a decimal at the field's end
         .when(F.col("marked"), True)
         .when(prefix, True)
-        .when(ended, at_limit & ~row & F.col("closing_seen").isNull() & ~codes)
+        .when(ended, at_limit & ~row & ~closing & ~codes)
         .otherwise(True)
     )
     evidence = joined.select("id", "marked", "final_word", F.when(prefix, F.col("prefix_of")).alias("prefix_of"), at_limit.alias("at_limit"), is_cut.alias("cut"))

@@ -36,3 +36,18 @@ def test_share_per_source(spark):
 
 def test_empty(spark):
     assert truncated_texts(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_answers_do_not_depend_on_corpus_size(spark):
+    def corpus(times):
+        docs = [(f"{t}-{i}", f"Visit {t} {i}. {FULL}", "a") for t in range(times) for i in range(40)]
+        docs += [(f"{t}-cc{i}", f"Visit {t} {i}. Review is planned.\ncc: care team (by internal mail)", "a") for t in range(times) for i in range(3)]
+        docs += [(f"{t}-in", f"Visit {t}. Review is planned.\ncc: care team (by internal mail)\nBring the list.", "a") for t in range(times)]
+        docs += [(f"{t}-item", f"Visit {t}. Stop:\n- Ramipril 5 mg\n- Losartan 5 mg at bedtime\nReview is planned.", "a") for t in range(times)]
+        # Cut in an item after a word that seldom ends one.
+        docs += [(f"{t}-mg", f"Visit {t}. Review is planned.\n- Losartan 5 mg", "a") for t in range(times)]
+        rows = truncated_texts(spark.createDataFrame(docs, "doc_id string, text string, source string")).where("cut").collect()
+        return {r.doc_id for r in rows}
+
+    for times in (1, 5):
+        assert corpus(times) == {f"{t}-mg" for t in range(times)}
