@@ -143,14 +143,16 @@ def repeated_lines(blocks: DataFrame, pages: DataFrame, share: float = 1 / 3, le
     need = n.select("document_id", F.greatest(F.lit(float(least)), F.col("pages") * share).alias("need"))
     lines = _lines(blocks)
     chunks = lines.select(F.xxhash64("document_id").alias("chart"), "page_number", F.explode(F.array_distinct(chunk_hashes("key"))).alias("chunk"))
-    # Looser than the rule, because damage may hide a copy: the exact check below decides. One bit for each of 64
-    # page classes tells many pages from many lines of few pages in a single pre-aggregated shuffle.
+    # Looser than the rule, because damage may hide a copy: the exact check below decides. One bit for each page of a
+    # run of 64 tells many pages from many lines of few pages, exactly and in pre-aggregated shuffles.
+    run = F.floor(F.col("page_number") / 64)
     hot = (
-        chunks.groupBy("chart", "chunk")
-        .agg(F.count("*").alias("lines"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(page_number, 64) as int))"))).alias("classes"))
+        chunks.groupBy("chart", "chunk", run.alias("run"))
+        .agg(F.count("*").alias("lines"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(page_number, 64) as int))"))).alias("pages"))
+        .groupBy("chart", "chunk").agg(F.sum("lines").alias("lines"), F.sum("pages").alias("on_pages"))
         .where(F.col("lines") >= least * 0.75)
         .join(need.withColumn("chart", F.xxhash64("document_id")), "chart")
-        .where((F.col("lines") >= F.col("need") * 0.75) & (F.col("classes") >= F.least(F.col("need"), F.lit(64)) * 0.6))
+        .where((F.col("lines") >= F.col("need") * 0.75) & (F.col("on_pages") >= F.col("need") * 0.6))
     )
     # A chart has at most (chunks of a page / (0.75 * share)) hot chunks, whatever its number of pages.
     hot = _bounded(hot.groupBy("document_id").agg(F.collect_set("chunk").alias("hot"), F.first("need").alias("need")))

@@ -59,3 +59,11 @@ def test_chunks_depend_on_content_only(spark):
     got = {r.i: r.h for r in df.select("i", chunk_hashes("key").alias("h")).collect()}
     assert got[2] == [] and got[3] == [] and len(got[4]) == 1
     assert len(set(got[0]) & set(got[1])) >= len(set(got[0])) - 2
+
+
+def test_lines_of_every_other_page(spark):
+    line = "Riverside Clinic, chart of the left page"
+    pages = [("big", p, "x") for p in range(1, 301)]
+    blocks = [("big", p, "a", line if p % 2 else "", "text", "k") for p in range(1, 301)]
+    found = repeated_lines(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(pages, PAGE)).collect()
+    assert {r.page_number for r in found} == set(range(1, 301, 2))
