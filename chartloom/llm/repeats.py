@@ -166,11 +166,14 @@ def repeated_lines(blocks: DataFrame, pages: DataFrame, share: float = 1 / 3, le
         _pages_with(marked, "document_id", "key", "need").where(F.col("pages") >= F.col("need") * 0.5)
         .groupBy("document_id").agg(F.collect_set("key").alias("anchors"))
     )
+    # An anchor stands for its near forms too; they are found once per chart, not once per line.
+    near = F.transform("anchors", lambda a: F.filter("anchors", lambda b: _near(a, b)))
+    anchors = anchors.withColumn("akin", F.map_from_arrays("anchors", near))
     matched = cut(
         marked.join(_bounded(anchors), "document_id")
-        .withColumn("matched", _matched(F.col("key"), F.col("anchors")))
+        .withColumn("matched", F.coalesce(F.try_element_at("akin", F.col("key")), _matched(F.col("key"), F.col("anchors"))))
         .where(F.size("matched") > 0)
-        .drop("anchors", "key")
+        .drop("anchors", "akin", "key")
     )
     enough = (
         _pages_with(matched.select("document_id", "page_number", "need", F.explode("matched").alias("anchor")), "document_id", "anchor", "need")

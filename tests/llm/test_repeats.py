@@ -67,3 +67,13 @@ def test_lines_of_every_other_page(spark):
     blocks = [("big", p, "a", line if p % 2 else "", "text", "k") for p in range(1, 301)]
     found = repeated_lines(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(pages, PAGE)).collect()
     assert {r.page_number for r in found} == set(range(1, 301, 2))
+
+
+def test_equal_damaged_copies_count_for_the_intact_line(spark):
+    whole, short = "Not valid without the archive seal.", "Not valid without the archive se"
+    pages = [("c", p, "x") for p in range(1, 13)] + [("d", p, "x") for p in range(1, 13)]
+    blocks = [("c", p, "a", short if p in (3, 8) else whole, "text", "k") for p in range(1, 13)]
+    # Two forms that reach the four needed pages only together.
+    blocks += [("d", p, "a", whole if p < 3 else short if p < 5 else "", "text", "k") for p in range(1, 13)]
+    found = repeated_lines(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(pages, PAGE)).collect()
+    assert {(r.document_id, r.page_number) for r in found} == {("c", p) for p in range(1, 13)} | {("d", p) for p in range(1, 5)}
