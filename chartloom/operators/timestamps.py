@@ -2,7 +2,7 @@
 
 Each value is read under every format that fits it. Per source (table and facility) expectation-maximisation over
 the mixture of formats turns the readings into posteriors: a value adds likelihood to each of its valid formats, the
-facility's declared date order is the prior. The posterior chooses the reading, or marks the value ambiguous. All
+facility's declared date order is a prior of a few pseudo-counts, which contrary values outweigh. The posterior chooses the reading, or marks the value ambiguous. All
 arithmetic is on TIMESTAMP_NTZ, so the session's time zone has no influence.
 """
 
@@ -39,19 +39,21 @@ ZONES = {
     "AKST": -540, "AKDT": -480, "HST": -600, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660,
     "JST": 540, "SGT": 480, "NZST": 720, "NZDT": 780,
 }
+# What else some of the abbreviations stand for (Ireland and Israel, China, Bangladesh, the Philippines, Malaysia, Australia).
+OTHER_MEANINGS = {"IST": (60, 120), "CST": (480,), "BST": (360,), "PST": (480,), "MST": (480,), "EST": (600,)}
+#: Pseudo-counts of the prior: of the date order a facility declares, and of every other format.
+DECLARED, UNDECLARED = 20.0, 1.0
 
-_TIME = r"(?:[T ,]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([AaPp]\.?[Mm]\.?)?\s*([+-]\d{2}:?\d{2}|[A-Z]{1,5})?)?$"
 _NAME = r"(\p{L}{3,})\.?"
-_DAY_NAME = r"^(?:\p{L}{2,}\.?,\s+)?"
-#: Pattern, and the groups of year, month and day; the groups of the time follow the third.
-_DATES = {
-    "iso": (r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _TIME, (1, 2, 3)),
-    "slash_mdy": (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME, (3, 1, 2)),
-    "slash_dmy": (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME, (3, 2, 1)),
-    "dotted_dmy": (r"^(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})" + _TIME, (3, 2, 1)),
-    "text_mdy": (_DAY_NAME + _NAME + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + _TIME, (3, 1, 2)),
-    "text_dmy": (_DAY_NAME + r"(\d{1,2})(?:\.|st|nd|rd|th|er)?\s+(?:de\s+)?" + _NAME + r",?\s+(?:de\s+)?(\d{4})" + _TIME, (3, 2, 1)),
-}
+_DAY_NAME = r"(?:\p{L}{2,}\.?,\s+)?"
+#: All written dates in one expression. Groups: 1-3 iso, 4-6 with slashes, 7-9 dotted, 10-12 month name first, 13-15 day
+#: first, 16-21 hour, minute, second, fraction, half of the day and zone.
+_WRITTEN = (
+    r"^(?:(\d{4})-(\d{1,2})-(\d{1,2})|(\d{1,2})/(\d{1,2})/(\d{4})|(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})"
+    r"|" + _DAY_NAME + _NAME + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
+    r"|" + _DAY_NAME + r"(\d{1,2})(?:\.|st|nd|rd|th|er)?\s+(?:de\s+)?" + _NAME + r",?\s+(?:de\s+)?(\d{4}))"
+    r"(?:[T ,]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([AaPp]\.?[Mm]\.?)?\s*([+-]\d{2}:?\d{2}|[A-Z]{1,5})?)?$"
+)
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})?(Z|[+-]\d{2}:?\d{2})?$"
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -80,31 +82,56 @@ def _reading(name: str, year, month, day, hour, minute, second, fraction, zone:
     wall = F.try_make_timestamp_ntz(year, month, day, F.coalesce(hour, F.lit(0)), F.coalesce(minute, F.lit(0)), F.coalesce(second, F.lit(0)) + fraction)
     offset = F.when(zone != "", _offset(zone))
     ok = wall.isNotNull() & (F.coalesce(hour, F.lit(0)) < 24) & (F.coalesce(second, F.lit(0)) < 60) & ((zone == "") | offset.isNotNull())
-    return F.when(ok, F.struct(F.lit(FORMATS.index(name)).alias("format"), wall.alias("wall"), offset.cast("int").alias("offset"), dated.alias("dated")))
-
-
-def readings(value: Column) -> Column:
-    """All valid readings of a written date: array<struct<format, wall, offset, dated>>, in the order of ``FORMATS``."""
-    v = F.trim(value)
+    others = _lookup({k: list(v) for k, v in OTHER_MEANINGS.items()}, zone)
+    return F.when(ok, F.struct(F.lit(FORMATS.index(name)).alias("format"), wall.alias("wall"), offset.cast("int").alias("offset"), dated.alias("dated"), others.alias("others")))
+
+
+def _parts(value: Column, pattern: str, groups: int) -> Column:
+    """The groups of an expression that fits the whole value, as an array, by one match; null where it does not fit."""
+    parts = F.split(F.regexp_replace(value, pattern, "\u0001".join(f"${i}" for i in range(1, groups + 1))), "\u0001")
+    return F.when(F.size(parts) == groups, parts)
+
+
+def _written(p: Column) -> Column:
+    """Readings of a written date from the groups of ``_WRITTEN``; those of the two orders of a date with slashes."""
+    g = lambda i: F.get(p, F.lit(i - 1))
+    joined = lambda *at: F.concat(*(g(i) for i in at))
+    named = F.lower(joined(10, 14))
+    hour, half = _int(g(16)), F.lower(F.substring(g(20), 1, 1))
+    hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0)).otherwise(99)
+    fraction = F.coalesce(F.concat(F.lit("0."), F.nullif(g(19), F.lit(""))).cast("decimal(9,6)"), F.lit(0).cast("decimal(9,6)"))
+    time = (hour, _int(g(17)), _int(g(18)), fraction, g(21), g(16) == "")
+    year = _int(joined(1, 6, 9, 12, 15))
+    slash = lambda name, m, d: _reading(name, year, _int(g(m)), _int(g(d)), *time)
+    month = F.when(named != "", _lookup(_MONTH_OF, named)).otherwise(_int(joined(2, 8)))
+    one = _reading("iso", year, month, _int(joined(3, 7, 11, 13)), *time)
+    kind = F.when(g(1) != "", FORMATS.index("iso")).when(g(7) != "", FORMATS.index("dotted_dmy")).when(g(10) != "", FORMATS.index("text_mdy")).otherwise(FORMATS.index("text_dmy"))
+    return F.when(g(4) != "", F.array(slash("slash_mdy", 4, 5), slash("slash_dmy", 5, 4))).otherwise(F.array(one.withField("format", kind)))
+
+
+def _digits(v: Column) -> Column:
+    """Readings of digits: seconds or milliseconds since 1970, or yyyyMMddHHmm[ss]."""
+    number = F.when(v.rlike(r"^(?:\d{10}|\d{13})$"), v.cast("decimal(20,0)"))
     out = []
-    for name, (pattern, (y, m, d)) in _DATES.items():
-        g = lambda i, p=pattern: F.regexp_extract(v, p, i)
-        month = _lookup(_MONTH_OF, F.lower(g(m))) if name.startswith("text") else _int(g(m))
-        hour, half = _int(g(4)), F.lower(F.substring(g(8), 1, 1))
-        hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0)).otherwise(99)
-        fraction = F.coalesce(F.concat(F.lit("0."), F.nullif(g(7), F.lit(""))).cast("decimal(9,6)"), F.lit(0).cast("decimal(9,6)"))
-        reading = _reading(name, _int(g(y)), month, _int(g(d)), hour, _int(g(5)), _int(g(6)), fraction, g(9), g(4) == "")
-        out.append(F.when(v.rlike(pattern), reading))
-    digits = v.rlike(r"^\d+$")
-    number = F.when(digits, v.cast("decimal(20,0)"))
     for name, length, per in (("epoch_seconds", 10, 1), ("epoch_millis", 13, 1000)):
         seconds = F.floor(number / per)
         wall = F.expr(_EPOCH) + F.make_dt_interval(F.floor(seconds / 86400).cast("int"), F.lit(0), F.lit(0), (F.pmod(seconds, F.lit(86400)) + F.pmod(number, F.lit(per)) / per).cast("decimal(18,6)"))
-        out.append(F.when(digits & (F.length(v) == length), F.struct(F.lit(FORMATS.index(name)).alias("format"), wall.alias("wall"), F.lit(0).alias("offset"), F.lit(False).alias("dated"))))
+        reading = F.struct(F.lit(FORMATS.index(name)).alias("format"), wall.alias("wall"), F.lit(0).alias("offset"), F.lit(False).alias("dated"), F.lit(None).cast("array<int>").alias("others"))
+        out.append(F.when(number.isNotNull() & (F.length(v) == length), reading))
     c = lambda i: F.regexp_extract(v, _COMPACT, i)
-    zero = F.lit(0).cast("decimal(9,6)")
-    out.append(F.when(v.rlike(_COMPACT), _reading("compact", _int(c(1)), _int(c(2)), _int(c(3)), _int(c(4)), _int(c(5)), _int(c(6)), zero, c(7), F.lit(False))))
-    return F.array_compact(F.array(*out))
+    compact = _reading("compact", _int(c(1)), _int(c(2)), _int(c(3)), _int(c(4)), _int(c(5)), _int(c(6)), F.lit(0).cast("decimal(9,6)"), c(7), F.lit(False))
+    return F.array(*out, F.when(v.rlike(_COMPACT), compact))
+
+
+def with_readings(values: DataFrame, value_col: str, name: str = "_readings") -> DataFrame:
+    """Add all valid readings of a written date: array<struct<format, wall, offset, dated, others>>, in the order of ``FORMATS``.
+
+    ``others`` are further meanings of the written zone. Each value is matched once.
+    """
+    v = F.trim(F.col(value_col))
+    values = once(values, _parts=_parts(v, _WRITTEN, 21))
+    found = F.when(F.col("_parts").isNotNull(), _written(F.col("_parts"))).when(v.rlike(r"^\d{10}"), _digits(v))
+    return once(values, **{name: F.array_compact(F.coalesce(found, F.array()))}).drop("_parts")
 
 
 def _em_weights(signatures: Column, total: Column, prior: Column) -> Column:
@@ -131,16 +158,19 @@ def _em_weights(signatures: Column, total: Column, prior: Column) -> Column:
 
 
 def normalise(values: DataFrame, value_col: str = "encounter_date") -> DataFrame:
-    """Add ``utc``, ``local_day``, ``precision``, ``format``, ``posterior`` and ``status`` to ``values``.
+    """Add ``utc``, ``local_day``, ``precision``, ``format``, ``posterior``, ``clock`` and ``status`` to ``values``.
 
     ``values`` needs the columns source_table, facility, time_zone and date_order beside the value. ``utc`` is the
     moment (TIMESTAMP_NTZ in UTC) where a time of day is given, ``local_day`` the calendar day at the facility.
     ``status`` is ok, missing (null or blank), invalid (no valid date), ambiguous (no reading is likely enough) or
     no_zone (a local time at a facility without known zone). Where it is not ok, utc and local_day are null, except
     that no_zone keeps its day. A local time that occurs twice means the first, a skipped one the moment one hour
-    later on the clock.
+    later on the clock; ``clock`` marks both (repeated, skipped, else once; null with a written zone). A zone
+    abbreviation of several meanings has the one nearest to the facility's own offset; without known zone it is
+    ambiguous.
     """
-    values = once(values, _readings=readings(F.col(value_col)))
+    # Both the counts and the choice read it, so each value is matched once and written once.
+    values = cut(with_readings(values, value_col))
     formats = F.transform("_readings", lambda r: r["format"])
     source = F.struct("source_table", "facility")
     counted = (
@@ -148,8 +178,8 @@ def normalise(values: DataFrame, value_col: str = "encounter_date") -> DataFrame
         .groupBy(source.alias("s"), formats.alias("formats")).agg(F.count("*").cast("double").alias("n"), F.max("date_order").alias("date_order"))
         .groupBy("s").agg(F.collect_list(F.struct("formats", "n")).alias("signatures"), F.sum("n").alias("total"), F.max("date_order").alias("date_order"))
     )
-    # The declared order outweighs what the values say; without one every format starts alike.
-    declared = lambda i: F.when(F.lit(FORMATS[i]) == F.concat(F.lit("slash_"), F.col("date_order")), F.col("total") * 10 + 10).otherwise(1.0)
+    # A declared order is worth a few values; values that contradict it outweigh it, whatever their number.
+    declared = lambda i: F.when(F.lit(FORMATS[i]) == F.concat(F.lit("slash_"), F.col("date_order")), DECLARED).otherwise(UNDECLARED)
     prior = F.array(*(declared(i) for i in range(len(FORMATS))))
     weights = counted.select("s", _em_weights(F.col("signatures"), F.col("total"), prior).alias("_weights"))
     # One row per table and facility.
@@ -159,16 +189,27 @@ def normalise(values: DataFrame, value_col: str = "encounter_date") -> DataFrame
     joined = once(joined, _best=best).withColumn("_posterior", F.col("_best.w") / mass)
     # Readings that agree on the moment leave nothing to decide.
     same = F.size(F.array_distinct(F.transform("_readings", lambda r: F.struct(r["wall"], r["offset"], r["dated"])))) == 1
-    clear = (F.col("_posterior") >= CERTAIN) | same
     r = F.col("_best.r")
     zone = F.col("time_zone")
-    utc = (
-        F.when(r["dated"], None)
-        .when(r["offset"].isNotNull(), r["wall"] - F.make_dt_interval(F.lit(0), F.lit(0), r["offset"], F.lit(0).cast("decimal(18,6)")))
-        .when(zone.isNotNull(), F.convert_timezone(zone, F.lit("UTC"), r["wall"]))
-    )
+    minutes = lambda at, then: (F.unix_micros(at.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 60_000_000
+    timed = r.isNotNull() & ~r["dated"] & zone.isNotNull()
+    joined = once(joined, _utc=F.when(timed, F.convert_timezone(zone, F.lit("UTC"), r["wall"])))
+    # A wall time that comes back from UTC changed was skipped; one that an hour later on UTC repeats occurs twice.
+    hour = F.expr("interval 1 hour")
+    back = F.convert_timezone(F.lit("UTC"), zone, F.col("_utc"))
+    again = F.convert_timezone(F.lit("UTC"), zone, F.col("_utc") + hour)
+    local = timed & r["offset"].isNull()
+    clock = F.when(local & (back != r["wall"]), "skipped").when(local & (again == r["wall"]), "repeated").when(local, "once")
+    # An abbreviation with several meanings has the one nearest to the facility's own clock; without a known zone it stays open.
+    own = minutes(r["wall"], F.col("_utc"))
+    nearest = F.array_min(F.transform(F.concat(F.array(r["offset"]), r["others"]), lambda o: F.struct(F.abs(o - own).alias("d"), o.alias("o"))))["o"]
+    offset = F.when(r["others"].isNull(), r["offset"]).when(zone.isNotNull(), nearest)
+    joined = once(joined, _offset=offset).withColumn("clock", clock)
+    open_zone = r["others"].isNotNull() & F.col("_offset").isNull()
+    clear = ((F.col("_posterior") >= CERTAIN) | same) & ~open_zone
+    utc = F.when(r["dated"], None).when(F.col("_offset").isNotNull(), r["wall"] - F.make_dt_interval(F.lit(0), F.lit(0), F.col("_offset"), F.lit(0).cast("decimal(18,6)"))).otherwise(F.col("_utc"))
     joined = joined.withColumn("utc", F.when(clear, utc))
-    day = F.when(r["offset"].isNotNull() & ~r["dated"], F.when(zone.isNotNull(), F.convert_timezone(F.lit("UTC"), zone, F.col("utc")).cast("date"))).otherwise(r["wall"].cast("date"))
+    day = F.when(F.col("_offset").isNotNull() & ~r["dated"], F.when(zone.isNotNull(), F.convert_timezone(F.lit("UTC"), zone, F.col("utc")).cast("date"))).otherwise(r["wall"].cast("date"))
     blank = F.trim(F.coalesce(F.col(value_col), F.lit(""))) == ""
     status = (
         F.when(blank, "missing").when(F.size("_readings") == 0, "invalid").when(~clear, "ambiguous")
@@ -180,7 +221,7 @@ def normalise(values: DataFrame, value_col: str = "encounter_date") -> DataFrame
         .withColumn("format", F.get(F.array(*(F.lit(x) for x in FORMATS)), r["format"]))
         .withColumn("posterior", F.round("_posterior", 6))
         .withColumn("status", status)
-        .drop("_readings", "_s", "_s2", "_weights", "_best", "_posterior")
+        .drop("_readings", "_s", "_s2", "_weights", "_best", "_posterior", "_utc", "_offset")
     )
 
 
@@ -201,7 +242,9 @@ def dated_records(encounters: DataFrame, facilities: DataFrame, **tables: tuple[
     out = placed.withColumn("source_table", F.lit("encounters")).withColumn("record_key", F.col("encounter_id")).select(*columns)
     for name, (rows, key) in tables.items():
         own = rows.select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("record_key"), "encounter_id", "encounter_date")
-        out = out.unionByName(own.join(placed.drop("encounter_date"), "encounter_id", "left").select(*columns))
+        # Null keys meet nothing and stay out of the join, whose tasks they would load unevenly.
+        bare = own.where("encounter_id is null").withColumns({c: F.lit(None).cast("string") for c in ("facility", "time_zone", "date_order")})
+        out = out.unionByName(own.where("encounter_id is not null").join(placed.drop("encounter_date"), "encounter_id", "left").select(*columns)).unionByName(bare.select(*columns))
     return out
 
 

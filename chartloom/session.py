@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,12 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; on a session without one (tests) make a temporary folder."""
+    """Return the session's checkpoint folder. On a local master without one (tests) a temporary folder is made; a
+    cluster without one is an error, because a folder of one machine would lose data with that machine."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartloom-ckpt-")
+    path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="chartloom-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
@@ -44,10 +49,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Materialise ``df`` and mark it for broadcast if it has at most ``rows`` rows; else it is joined by shuffle."""
+#: Most bytes of a table that is broadcast, by the length of its rows as JSON.
+BROADCAST_BYTES = 32 << 20
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table has at most ``most`` bytes."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(c) for c in df.columns))))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= most
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise ``df`` and mark it for broadcast if it has at most ``most`` bytes; else it is joined by shuffle."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def spread_join(large: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner", parts: int = 16, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``large`` with a table that has one row per key, whatever share of ``large`` one key holds.
+
+    A small table is broadcast. A larger one is repeated once per salt and joined by shuffle, so a hot key is spread
+    over ``parts`` tasks.
+    """
+    small = cut(small)
+    if is_small(small, most):
+        return large.join(F.broadcast(small), on, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return large.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
 def once(df: DataFrame, **columns) -> DataFrame:

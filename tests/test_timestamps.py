@@ -80,6 +80,25 @@ def test_order_is_learnt_without_a_declared_one(spark):
     assert str(out["same", "04/04/2024"].local_day) == "2024-04-04"
 
 
+def test_contrary_values_outweigh_the_declared_order(spark):
+    make = lambda f, vs: [("t", f, NY, "mdy", v) for v in vs]
+    contrary = [f"{d}/0{m}/2024" for d in range(13, 28) for m in range(1, 9)] * 2
+    values = make("contrary", [*contrary, "03/04/2024"]) + make("split", [*contrary[:30], "03/04/2024"]) + make("alone", ["03/04/2024"])
+    out = {(r.facility, r.encounter_date): r for r in normalise(spark.createDataFrame(values, VALUE.replace(", status string", ""))).collect()}
+    assert str(out["contrary", "03/04/2024"].local_day) == "2024-04-03"
+    assert out["split", "03/04/2024"].status == "ambiguous"
+    assert str(out["alone", "03/04/2024"].local_day) == "2024-03-04"
+
+
+def test_clock_changes_and_zone_names(spark):
+    cases = [("2024-10-27 02:30", BERLIN, "dmy", "2024-10-27 00:30:00", "repeated"), ("2024-03-31 02:30", BERLIN, "dmy", "2024-03-31 01:30:00", "skipped"), ("2024-10-28 02:30", BERLIN, "dmy", "2024-10-28 01:30:00", "once"), ("2024-06-01 10:00 IST", "Europe/Dublin", "dmy", "2024-06-01 09:00:00", None), ("2024-06-01 10:00 IST", "Asia/Kolkata", "dmy", "2024-06-01 04:30:00", None), ("2024-06-01 10:00 CST", "Asia/Shanghai", "dmy", "2024-06-01 02:00:00", None), ("2024-06-01 10:00 IST", None, "dmy", None, None), ("2024-06-01 10:00 JST", None, "dmy", "2024-06-01 01:00:00", None)]
+    got = {(r.encounter_date, r.time_zone): r for r in normalise(rows(spark, cases)).selectExpr("*", "cast(utc as string) u").collect()}
+    for value, zone, _, utc, clock in cases:
+        r = got[value, zone]
+        assert (r.u, r.clock) == (utc, clock), (value, zone, r)
+        assert r.status == ("ok" if utc else "ambiguous")
+
+
 def test_contradictions(spark):
     enc = spark.createDataFrame(
         [("E1", "2024-03-04 10:00", "F", datetime(2024, 1, 1)), ("E1", "2024-03-05 10:00", "F", datetime(2024, 1, 2)), ("E2", "March 4, 2024", "F", None), ("E3", None, "F", None), (None, "x", "F", None)],
