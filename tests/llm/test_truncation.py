@@ -51,3 +51,19 @@ def test_answers_do_not_depend_on_corpus_size(spark):
 
     for times in (1, 5):
         assert corpus(times) == {f"{t}-mg" for t in range(times)}
+
+
+def test_every_cut_has_evidence(spark):
+    got = {r.doc_id: r for r in truncated_texts(spark.createDataFrame(rows(), DOCS)).collect()}
+    assert [list(got[i].evidence) for i in (10, 11, 12, 13, 15, 16)] == [["prefix"], ["phrase"], ["mark", "prefix"], ["mark", "prefix"], [], ["prefix"]]
+    assert all(r.cut == bool(r.evidence) for r in got.values())
+    # Nothing known about the last token and no mark: no case.
+    assert not got[20].cut
+
+
+def test_words_of_any_length(spark):
+    long = "immuno" * 40
+    docs = [(1, f"Stain with {long} today.", "a"), (2, f"Stain with {long[:200]}", "a"), (3, f"Stain with {long[:199]}x", "a")]
+    got = {r.doc_id: r for r in truncated_texts(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got[2].prefix_of == long and list(got[2].evidence) == ["prefix"]
+    assert not got[3].cut
