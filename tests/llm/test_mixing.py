@@ -1,20 +1,33 @@
-import numpy as np
+import math
 
-from chartloom.llm.mixing import mixture, mixture_shares, solve_rates
+import pytest
+
+from chartloom.llm.mixing import dual_variables, mixture, mixture_shares
 
 DOC = "doc_id long, text string, source string, copies int"
 TARGET = "source string, target_share double, max_repeats int, tokens int"
-
-
-def test_rates_meet_the_shares_under_the_caps():
-    tokens, shares, caps = np.array([100.0, 5000.0, 0.0, 800.0]), np.array([0.2, 0.5, 0.1, 0.2]), np.array([4, 1, 3, 2])
-    rates = solve_rates(tokens, shares, caps)
-    got = rates * tokens
-    assert (rates <= caps + 1e-9).all() and rates[2] == 0
-    np.testing.assert_allclose(got / got.sum(), np.array([0.2, 0.5, 0, 0.2]) / 0.9, rtol=1e-6)
-    assert np.isclose(rates[0], 4)  # the scarcest source is used to its cap
-    fixed = solve_rates(tokens, shares, caps, total=10_000)
-    assert np.isclose(fixed[0], 4) and np.isclose(fixed[1] * 5000, 5000)
+LENGTHS = "source string, tokens int, n long, share double, cap double"
+
+
+def given(lengths, cap, mean, dual):
+    return sum(n * t * (cap if dual is None else min(cap, math.exp(min(700, dual * t / mean)))) for t, n in lengths)
+
+
+@pytest.mark.parametrize("total", [None, 2_000])
+def test_newton_meets_the_shares_by_tilting_documents(spark, total):
+    sources = {"few": ([(2, 30), (40, 5)], 0.2, 4.0), "many": ([(1, 500), (10, 100), (400, 9)], 0.5, 1.0), "mid": ([(7, 70), (900, 1)], 0.3, 3.0)}
+    rows = [(s, t, n, share, cap) for s, (ls, share, cap) in sources.items() for t, n in ls]
+    got = {r.source: r for r in dual_variables(spark.createDataFrame(rows, LENGTHS), total).collect()}
+    whole = total or min(cap * sum(t * n for t, n in ls) / share for ls, share, cap in sources.values())
+    for s, (ls, share, cap) in sources.items():
+        r, tokens = got[s], sum(t * n for t, n in ls)
+        assert math.isclose(r.mean, tokens / sum(n for _, n in ls))
+        want = min(share * whole, cap * tokens)
+        assert math.isclose(r.goal, want) and math.isclose(given(ls, cap, r.mean, r.dual), want, rel_tol=1e-6)
+        if r.dual is not None:
+            # One constant rate would miss the optimum: the documents of a source differ by their length.
+            assert abs(r.dual - math.log(want / tokens)) > 1e-3
+    assert (got["few"].dual is None) == (total is None)  # the scarcest source is used to its cap
 
 
 def test_mix(spark):
