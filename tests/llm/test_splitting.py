@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -27,6 +29,23 @@ def test_cut_at_the_change_of_topic():
     assert cut_points(a + b, 700, 50)[0] == len(a)
 
 
+def test_depths_against_whole_vectors():
+    rnd = random.Random(7)
+    # More different words than fit a small table of ids.
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = " ".join(" ".join(rnd.choice(words[i * 40 : i * 40 + 60]) for _ in range(9)) + "." for i in range(60) for _ in range(3))
+    at = splitting._boundaries(text)[0]
+    parts = [Counter(splitting._WORD.findall(text[a:b])) for a, b in zip([0, *at], [*at, len(text)])]
+    sims = []
+    for i in range(1, len(parts)):
+        left, right = sum(parts[max(0, i - splitting.SIDE) : i], Counter()), sum(parts[i : i + splitting.SIDE], Counter())
+        norm = math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
+        sims.append(sum(v * right[w] for w, v in left.items()) / norm if norm else 0.0)
+    near = lambda i, d: max(sims[max(0, i - splitting.SIDE) : i + 1] if d < 0 else sims[i : i + splitting.SIDE + 1])
+    want = [near(i, -1) + near(i, 1) - 2 * s for i, s in enumerate(sims)]
+    assert splitting._depths(text, at) == pytest.approx(want)
+
+
 @pytest.mark.parametrize("block", [splitting.BLOCK, 700])
 def test_pieces_join_to_the_section(spark, monkeypatch, block):
     monkeypatch.setattr(splitting, "BLOCK", block)
@@ -44,6 +63,23 @@ def test_pieces_join_to_the_section(spark, monkeypatch, block):
     assert rows[0].page_start == 1 and rows[-1].page_end == 29 and rows[0].section == "Plan"
 
 
+def test_seams_of_blocks_lie_at_topic_boundaries(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "BLOCK", 3000)
+    topics = ["The heart rhythm and heart valves were checked by heart monitor. ", "Knee joint cartilage and knee ligament pain limit the knee motion. ", "Skin lesion biopsy showed skin tissue without malignant skin cells. "]
+    # Pages end inside topics, so page breaks are no boundaries of their own.
+    whole = "".join(topics[i % 3] * 8 for i in range(30))
+    pages = [("d", i + 1, whole[a : a + 500], None, "x") for i, a in enumerate(range(0, len(whole), 500))]
+    chunks = [("s", "d", 1, len(pages), "Plan", "section", 0)]
+    rows = split_sections(spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(pages, PAGE), 700, 50).orderBy("piece_no").collect()
+    text = "\n".join(p[2] for p in pages)
+    plain = text.replace("\n", " ")
+    ends = [r.piece_start + len(r.piece) for r in rows[:-1]]
+    words = [(plain[: e].split()[-4:], plain[e:].split()[:4]) for e in ends]
+    assert all(r.piece == text[r.piece_start : r.piece_start + len(r.piece)] and len(r.piece) <= 700 for r in rows)
+    assert ends[-1] < len(text) and rows[0].piece_start == 0 and all(b.piece_start == e - 50 for b, e in zip(rows[1:], ends))
+    assert sum(a[-1].endswith(".") for a, _ in words) >= 0.9 * len(words)
+
+
 def test_empty(spark):
     chunks, pages = spark.createDataFrame([], CHUNK), spark.createDataFrame([], PAGE)
     assert split_sections(chunks, pages).count() == 0
