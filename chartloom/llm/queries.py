@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chartloom.llm.encode import encode_corpus
 from chartloom.llm.mixing import mixture, mixture_shares
 from chartloom.llm.pii import lexicon_names, pages_with_items, redacted
-from chartloom.llm.repeats import repeated_lines, without_repeats
+from chartloom.llm.repeats import repeated_lines, repeated_spans, without_repeats
 from chartloom.llm.scans import repaired_pages, scan_traces
 from chartloom.llm.splitting import split_sections
 from chartloom.llm.truncation import truncated_texts, truncation_by_source
@@ -69,6 +69,11 @@ def p4_clean_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "page_content"))
 
 
+def p4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of text that one chart repeats, whatever lines they begin and end in."""
+    return repeated_spans(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "page_content"))
+
+
 def p7_mix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source in the mix."""
     return mixture_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -90,7 +95,7 @@ def p8_cut_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p2_found, p2_pieces, p4_found, p4_clean_blocks, p5_found, p5_redacted_pages, p5_redacted_blocks, p6_ids, p7_mix_shares, p7_mix_copies, p8_found, p8_cut_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_repaired_pages, p2_found, p2_pieces, p4_found, p4_clean_blocks, p4_repeated_spans, p5_found, p5_redacted_pages, p5_redacted_blocks, p6_ids, p7_mix_shares, p7_mix_copies, p8_found, p8_cut_share_by_source)}
 
 
 #: Length of each section's text, by SQL.

@@ -1,27 +1,34 @@
-"""Removal of lines that one chart repeats on many of its pages (problem 4).
+"""Removal of text that one chart repeats on many of its pages (problem 4).
 
-Lines are compared by a key without digits, case, spacing and punctuation. Content-defined chunking cuts each key
-where a rolling hash of its last bytes says so; a chunk that stands on many distinct pages of its chart marks the
-lines that hold it. Damage inside a line changes one or two of its chunks only, so damaged copies are marked too.
-An exact check on the marked lines then decides by edit distance to the chart's frequent keys.
+The text of a block is read as a running string of its letters, without digits, case, spacing, punctuation and line
+breaks. Content-defined chunking cuts it where a rolling hash of the last letters says so, so a repeated passage gives
+the same chunks wherever it stands and however it is wrapped. A chunk that stands on many distinct pages of its chart
+marks the lines and the runs of text that hold it; damage inside a passage changes one or two of its chunks only.
+Lines are then decided by an exact check: edit distance to the chart's frequent keys. Runs of repeated chunks inside
+longer lines are given as spans whose ends are chunk borders.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.session import cut
+from chartloom.session import cut, once, spread_join
 
 WINDOW, MEAN_CHUNK = 3, 6
+#: A line of fewer letters has too few chunks of its own, so chunks begin and end with it; all others run over line breaks.
+SHORT_LINE = 32
 #: A line is looked at if this share of its chunks is repeated.
-MARKED_SHARE = 0.25
-#: Broadcast a per-chart table only up to this many rows.
-BROADCAST_ROWS = 200_000
+MARKED_SHARE = 0.2
+#: Letters of the shortest repeated run of text.
+SPAN = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -31,11 +38,11 @@ def line_key(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "#"), r"[^\p{L}#]", "")
 
 
-def _chunk_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk hashes of strings that lie end to end in ``data``, and the offsets of each string's chunks."""
+def _chunks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and hashes of the chunks of strings that lie end to end in ``data``."""
     n = len(data)
     if n == 0:
-        return np.zeros(len(offsets), dtype=np.int32), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     with np.errstate(over="ignore"):
         values = data.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x94D049BB133111EB)
         roll = np.zeros(n, dtype=np.uint64)
@@ -60,26 +67,83 @@ def _chunk_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np
         inverse = np.multiply.accumulate(inverse)
         h = (sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.searchsorted(ends, offsets, side="right").astype(np.int32), (h ^ (h >> np.uint64(30))).view(np.int64)
+    return ends, (h ^ (h >> np.uint64(30))).view(np.int64)
+
+
+def _bytes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the strings of an array, from 0 on."""
+    keys = pa.concat_arrays([pc.fill_null(keys.cast(pa.large_string()), "")])
+    if not len(keys):
+        return np.zeros(1, dtype=np.int64), np.zeros(0, np.uint8)
+    buffers = keys.buffers()
+    offsets = np.frombuffer(buffers[1], dtype=np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    return offsets - offsets[0], np.frombuffer(buffers[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def chunk_hashes(keys: pa.Array) -> pa.Array:
     """Hashes of the content-defined chunks of each key; none for an empty or null key."""
-    keys = pc.fill_null(keys.cast(pa.large_string()), "")
-    keys = pa.concat_arrays([keys])
-    buffers = keys.buffers()
-    offsets = np.frombuffer(buffers[1], dtype=np.int64)[keys.offset : keys.offset + len(keys) + 1]
-    data = np.frombuffer(buffers[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(keys) else np.zeros(0, np.uint8)
-    bounds, hashes = _chunk_hashes(offsets - (offsets[0] if len(offsets) else 0), data)
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes, pa.int64()))
+    offsets, data = _bytes(keys)
+    ends, hashes = _chunks(offsets, data)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(ends, offsets, side="right"), pa.int32()), pa.array(hashes, pa.int64()))
+
+
+def _units(blocks: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Where chunking starts anew: at each block, and before and after each short line."""
+    short = np.flatnonzero(np.diff(lines) < SHORT_LINE)
+    return np.unique(np.concatenate((lines[blocks], lines[short], lines[short + 1])))
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def running_chunks(lines: pa.Array) -> pa.Array:
+    """For each block, given as the keys of its lines: for each line the hashes of the chunks that it takes part in."""
+    lines = pa.concat_arrays([lines])
+    blocks = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    offsets, data = _bytes(lines.flatten())
+    ends, hashes = _chunks(_units(blocks, offsets), data)
+    first = np.searchsorted(ends, offsets[:-1], side="right")
+    after = np.where(offsets[1:] > offsets[:-1], np.searchsorted(ends, offsets[1:], side="left") + 1, first)
+    sizes = after - first
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - first, sizes)
+    inner = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes[at], pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(blocks, pa.int32()), inner)
+
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _hot_runs(texts: pa.Array, hot: pa.Array) -> pa.Array:
+    """Runs of repeated chunks of at least SPAN letters, as offsets in the text (``end`` excluded)."""
+    out = []
+    for text, wanted in zip(texts.to_pylist(), hot.to_pylist()):
+        runs: list[dict] = []
+        # Each letter of the running key with its place in the text.
+        at = [(m.start(), b) for m in _KEPT.finditer(text) for b in ("#" if m.group()[0].isdigit() else m.group().lower()).encode()]
+        line_ends = [m.start() for m in re.finditer("\n", text)] + [len(text)]
+        places = np.array([a for a, _ in at], dtype=np.int64)
+        lines = np.concatenate(([0], np.searchsorted(places, line_ends)))
+        ends, hashes = _chunks(_units(np.array([0, len(lines) - 1]), lines), np.array([b for _, b in at], dtype=np.uint8))
+        held = np.isin(hashes, np.array(wanted or [], dtype=np.int64))
+        begin = None
+        for k in range(len(ends) + 1):
+            if k < len(ends) and held[k]:
+                begin = (ends[k - 1] if k else 0) if begin is None else begin
+            elif begin is not None:
+                stop = ends[k - 1]
+                if stop - begin >= SPAN:
+                    runs.append({"start": int(places[begin]), "end": int(places[stop]) if stop < len(places) else len(text)})
+                begin = None
+        out.append(runs)
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
-def _lines(blocks: DataFrame) -> DataFrame:
-    lines = blocks.select(
-        "document_id", "page_number", "block_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    ).select("document_id", "page_number", "block_id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line")).alias("key"))
-    return lines.where("key <> '' and document_id is not null and page_number is not null")
+
+_KEPT = regex.compile(r"[0-9]+|\p{L}")
+
+
+def _keyed(blocks: DataFrame) -> DataFrame:
+    """Blocks with the keys of their lines; without those that have no text, chart or page."""
+    return blocks.where("text <> '' and document_id is not null and page_number is not null").select(
+        "document_id", "page_number", "block_id", F.transform(F.split("text", "\n"), line_key).alias("keys")
+    )
 
 
 def _pages_with(df: DataFrame, *keys: str) -> DataFrame:
@@ -92,20 +156,17 @@ def _pages_with(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Materialise a table with one row per chart; broadcast it only if it is small."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _tolerance(length: Column) -> Column:
-    """Edits allowed to a key of this length: none under 5 letters, else one and one more for every 8, 16 at most."""
-    return F.when(length < 5, F.lit(0)).otherwise(F.least(F.lit(16), F.lit(1) + F.floor(length / 8))).cast("int")
+    """Edits allowed to a key of this length: none under 5 letters, else one and one more for every 8."""
+    return F.when(length < 5, F.lit(0)).otherwise(F.lit(1) + F.floor(length / 8)).cast("int")
 
 
 def _near(a: Column, b: Column) -> Column:
     """Whether ``a`` is ``b`` with a few edits."""
-    return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= _tolerance(F.length(b))) & (F.levenshtein(a, b, 16) <= _tolerance(F.length(b))) & (F.levenshtein(a, b, 16) >= 0))
+    close = F.abs(F.length(a) - F.length(b)) <= _tolerance(F.length(b))
+    # The bound 16 of the first test spares most of the work; only keys of more than 120 letters need the whole distance.
+    few = F.levenshtein(a, b, 16)
+    return (a == b) | (close & F.when(_tolerance(F.length(b)) <= 16, (few >= 0) & (few <= _tolerance(F.length(b)))).otherwise(F.levenshtein(a, b) <= _tolerance(F.length(b))))
 
 
 def _matched(key: Column, anchors: Column) -> Column:
@@ -125,67 +186,89 @@ def _matched(key: Column, anchors: Column) -> Column:
         ),
     )
     single = F.filter(anchors, lambda a: _near(key, a))
-    return (
-        F.when(F.array_contains(anchors, key), F.array(key))
-        .when(F.size(single) > 0, single)
-        .otherwise(together)
-    )
+    return F.when(F.size(single) > 0, single).otherwise(together)
 
 
-def repeated_lines(blocks: DataFrame, pages: DataFrame, share: float = 1 / 3, least: int = 4) -> DataFrame:
-    """Lines ``(document_id, page_number, block_id, line_no)`` that stand on at least ``share`` of the chart's pages.
+def _need(pages: DataFrame, share: float, least: int) -> DataFrame:
+    """Pages on which a chart must show a line or chunk for it to count as repeated."""
+    n = _pages_with(pages.where("document_id is not null and page_number is not null").select("document_id", "page_number"), "document_id")
+    return n.select("document_id", F.greatest(F.lit(float(least)), F.col("pages") * share).alias("need"))
 
-    ``least`` is the fewest pages that count as repetition. The pages of a chart are those of ``pages``. Lines
-    without letters and digits, blocks with null text, chart or page, and charts without pages give no rows; rows
-    stored twice give one row. Extra columns are ignored.
+
+def hot_chunks(blocks: DataFrame, pages: DataFrame, share: float, least: int, lines_share: float, pages_share: float) -> DataFrame:
+    """One row per chart: ``need`` and the chunks (``hot``) that stand on at least ``pages_share`` of the needed pages.
+
+    A chart has at most (chunks of a page / (pages_share * share)) of them, whatever its number of pages. One bit for
+    each page of a run of 64 counts distinct pages exactly in pre-aggregated shuffles, so no task holds a whole chart.
     """
-    n = _pages_with(pages.where("document_id is not null and page_number is not null").select("document_id", "page_number"), "document_id")
-    need = n.select("document_id", F.greatest(F.lit(float(least)), F.col("pages") * share).alias("need"))
-    lines = _lines(blocks)
-    chunks = lines.select(F.xxhash64("document_id").alias("chart"), "page_number", F.explode(F.array_distinct(chunk_hashes("key"))).alias("chunk"))
-    # Looser than the rule, because damage may hide a copy: the exact check below decides. One bit for each page of a
-    # run of 64 tells many pages from many lines of few pages, exactly and in pre-aggregated shuffles.
+    need = _need(pages, share, least)
+    chunks = _keyed(blocks).select(F.xxhash64("document_id").alias("chart"), "page_number", F.explode(F.array_distinct(F.flatten(running_chunks("keys")))).alias("chunk"))
     run = F.floor(F.col("page_number") / 64)
     hot = (
         chunks.groupBy("chart", "chunk", run.alias("run"))
-        .agg(F.count("*").alias("lines"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(page_number, 64) as int))"))).alias("pages"))
-        .groupBy("chart", "chunk").agg(F.sum("lines").alias("lines"), F.sum("pages").alias("on_pages"))
-        .where(F.col("lines") >= least * 0.75)
+        .agg(F.count("*").alias("blocks"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(page_number, 64) as int))"))).alias("pages"))
+        .groupBy("chart", "chunk").agg(F.sum("blocks").alias("blocks"), F.sum("pages").alias("on_pages"))
+        .where(F.col("blocks") >= least * lines_share)
         .join(need.withColumn("chart", F.xxhash64("document_id")), "chart")
-        .where((F.col("lines") >= F.col("need") * 0.75) & (F.col("on_pages") >= F.col("need") * 0.6))
+        .where((F.col("blocks") >= F.col("need") * lines_share) & (F.col("on_pages") >= F.col("need") * pages_share))
     )
-    # A chart has at most (chunks of a page / (0.75 * share)) hot chunks, whatever its number of pages.
-    hot = _bounded(hot.groupBy("document_id").agg(F.collect_set("chunk").alias("hot"), F.first("need").alias("need")))
-    marked = cut(
-        lines.join(hot, "document_id")
-        .withColumn("own", F.array_distinct(chunk_hashes("key")))
-        .where(F.size(F.array_intersect("own", "hot")) >= F.size("own") * MARKED_SHARE)
-        .drop("hot", "own")
+    return hot.groupBy("document_id").agg(F.collect_set("chunk").alias("hot"), F.first("need").alias("need"))
+
+
+def _marked(blocks: DataFrame, pages: DataFrame, share: float, least: int) -> DataFrame:
+    """Lines with repeated chunks: (document_id, page_number, block_id, line_no, key, need)."""
+    # Looser than the rule, because damage may hide a copy: the exact check decides.
+    hot = hot_chunks(blocks, pages, share, least, 0.75, 0.6)
+    rows = spread_join(_keyed(blocks), hot, ["document_id"], F.col("page_number"))
+    rows = rows.withColumn("chunks", running_chunks("keys"))
+    lines = F.filter(
+        F.transform(F.arrays_zip("keys", "chunks"), lambda x, i: F.struct((i + 1).alias("line_no"), x["keys"].alias("key"), F.array_distinct(x["chunks"]).alias("own"))),
+        lambda x: (x["key"] != "") & (F.size(F.array_intersect(x["own"], F.col("hot"))) >= F.size(x["own"]) * MARKED_SHARE),
     )
+    return rows.select("document_id", "page_number", "block_id", "need", F.explode(lines).alias("l")).select("document_id", "page_number", "block_id", "need", "l.line_no", "l.key")
+
+
+def repeated_lines(blocks: DataFrame, pages: DataFrame, share: float = 1 / 3, least: int = 4) -> DataFrame:
+    """Lines ``(document_id, page_number, block_id, line_no)`` that stand on at least ``share`` of the chart's pages.
+
+    ``least`` is the fewest pages that count as repetition. The pages of a chart are those of ``pages``. Lines
+    without letters and digits, blocks with null text, chart or page, and charts without pages give no rows; rows
+    stored twice give one row. Extra columns are ignored.
+    """
+    marked = cut(_marked(blocks, pages, share, least))
+    # From here on each distinct key of a chart is looked at once, however many lines have it.
+    keys = cut(_pages_with(marked, "document_id", "key", "need").withColumn("own", chunk_hashes("key")))
     anchors = (
-        _pages_with(marked, "document_id", "key", "need").where(F.col("pages") >= F.col("need") * 0.5)
-        .groupBy("document_id").agg(F.collect_set("key").alias("anchors"))
-    )
-    # An anchor stands for its near forms too; they are found once per chart, not once per line.
-    near = F.transform("anchors", lambda a: F.filter("anchors", lambda b: _near(a, b)))
-    anchors = anchors.withColumn("akin", F.map_from_arrays("anchors", near))
-    matched = cut(
-        marked.join(_bounded(anchors), "document_id")
-        .withColumn("matched", F.coalesce(F.try_element_at("akin", F.col("key")), _matched(F.col("key"), F.col("anchors"))))
-        .where(F.size("matched") > 0)
-        .drop("anchors", "akin", "key")
+        keys.where(F.col("pages") >= F.col("need") * 0.5)
+        .groupBy("document_id").agg(F.collect_list(F.struct("key", "own")).alias("anchors"))
     )
+    # Anchors that share a chunk with the key are compared by edits, all others only where none of these match.
+    akin = F.transform(F.filter("anchors", lambda a: F.arrays_overlap(a["own"], F.col("own"))), lambda a: a["key"])
+    matched = once(spread_join(keys, anchors, ["document_id"], F.col("key")), matched=_matched(F.col("key"), akin))
+    anyone = _matched(F.col("key"), F.transform("anchors", lambda a: a["key"]))
+    matched = matched.withColumn("matched", F.when(F.size("matched") > 0, F.col("matched")).otherwise(anyone))
+    matched = cut(once(matched.drop("own", "anchors"), matched=F.col("matched")).where(F.size("matched") > 0).select("document_id", "key", "need", "matched"))
+    standing = spread_join(marked.select("document_id", "key", "page_number"), matched, ["document_id", "key"], F.col("page_number"))
     enough = (
-        _pages_with(matched.select("document_id", "page_number", "need", F.explode("matched").alias("anchor")), "document_id", "anchor", "need")
+        _pages_with(standing.select("document_id", "page_number", "need", F.explode("matched").alias("anchor")), "document_id", "anchor", "need")
         .where(F.col("pages") >= F.col("need"))
         .groupBy("document_id").agg(F.collect_set("anchor").alias("enough"))
     )
-    return (
-        matched.join(_bounded(enough), "document_id")
-        .where(F.arrays_overlap("matched", "enough"))
-        .select("document_id", "page_number", "block_id", "line_no")
-        .distinct()
-    )
+    found = spread_join(matched, enough, ["document_id"], F.col("key")).where(F.arrays_overlap("matched", "enough")).select("document_id", "key")
+    return spread_join(marked, found, ["document_id", "key"], F.col("page_number")).select("document_id", "page_number", "block_id", "line_no").distinct()
+
+
+def repeated_spans(blocks: DataFrame, pages: DataFrame, share: float = 1 / 3, least: int = 4) -> DataFrame:
+    """Runs of running text, of SPAN letters or more, whose chunks each stand on at least ``share`` of the chart's pages.
+
+    Columns: document_id, page_number, block_id, start, end (offsets in the text), whatever lines the run begins and
+    ends in. The cuts lie at chunk borders, so up to a chunk of the repeated passage may stay at either end. Blocks
+    with null or empty text, chart or page give no rows; rows stored twice give one.
+    """
+    hot = hot_chunks(blocks, pages, share, least, 1.0, 1.0)
+    rows = blocks.where("text <> '' and document_id is not null and page_number is not null").select("document_id", "page_number", "block_id", "text")
+    rows = spread_join(rows, hot, ["document_id"], F.col("page_number"))
+    return rows.select("document_id", "page_number", "block_id", F.explode(_hot_runs("text", "hot")).alias("s")).select("document_id", "page_number", "block_id", "s.*").distinct()
 
 
 def without_repeats(blocks: DataFrame, pages: DataFrame, **limits) -> DataFrame:

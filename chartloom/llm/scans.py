@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartloom.llm.repeats import _bounded, _matched, chunk_hashes, line_key
-from chartloom.session import cut
+from chartloom.llm.repeats import _matched, chunk_hashes, line_key
+from chartloom.session import broadcast_if_small, cut, spread_join
 
 TOKEN = r"[\p{N}$†|]*+\p{L}[\p{L}\p{N}$†|]*+"
 #: A word of at least this share of all words is known; there can be no more than its inverse of them.
@@ -152,7 +152,7 @@ def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[D
         seen.groupBy("key").agg(F.count_if("running").alias("running"), F.count_if(F.col("pages") >= least * 2).alias("charts"))
         .where("running >= 2 and running >= 0.2 * charts").select("key")
     )
-    return _bounded(own), cut(common)
+    return own, cut(common)
 
 
 def running_lines(pages: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def running_lines(pages: DataFrame) -> DataFrame:
     # A damaged copy still shares chunks with the running line; only such lines are compared by edits.
     akin = F.arrays_overlap(chunk_hashes("key"), "chunks")
     return (
-        edge.join(own, "document_id", "left")
+        spread_join(edge, own, ["document_id"], F.col("page_number"), "left")
         .join(common.withColumn("common", F.lit(True)), "key", "left")
         .where(F.col("common") | F.when(akin, F.size(_matched(F.col("key"), F.col("anchors"))) > 0))
         .select("document_id", "page_number", "line")

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from chartloom.llm.repeats import chunk_hashes, repeated_lines, without_repeats
+from chartloom.llm.repeats import chunk_hashes, repeated_lines, repeated_spans, running_chunks, without_repeats
 
 BLOCK = "document_id string, page_number int, block_id string, text string, block_type string, key string"
 PAGE = "document_id string, page_number int, key string"
@@ -77,3 +77,38 @@ def test_equal_damaged_copies_count_for_the_intact_line(spark):
     blocks += [("d", p, "a", whole if p < 3 else short if p < 5 else "", "text", "k") for p in range(1, 13)]
     found = repeated_lines(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(pages, PAGE)).collect()
     assert {(r.document_id, r.page_number) for r in found} == {("c", p) for p in range(1, 13)} | {("d", p) for p in range(1, 5)}
+
+
+def test_chunks_run_over_line_breaks(spark):
+    long = "wehavealongkeyoflettersthatiscutwhereverthehashsays" * 2
+    other = "ashortbeginningofthirtyletters"
+    df = spark.createDataFrame([(0, [long]), (1, [long[:50], long[50:]]), (2, [other, long[:30], long[30:]]), (3, ["", "#"]), (4, []), (5, None)], "i int, keys array<string>")
+    got = {r.i: r.c for r in df.select("i", running_chunks("keys").alias("c")).collect()}
+    assert got[0][0] == list(dict.fromkeys(got[1][0] + got[1][1])) or set(got[0][0]) == set(got[1][0] + got[1][1])
+    assert len(set(got[0][0]) & {h for line in got[2] for h in line}) >= len(set(got[0][0])) - 1
+    assert got[3][0] == [] and len(got[3][1]) == 1 and got[4] == []
+
+
+def test_text_repeated_without_line_breaks(spark):
+    notice = "This copy was made by the records office and may not be shared without the written consent of the patient"
+    pages = [("c", p, "x") for p in range(1, 13)]
+    # Another sentence before and after it, and another line break in it, on each page.
+    blocks = [("c", p, "a", f"{BODY[p % 7]} {notice[: 9 * p]}\n{notice[9 * p :]} {BODY[(p * 3 + 1) % 7]}", "text", "k") for p in range(1, 13)]
+    blocks += [("c", 3, "n", None, None, None), ("c", 4, "e", "", None, None), (None, 4, "e", notice, None, None), blocks[0]]
+    rows = repeated_spans(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(pages, PAGE)).collect()
+    assert {(r.page_number, r.block_id) for r in rows} == {(p, "a") for p in range(1, 13)} and len(rows) == 12
+    for r in rows:
+        cut = blocks[r.page_number - 1][3][r.start : r.end].replace("\n", " ").replace("  ", " ")
+        assert "records office and may not be shared without the written consent of the" in cut.replace("rec ords", "records") or len(cut) > 70
+    assert repeated_spans(spark.createDataFrame([], BLOCK), spark.createDataFrame(pages, PAGE)).count() == 0
+
+
+def test_long_lines_with_much_damage(spark):
+    line = " ".join(f"clause{chr(97 + i % 26)} of the notice binds party{chr(97 + i // 26)}" for i in range(60))
+    damaged = line
+    for i in range(20):
+        damaged = damaged.replace(f"clause{chr(97 + i)} of", f"clavse{chr(97 + i)} of", 1)
+    pages = [("c", p, "x") for p in range(1, 10)]
+    blocks = [("c", p, "a", damaged if p == 4 else line, "text", "k") for p in range(1, 10)]
+    found = repeated_lines(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(pages, PAGE)).collect()
+    assert {r.page_number for r in found} == set(range(1, 10))
