@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.session import cut, once, spread_join
+from chartloom.session import cut, once, spread_join, store
 
 WINDOW, MEAN_CHUNK = 3, 6
 #: A line of fewer letters has too few chunks of its own, so chunks begin and end with it; all others run over line breaks.
@@ -169,24 +169,26 @@ def _near(a: Column, b: Column) -> Column:
     return (a == b) | (close & F.when(_tolerance(F.length(b)) <= 16, (few >= 0) & (few <= _tolerance(F.length(b)))).otherwise(F.levenshtein(a, b) <= _tolerance(F.length(b))))
 
 
-def _matched(key: Column, anchors: Column) -> Column:
-    """The frequent keys that a key equals up to small damage, or of which two make it up."""
-    together = F.filter(
-        anchors,
-        lambda a: (F.length(key) > F.length(a))
-        & F.exists(
-            anchors,
-            lambda b: (
-                (F.abs(F.length(key) - F.length(a) - F.length(b)) <= 6)
-                & (
-                    (_near(F.substring(key, F.lit(1), F.length(a)), a) & _near(F.substring(key, F.length(a) + 1, F.length(key)), b))
-                    | (_near(F.substring(key, F.lit(1), F.length(b)), b) & _near(F.substring(key, F.length(b) + 1, F.length(key)), a))
-                )
-            ),
-        ),
+def with_matches(keys: DataFrame) -> DataFrame:
+    """Add ``matched`` to rows with ``key``, ``own`` (its chunks) and ``anchors`` (structs of key and own).
+
+    These are the anchors that the key equals up to small damage, else those of which two make it up, one of them
+    sharing a chunk with it.
+    """
+    key = F.col("key")
+    akin = F.transform(F.filter("anchors", lambda a: F.arrays_overlap(a["own"], F.col("own"))), lambda a: a["key"])
+    keys = once(keys, _akin=akin, _all=F.transform("anchors", lambda a: a["key"]))
+    near = lambda anchors: F.filter(anchors, lambda a: _near(key, a))
+    beside = lambda a, b: (F.abs(F.length(key) - F.length(a) - F.length(b)) <= 6) & (
+        (_near(F.substring(key, F.lit(1), F.length(a)), a) & _near(F.substring(key, F.length(a) + 1, F.length(key)), b))
+        | (_near(F.substring(key, F.lit(1), F.length(b)), b) & _near(F.substring(key, F.length(b) + 1, F.length(key)), a))
     )
-    single = F.filter(anchors, lambda a: _near(key, a))
-    return F.when(F.size(single) > 0, single).otherwise(together)
+    pairs = F.transform(F.filter("_akin", lambda a: F.length(key) > F.length(a)), lambda a: F.struct(a.alias("a"), F.filter("_all", lambda b: beside(a, b)).alias("bs")))
+    together = F.array_distinct(F.flatten(F.transform(F.filter(pairs, lambda p: F.size(p["bs"]) > 0), lambda p: F.array_append(p["bs"], p["a"]))))
+    # One after the other: most keys equal an anchor that shares a chunk.
+    keys = once(keys, matched=near("_akin"))
+    keys = once(keys, matched=F.when(F.size("matched") > 0, F.col("matched")).otherwise(near("_all")))
+    return once(keys, matched=F.when(F.size("matched") > 0, F.col("matched")).otherwise(together)).drop("_akin", "_all")
 
 
 def _need(pages: DataFrame, share: float, least: int) -> DataFrame:
@@ -235,19 +237,15 @@ def repeated_lines(blocks: DataFrame, pages: DataFrame, share: float = 1 / 3, le
     without letters and digits, blocks with null text, chart or page, and charts without pages give no rows; rows
     stored twice give one row. Extra columns are ignored.
     """
-    marked = cut(_marked(blocks, pages, share, least))
+    marked = store(_marked(blocks, pages, share, least))
     # From here on each distinct key of a chart is looked at once, however many lines have it.
-    keys = cut(_pages_with(marked, "document_id", "key", "need").withColumn("own", chunk_hashes("key")))
+    keys = store(_pages_with(marked, "document_id", "key", "need").withColumn("own", chunk_hashes("key")))
     anchors = (
         keys.where(F.col("pages") >= F.col("need") * 0.5)
         .groupBy("document_id").agg(F.collect_list(F.struct("key", "own")).alias("anchors"))
     )
-    # Anchors that share a chunk with the key are compared by edits, all others only where none of these match.
-    akin = F.transform(F.filter("anchors", lambda a: F.arrays_overlap(a["own"], F.col("own"))), lambda a: a["key"])
-    matched = once(spread_join(keys, anchors, ["document_id"], F.col("key")), matched=_matched(F.col("key"), akin))
-    anyone = _matched(F.col("key"), F.transform("anchors", lambda a: a["key"]))
-    matched = matched.withColumn("matched", F.when(F.size("matched") > 0, F.col("matched")).otherwise(anyone))
-    matched = cut(once(matched.drop("own", "anchors"), matched=F.col("matched")).where(F.size("matched") > 0).select("document_id", "key", "need", "matched"))
+    matched = with_matches(spread_join(keys, anchors, ["document_id"], F.col("key")))
+    matched = cut(matched.where(F.size("matched") > 0).select("document_id", "key", "need", "matched"))
     standing = spread_join(marked.select("document_id", "key", "page_number"), matched, ["document_id", "key"], F.col("page_number"))
     enough = (
         _pages_with(standing.select("document_id", "page_number", "need", F.explode("matched").alias("anchor")), "document_id", "anchor", "need")

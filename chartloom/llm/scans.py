@@ -1,7 +1,7 @@
 """Repair of text extracted from scanned pages (problem 1).
 
-Words are grouped by a skeleton that glyphs easily confused share; a rare form whose group has a far more frequent
-form, which the neighbouring words support, is a misreading of it. Running headers and page numbers are the lines
+Words are grouped by a skeleton that glyphs easily confused share. A rare form is a misreading of that far more
+frequent form of its group which the neighbouring words support best. Running headers and page numbers are the lines
 at page edges that a chart repeats once digits are masked. Lines are reflowed into paragraphs with SQL windows.
 """
 
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartloom.llm.repeats import _matched, chunk_hashes, line_key
-from chartloom.session import broadcast_if_small, cut, spread_join
+from chartloom.llm.repeats import chunk_hashes, line_key, with_matches
+from chartloom.session import cut, spread_join, store
 
 TOKEN = r"[\p{N}$†|]*+\p{L}[\p{L}\p{N}$†|]*+"
 #: A word of at least this share of all words is known; there can be no more than its inverse of them.
@@ -25,18 +25,29 @@ BROKEN = r"(?<!\p{L})(\p{L}++)([-‐¬\x{AD}])[ \t]*\r?\n[ \t]*(\p{Ll}[\p{L}$†
 SPACED = r"(?<![\p{L}\p{N}])\p{L}(?: \p{L}){3,}(?![\p{L}\p{N}])"
 STRAY = r"(?m)^[ \t]*[·»¦~`'|†‡\\][ \t]+(?=\S)|(?<=\S)[ \t]+[·»¦~`'|†‡\;.][ \t\r]*$"
 LIGATURES = "[ﬀ-ﬆ]"
+#: Non-blank lines at the top and at the bottom of a page where running lines are looked for; beyond OUTER of them a line
+#: counts only if all lines between it and the edge are running lines too.
+EDGE, OUTER = 8, 3
 #: Cheaper tests that hold wherever SPACED or STRAY match; few texts pass them.
 MAYBE_SPACED = r" \p{L} \p{L} \p{L}(?![\p{L}\p{N}])"
 MAYBE_STRAY = r"(?:^|[ \t\n])[·»¦~`'|†‡\\;.](?:[ \t\r\n]|$)"
 
 #: Glyphs that recognition confuses, each written as the strokes it shares with its lookalikes.
 SINGLE_FROM, SINGLE_TO = "ecil1|!hb8gqt†s$5o0", "eeiiiiihhhggttsssoo"
-STROKES = {"d": "ei", "u": "ii", "n": "ri", "w": "vv", "m": "rri", "ﬁ": "fi", "ﬂ": "fi"}
+STROKES = {"d": "ei", "u": "ii", "n": "ri", "w": "vv", "m": "rri"}
+LIGATURE_LETTERS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def _without_ligatures(text: Column) -> Column:
+    out = text
+    for glyph, letters in LIGATURE_LETTERS.items():
+        out = F.replace(out, F.lit(glyph), F.lit(letters))
+    return F.when(text.rlike(LIGATURES), out).otherwise(text)
 
 
 def skeleton(word: Column) -> Column:
     """A form equal for words that differ in easily confused glyphs only, such as rn and m or cl and d."""
-    out = F.translate(F.lower(word), SINGLE_FROM, SINGLE_TO)
+    out = F.translate(F.lower(_without_ligatures(word)), SINGLE_FROM, SINGLE_TO)
     for glyph, strokes in STROKES.items():
         out = F.replace(out, F.lit(glyph), F.lit(strokes))
     return out
@@ -76,19 +87,18 @@ class Lexicon:
         counts = cut(counts.withColumn("skeleton", skeleton(F.col("word"))))
         least = max(2.0, KNOWN_SHARE * total)
         frequent = counts.where(F.col("n") >= least)
-        # Right forms are words of letters; each skeleton's most frequent one stands for its group.
-        heads = (
-            frequent.where(F.col("word").rlike(r"^\p{L}+$") & (F.length("word") >= 2))
-            .groupBy("skeleton").agg(F.max_by("word", F.struct("n", "word")).alias("right"), F.max("n").alias("right_n"))
+        # Right forms are words of letters: all frequent ones of a skeleton stand for choice.
+        heads = cut(
+            frequent.where(F.col("word").rlike(r"^\p{L}+$") & (F.length("word") >= 3)).select("skeleton", F.col("word").alias("right"), F.col("n").alias("right_n"))
         )
-        heads = cut(heads)
         self.misread = cut(
             counts.join(F.broadcast(heads), "skeleton")
-            .where((F.col("word") != F.col("right")) & (F.col("right_n") >= TIMES * F.col("n")) & (F.length("right") >= 3))
-            .select("word", "right")
+            .where((F.col("word") != F.col("right")) & (F.col("right_n") >= TIMES * F.col("n")))
+            .select("word", "right", "right_n")
         )
-        # At most 1 / KNOWN_SHARE rows, so broadcasting it is safe at any corpus size.
-        self.known = cut(frequent.select("word", "n").join(self.misread.select("word"), "word", "left_anti"))
+        # At most 1 / KNOWN_SHARE rows, so broadcasting it is safe at any corpus size. The share is a rate, so the same
+        # words are known however long the corpus is.
+        self.known = cut(frequent.select("word", "n").join(self.misread.select("word").distinct(), "word", "left_anti"))
 
 
 def _rare(pages: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -97,15 +107,33 @@ def _rare(pages: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def misread_words(rare: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Misread tokens with their right form, where a neighbour supports it or the form holds a glyph no word has."""
-    hits = rare.join(lexicon.misread, "word")
+    """Misread tokens with their right form: the one whose pairs with the neighbours are the most frequent.
+
+    A form counts as supported by a neighbour if its pair with it occurs twice or more, and more often than the
+    written form's own pair. Without support, a form that holds a glyph no word has is read as its most frequent
+    candidate, and any other form is left as it is.
+    """
+    suspects = rare.join(lexicon.misread.select("word").distinct(), "word", "left_semi")
+    places = ["document_id", "page_number", "prev", "word", "next"]
+    left = suspects.groupBy("prev", "word").agg(F.count("*").alias("own_before"))
+    right = suspects.groupBy("word", "next").agg(F.count("*").alias("own_after"))
+    # Candidates are weighed once per context, however many pages show it.
+    contexts = suspects.groupBy("prev", "word", "next").agg(F.lit(1).alias("one")).drop("one")
+    contexts = contexts.join(left, ["prev", "word"], "left").join(right, ["word", "next"], "left").join(lexicon.misread, "word")
     support = lexicon.pairs.where("n >= 2")
-    before = support.select("prev", F.col("word").alias("right"), F.lit(True).alias("before"))
-    after = support.select(F.col("prev").alias("right"), F.col("word").alias("next"), F.lit(True).alias("after"))
+    before = support.select("prev", F.col("word").alias("right"), F.col("n").alias("before"))
+    after = support.select(F.col("prev").alias("right"), F.col("word").alias("next"), F.col("n").alias("after"))
+    contexts = contexts.join(before, ["prev", "right"], "left").join(after, ["right", "next"], "left")
+    held = lambda n, own: F.when(F.col(n) > F.coalesce(F.col(own), F.lit(0)), F.col(n)).otherwise(0)
     odd = F.col("word").rlike(r"[\p{N}$†|]")
-    return hits.join(before, ["prev", "right"], "left").join(after, ["right", "next"], "left").where(
-        F.col("before") | F.col("after") | odd
+    chosen = (
+        contexts.withColumn("support", held("before", "own_before") + held("after", "own_after"))
+        .groupBy("prev", "word", "next").agg(F.max_by(F.struct("right", "support"), F.struct("support", "right_n", "right")).alias("c"))
+        .where((F.col("c.support") > 0) | odd)
+        .select(F.col("prev").alias("p"), F.col("word").alias("w"), F.col("next").alias("x"), F.col("c.right").alias("right"))
     )
+    same = (F.col("word") == F.col("w")) & F.col("prev").eqNullSafe(F.col("p")) & F.col("next").eqNullSafe(F.col("x"))
+    return suspects.join(chosen, same).select(*places, "right")
 
 
 def apart_words(rare: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -121,55 +149,55 @@ def apart_words(rare: DataFrame, lexicon: Lexicon) -> DataFrame:
     return sides.join(F.broadcast(known), "whole")
 
 
-def _edges(text: Column) -> Column:
-    """The first and last three lines of a page that are not blank."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")) != "")
-    n = F.size(lines)
-    return F.array_union(F.slice(lines, 1, 3), F.slice(lines, F.greatest(F.lit(1), n - 2), 3))
+def _edge_lines(pages: DataFrame, text: Column) -> DataFrame:
+    """The first and last EDGE non-blank lines of each page: (document_id, page_number, i, side, pos, key)."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.btrim(s["x"], F.lit(" \t\r")) != "")
+    top = F.transform(F.slice("lines", 1, EDGE), lambda s, k: F.struct(s["i"].alias("i"), F.lit("top").alias("side"), (k + 1).alias("pos"), s["x"].alias("x")))
+    bottom = F.transform(F.slice(F.reverse("lines"), 1, EDGE), lambda s, k: F.struct(s["i"].alias("i"), F.lit("bottom").alias("side"), (k + 1).alias("pos"), s["x"].alias("x")))
+    rows = pages.where("document_id is not null and page_number is not null").select("document_id", "page_number", lines.alias("lines"))
+    rows = rows.select("document_id", "page_number", F.explode(F.concat(top, bottom)).alias("e"))
+    return rows.select("document_id", "page_number", "e.i", "e.side", "e.pos", line_key(F.col("e.x")).alias("key")).where("key <> ''")
 
 
 def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[DataFrame, DataFrame]:
     """Running lines: per chart an array of keys (its size is bounded by the lines of a page's edges), and keys of many charts."""
-    edge = (
-        pages.where("document_id is not null and page_number is not null")
-        .select("document_id", "page_number", F.explode(_edges(F.coalesce("text", "clean_text"))).alias("line"))
-        .select("document_id", F.pmod("page_number", F.lit(16)).alias("salt"), "page_number", line_key(F.col("line")).alias("key"))
-        .where("key <> ''")
-    )
+    salt = F.pmod("page_number", F.lit(16)).alias("salt")
+    edge = _edge_lines(pages, F.coalesce("text", "clean_text"))
     seen = (
-        edge.groupBy("document_id", "key", "salt", "page_number").agg(F.lit(1).alias("one"))
-        .groupBy("document_id", "key", "salt").agg(F.count("*").alias("n"))
-        .groupBy("document_id", "key").agg(F.sum("n").alias("n"))
+        edge.groupBy("document_id", "key", salt, "page_number").agg(F.min("pos").alias("pos"))
+        .groupBy("document_id", "key", "salt").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+        .groupBy("document_id", "key").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
     )
-    size = pages.groupBy("document_id", F.pmod("page_number", F.lit(16)).alias("salt"), "page_number").agg(F.lit(1).alias("one")).groupBy("document_id").agg(F.count("*").alias("pages"))
+    size = pages.groupBy("document_id", salt, "page_number").agg(F.lit(1).alias("one")).groupBy("document_id").agg(F.count("*").alias("pages"))
     seen = cut(seen.join(size, "document_id").withColumn("running", (F.col("n") >= least) & (F.col("n") >= F.col("pages") * share)))
     own = (
-        seen.where("running").select("document_id", "key", chunk_hashes("key").alias("chunks"))
-        .groupBy("document_id").agg(F.collect_set("key").alias("anchors"), F.array_distinct(F.flatten(F.collect_list("chunks"))).alias("chunks"))
+        seen.where("running").select("document_id", "key", chunk_hashes("key").alias("own"))
+        .groupBy("document_id").agg(F.collect_list(F.struct("key", "own")).alias("anchors"))
     )
     # Charts of few pages borrow the keys that run through other charts wherever they appear often enough.
     common = (
-        seen.groupBy("key").agg(F.count_if("running").alias("running"), F.count_if(F.col("pages") >= least * 2).alias("charts"))
+        seen.where(F.col("pos") <= OUTER).groupBy("key").agg(F.count_if("running").alias("running"), F.count_if(F.col("pages") >= least * 2).alias("charts"))
         .where("running >= 2 and running >= 0.2 * charts").select("key")
     )
     return own, cut(common)
 
 
 def running_lines(pages: DataFrame) -> DataFrame:
-    """Edge lines of ``clean_text`` that are running headers, footers or page numbers: (document_id, page_number, line)."""
+    """Edge lines of ``clean_text`` that are running headers, footers or page numbers: (document_id, page_number, i).
+
+    ``i`` is the line's index in the text split at line feeds.
+    """
     own, common = furniture(pages)
-    edge = (
-        pages.where("clean_text is not null").select("document_id", "page_number", F.explode(_edges(F.col("clean_text"))).alias("line"))
-        .withColumn("key", line_key(F.col("line"))).where("key <> ''")
-    )
-    # A damaged copy still shares chunks with the running line; only such lines are compared by edits.
-    akin = F.arrays_overlap(chunk_hashes("key"), "chunks")
-    return (
-        spread_join(edge, own, ["document_id"], F.col("page_number"), "left")
-        .join(common.withColumn("common", F.lit(True)), "key", "left")
-        .where(F.col("common") | F.when(akin, F.size(_matched(F.col("key"), F.col("anchors"))) > 0))
-        .select("document_id", "page_number", "line")
-    )
+    edge = store(_edge_lines(pages.where("clean_text is not null"), F.col("clean_text")))
+    # Each distinct key of a chart is compared once; a damaged copy still shares chunks with the running line.
+    keys = edge.groupBy("document_id", "key").agg(F.lit(1).alias("one")).withColumn("own", chunk_hashes("key"))
+    keys = spread_join(keys, own, ["document_id"], F.col("key")).where(F.exists("anchors", lambda a: F.arrays_overlap(a["own"], F.col("own"))))
+    keys = with_matches(keys).where(F.size("matched") > 0).select("document_id", "key", F.lit(True).alias("running"))
+    rows = spread_join(edge, keys, ["document_id", "key"], F.col("page_number"), "left")
+    rows = spread_join(rows, common.withColumn("common", F.lit(True)), ["key"], F.col("page_number"), "left").where("running or common")
+    sides = rows.groupBy("document_id", "page_number", "side").agg(F.collect_set(F.struct("pos", "i")).alias("e"))
+    reached = F.filter("e", lambda x: (x["pos"] <= OUTER) | (F.size(F.array_distinct(F.transform(F.filter("e", lambda y: y["pos"] < x["pos"]), lambda y: y["pos"]))) == x["pos"] - 1))
+    return sides.select("document_id", "page_number", F.explode(reached).alias("x")).select("document_id", "page_number", "x.i").distinct()
 
 
 def _broken(text: Column) -> Column:
@@ -245,7 +273,7 @@ def repaired_pages(pages: DataFrame) -> DataFrame:
     texts = pages.where("clean_text is not null")
     lexicon = Lexicon(texts)
     key = ["document_id", "page_number"]
-    gone = running_lines(pages).groupBy(*key).agg(F.collect_set("line").alias("gone"))
+    gone = running_lines(pages).groupBy(*key).agg(F.collect_set("i").alias("gone"))
     rare = cut(_rare(texts, lexicon))
     fixes = (
         misread_words(rare, lexicon).select(*key, F.struct(F.col("word").alias("bad"), F.col("right").alias("good")).alias("fix"))
@@ -253,12 +281,12 @@ def repaired_pages(pages: DataFrame) -> DataFrame:
         .groupBy(*key).agg(F.sort_array(F.collect_set("fix"), asc=False).alias("fixes"))
     )
     broken = broken_words(pages, lexicon).groupBy(*key).agg(F.collect_set(F.concat("left", "mark", "right")).alias("broken"))
-    plain = F.regexp_replace(F.regexp_replace(F.col("line"), STRAY, ""), "ﬁ", "fi")
+    plain = _without_ligatures(F.regexp_replace(F.col("line"), STRAY, ""))
     lines = (
         texts.select(*key, F.posexplode(F.split("clean_text", r"\r?\n")).alias("i", "line"))
         .join(gone, key, "left")
-        .where(~F.coalesce(F.array_contains("gone", F.col("line")), F.lit(False)))
-        .withColumn("line", F.rtrim(F.regexp_replace(plain, "ﬂ", "fl")))
+        .where(~F.coalesce(F.array_contains("gone", F.col("i")), F.lit(False)))
+        .withColumn("line", F.rtrim(plain))
         .join(broken, key, "left")
     )
     page = W.partitionBy(*key).orderBy("i")
@@ -294,9 +322,14 @@ def repaired_pages(pages: DataFrame) -> DataFrame:
 
     def fix(p: Column) -> Column:
         def one(acc: Column, f: Column) -> Column:
-            bad = F.regexp_replace(F.regexp_replace(f["bad"], r"([$|])", r"\\\\$1"), " ", "\\\\s+")
-            low = F.regexp_replace(acc, F.concat(F.lit(edge_before), bad, F.lit(edge_after)), f["good"])
-            return F.regexp_replace(low, F.concat(F.lit("(?i)" + edge_before), bad, F.lit(edge_after)), F.initcap(f["good"]))
+            def written(bad: Column, flag: str = "") -> Column:
+                bad = F.regexp_replace(F.regexp_replace(bad, r"([$|])", r"\\\\$1"), " ", "\\\\s+")
+                return F.concat(F.lit(flag + edge_before), bad, F.lit(edge_after))
+
+            # As it is written: small letters, capitals, else a capital first.
+            low = F.regexp_replace(acc, written(f["bad"]), f["good"])
+            high = F.regexp_replace(low, written(F.upper(f["bad"])), F.upper(f["good"]))
+            return F.regexp_replace(high, written(f["bad"], "(?iu)"), F.initcap(f["good"]))
 
         return F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<bad:string,good:string>>")), p, one)
 
