@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from chartloom.llm.pii import KINDS, _replace, lexicon_names, pages_with_items, spans
+from chartloom.llm.pii import KINDS, _replace, finder, lexicon_names, pages_with_items, spans
 
 NAMES = (("Ilsa", "given"), ("Mark", "given"), ("Grant", "given"), ("Dorvark", "family"), ("Elstwold", "family"))
 CASES = [
@@ -18,12 +20,18 @@ CASES = [
     ("Lives at Flat 7, 956 Mill Race Road, Quaymere ZQ10 6ZZ with two cats.", "Lives at [ADDRESS] with two cats."),
     ("Home address: PO Box 5257, Dunmarsh. Moved to Lindenweg 12, 00606 Lindental.", "Home address: [ADDRESS]. Moved to [ADDRESS]."),
     ("Case reviewed with A. Wexo, who agrees.", "Case reviewed with [PERSON], who agrees."),
+    ("Write to o'brien@mail.example or 'ann.lee@mail.example' today.", "Write to [EMAIL] or '[EMAIL]' today."),
+    ("Write to " + "very.long.local.part" * 5 + "@mail.example today.", "Write to [EMAIL] today."),
+    ("Paid with 4111 1111 1111 1111 and 4012-8888-8888-1881; then 378282246310005.", "Paid with [ID] and [ID]; then [ID]."),
+    ("Seen today: patient Ilsa Smith feels well.", "Seen today: patient [PERSON] feels well."),
+    ("Hildegardemarialouise Annabellacharlotte Montgomery-Featherstonehaugh states that cough began.", "[PERSON] states that cough began."),
 ]
 NONE = [
     "Workup excluded Crohn disease and Hodgkin lymphoma; Foley catheter, rose bengal, mark the scalp.",
     "Dispensed under NDC 99475-9358-41; model TX-4164-1056; lot 4969-103; ratio 3:1 @ 93 percent.",
     "Velport General Hospital, weight 102.0 kg, 135-145, 98-107; GRACE score 187; May repeat; Will return.",
     "The patient has no next of kin. Mother attended. The daughter agreed.",
+    "Order 4111 1111 1111 1112 and product 4111-1111-1111-1113; patient Grant program.",
     "",
 ]
 
@@ -42,6 +50,15 @@ def test_long_text_without_items():
     assert spans("QPST" * 100_000 + " 1" * 50_000, NAMES) == []
 
 
+def test_large_lexicon_costs_texts_nothing():
+    names = tuple((f"Qux{i}", "family") for i in range(200_000))
+    known = finder(names)
+    began = time.time()
+    for _ in range(200):
+        spans("Qux77 states that the cough began two days ago.", known)
+    assert time.time() - began < 1
+
+
 def test_rows_of_pages_and_blocks(spark):
     pages = spark.createDataFrame([("c", 1, CASES[0][0], "x"), ("c", 1, CASES[0][0], "x"), ("c", 2, None, "x"), (None, 3, CASES[0][0], "x"), ("c", 4, "", "x")], "document_id string, page_number int, clean_text string, text string")
     blocks = spark.createDataFrame([("c", 2, CASES[8][0], "z"), ("c", 4, NONE[0], "z")], "document_id string, page_number int, text string, pii_kind string")
