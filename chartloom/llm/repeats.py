@@ -35,7 +35,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def line_key(line: Column) -> Column:
     """Lower-case letters of a line with each run of digits as one ``#``."""
-    return F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "#"), r"[^\p{L}#]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "#"), r"[^a-z#\p{L}]+", "")
 
 
 def _chunks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

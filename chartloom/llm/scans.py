@@ -149,27 +149,37 @@ def apart_words(rare: DataFrame, lexicon: Lexicon) -> DataFrame:
     return sides.join(F.broadcast(known), "whole")
 
 
-def _edge_lines(pages: DataFrame, text: Column) -> DataFrame:
-    """The first and last EDGE non-blank lines of each page: (document_id, page_number, i, side, pos, key)."""
+def _edge_lines(pages: DataFrame, text: Column, first: int = 1, last: int = OUTER) -> DataFrame:
+    """The ``first`` to ``last`` non-blank lines from each edge of a page: (document_id, page_number, i, side, pos, key)."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.btrim(s["x"], F.lit(" \t\r")) != "")
-    top = F.transform(F.slice("lines", 1, EDGE), lambda s, k: F.struct(s["i"].alias("i"), F.lit("top").alias("side"), (k + 1).alias("pos"), s["x"].alias("x")))
-    bottom = F.transform(F.slice(F.reverse("lines"), 1, EDGE), lambda s, k: F.struct(s["i"].alias("i"), F.lit("bottom").alias("side"), (k + 1).alias("pos"), s["x"].alias("x")))
+    side = lambda order, name: F.transform(F.slice(order, first, last - first + 1), lambda s, k: F.struct(s["i"].alias("i"), F.lit(name).alias("side"), (k + first).alias("pos"), s["x"].alias("x")))
     rows = pages.where("document_id is not null and page_number is not null").select("document_id", "page_number", lines.alias("lines"))
-    rows = rows.select("document_id", "page_number", F.explode(F.concat(top, bottom)).alias("e"))
+    rows = rows.select("document_id", "page_number", F.explode(F.concat(side(F.col("lines"), "top"), side(F.reverse("lines"), "bottom"))).alias("e"))
     return rows.select("document_id", "page_number", "e.i", "e.side", "e.pos", line_key(F.col("e.x")).alias("key")).where("key <> ''")
 
 
-def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Running lines: per chart an array of keys (its size is bounded by the lines of a page's edges), and keys of many charts."""
+def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Running lines: per chart an array of keys (its size is bounded by the lines of a page's edges), keys of many charts,
+    and the charts whose running lines may go beyond the OUTER lines of an edge."""
     salt = F.pmod("page_number", F.lit(16)).alias("salt")
-    edge = _edge_lines(pages, F.coalesce("text", "clean_text"))
-    seen = (
-        edge.groupBy("document_id", "key", salt, "page_number").agg(F.min("pos").alias("pos"))
-        .groupBy("document_id", "key", "salt").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-        .groupBy("document_id", "key").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
-    )
     size = pages.groupBy("document_id", salt, "page_number").agg(F.lit(1).alias("one")).groupBy("document_id").agg(F.count("*").alias("pages"))
-    seen = cut(seen.join(size, "document_id").withColumn("running", (F.col("n") >= least) & (F.col("n") >= F.col("pages") * share)))
+    running = (F.col("n") >= least) & (F.col("n") >= F.col("pages") * share)
+
+    def counted(edge: DataFrame) -> DataFrame:
+        seen = (
+            edge.groupBy("document_id", "key", salt, "page_number").agg(F.min(F.struct("pos", "side")).alias("at"))
+            .groupBy("document_id", "key", "salt").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+            .groupBy("document_id", "key").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+        )
+        return cut(seen.join(size, "document_id").select("document_id", "key", "n", "pages", F.col("at.pos").alias("pos"), F.col("at.side").alias("side"), running.alias("running")))
+
+    text = F.coalesce("text", "clean_text")
+    seen = counted(_edge_lines(pages, text))
+    # Only where running lines fill the outer lines of one edge can there be more of them further in.
+    deep = cut(seen.where("running").groupBy("document_id", "side").agg(F.count("*").alias("n")).where(F.col("n") >= OUTER).select("document_id").distinct())
+    if not deep.isEmpty():
+        inner = counted(_edge_lines(pages.join(deep, "document_id", "left_semi"), text, OUTER + 1, EDGE))
+        seen = seen.unionByName(inner.join(seen.where("running").select("document_id", "key"), ["document_id", "key"], "left_anti"))
     own = (
         seen.where("running").select("document_id", "key", chunk_hashes("key").alias("own"))
         .groupBy("document_id").agg(F.collect_list(F.struct("key", "own")).alias("anchors"))
@@ -179,7 +189,7 @@ def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[D
         seen.where(F.col("pos") <= OUTER).groupBy("key").agg(F.count_if("running").alias("running"), F.count_if(F.col("pages") >= least * 2).alias("charts"))
         .where("running >= 2 and running >= 0.2 * charts").select("key")
     )
-    return own, cut(common)
+    return own, cut(common), deep
 
 
 def running_lines(pages: DataFrame) -> DataFrame:
@@ -187,8 +197,12 @@ def running_lines(pages: DataFrame) -> DataFrame:
 
     ``i`` is the line's index in the text split at line feeds.
     """
-    own, common = furniture(pages)
-    edge = store(_edge_lines(pages.where("clean_text is not null"), F.col("clean_text")))
+    own, common, deep = furniture(pages)
+    texts = pages.where("clean_text is not null")
+    edge = _edge_lines(texts, F.col("clean_text"))
+    if not deep.isEmpty():
+        edge = edge.unionByName(_edge_lines(texts.join(deep, "document_id", "left_semi"), F.col("clean_text"), OUTER + 1, EDGE))
+    edge = store(edge)
     # Each distinct key of a chart is compared once; a damaged copy still shares chunks with the running line.
     keys = edge.groupBy("document_id", "key").agg(F.lit(1).alias("one")).withColumn("own", chunk_hashes("key"))
     keys = spread_join(keys, own, ["document_id"], F.col("key")).where(F.exists("anchors", lambda a: F.arrays_overlap(a["own"], F.col("own"))))
