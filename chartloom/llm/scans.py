@@ -176,7 +176,7 @@ def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[D
     text = F.coalesce("text", "clean_text")
     seen = counted(_edge_lines(pages, text))
     # Only where running lines fill the outer lines of one edge can there be more of them further in.
-    deep = cut(seen.where("running").groupBy("document_id", "side").agg(F.count("*").alias("n")).where(F.col("n") >= OUTER).select("document_id").distinct())
+    deep = cut(seen.where("running").groupBy("document_id", "side").agg(F.count_distinct("pos").alias("n")).where(F.col("n") >= OUTER).select("document_id").distinct())
     if not deep.isEmpty():
         inner = counted(_edge_lines(pages.join(deep, "document_id", "left_semi"), text, OUTER + 1, EDGE))
         seen = seen.unionByName(inner.join(seen.where("running").select("document_id", "key"), ["document_id", "key"], "left_anti"))
