@@ -7,44 +7,60 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.functions.text import normalize_text, tokens_of
 from chartloom.operators import answers, evaluation, planning, ranking, search
-from chartloom.operators.chunking import section_texts
+from chartloom.operators.index import Index, query_features, stored
 from chartloom.operators.jobs import state_counts
 from chartloom.operators.pages import validation_report
-from chartloom.session import cut, once, table
+from chartloom.session import cut, table
+
+
+#: The channels of the hybrid search: which planned weight each has, times a factor.
+CHANNELS = {"bm25": ("lexical", 1.0), "exact": ("lexical", 1.5), "structured": ("structured", 1.0), "dense": ("dense", 1.0)}
+#: Hits of each channel that reach the fusion.
+TOP = {"bm25": 60, "exact": 80, "structured": 40, "dense": 60}
 
 
 class Engine:
-    """Retrieval over the sections of all charts.
+    """Retrieval over the sections of all charts, for many queries at once.
 
-    ``queries`` are tables (query_id, text). Settings are given per call and never shared between calls.
+    ``queries`` are tables (query_id, text). Settings are given per call and never shared between calls. The index is
+    stored once for a data directory; another one (``index.load``) can be given.
     """
 
-    def __init__(self, spark: SparkSession, data_dir: str):
+    def __init__(self, spark: SparkSession, data_dir: str, index: Index | None = None):
         self.spark, self.data_dir = spark, data_dir
-        texts = section_texts(self.table("chunks"), self.table("page_content"))
-        texts = once(texts, norm=normalize_text(F.col("text")))
-        grp = F.coalesce("encounter_id", F.concat(F.lit("page_"), F.col("page_start").cast("string")))
-        self.items = cut(texts.select(F.col("chunk_id").alias("id"), "document_id", grp.alias("grp"), "key", "section", "page_start", "page_end", "text", tokens_of(F.col("norm")).alias("tokens"), ranking.head(F.col("norm")).alias("head")))
+        self.index = index or stored(spark, data_dir)
+        self.items = self.index.items
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.data_dir, name)
 
     def plan(self, queries: DataFrame) -> DataFrame:
-        return planning.plan(queries, self.table("medications").select(F.col("medication").alias("name")))
-
-    def retrieve(self, queries: DataFrame, settings: ranking.Settings = ranking.Settings()) -> DataFrame:
+        return cut(planning.plan(queries, self.table("medications").select(F.col("medication").alias("name"))))
+
+    def hits(self, channel: str, plans: DataFrame) -> DataFrame:
+        """A channel's hits (query_id, id, score, rank)."""
+        words, k = self.items.select("id", "tokens"), TOP[channel]
+        if channel == "bm25":
+            return search.bm25(words, plans.select("query_id", F.col("expanded").alias("text")), k, self.index.terms)
+        if channel == "exact":
+            return search.exact(words, plans.select("query_id", F.explode("needles").alias("needle")), k)
+        if channel == "structured":
+            return search.sparse(self.index.features, search.weighted_features(query_features(plans), "query_id"), k)
+        asked = plans.select(F.col("expanded").alias("text")).distinct()
+        best = search.sparse(self.index.vectors, search.hashed_vectors(asked.withColumn("q", F.col("text")), "q").withColumnRenamed("q", "query_id"), k)
+        return search.spread_hits(plans.select("query_id", F.col("expanded").alias("q")), best.withColumnRenamed("query_id", "q"))
+
+    def fuse(self, plans: DataFrame, hits: dict[str, DataFrame], settings: ranking.Settings = ranking.Settings()) -> DataFrame:
+        weights = planning.channel_weights(plans, {c: CHANNELS[c] for c in hits})
+        return ranking.fuse(hits, weights, settings.rrf_k, settings.fusion_top)
+
+    def retrieve(self, queries: DataFrame, settings: ranking.Settings = ranking.Settings(), channels: tuple[str, ...] = tuple(CHANNELS)) -> DataFrame:
         """(query_id, rank, id, score, document_id, section, page_start, page_end, text) of the best sections."""
-        plans = cut(self.plan(queries))
-        channels = {
-            "bm25": search.bm25(self.items.select("id", "tokens"), queries),
-            "exact": search.exact(self.items.select("id", "tokens"), plans.select("query_id", F.explode("needles").alias("needle"))),
-        }
-        weights = planning.channel_weights(plans, {"bm25": ("lexical", 1.0), "exact": ("lexical", 1.5)})
-        fused = ranking.fuse(channels, weights, settings.rrf_k, settings.fusion_top)
-        found = ranking.final_ranking(fused, self.items.select("id", "grp", "key", "head", "tokens"), plans, settings)
-        return found.join(self.items.drop("tokens", "head", "grp", "key"), "id")
+        plans = self.plan(queries)
+        fused = self.fuse(plans, {c: self.hits(c, plans) for c in channels}, settings)
+        found = ranking.final_ranking(fused, self.items, plans, settings)
+        return found.join(self.items.select("id", "document_id", "section", "page_start", "page_end", "text"), "id")
 
     def answer(self, queries: DataFrame, settings: ranking.Settings = ranking.Settings()) -> DataFrame:
         """(query_id, answer, evidence, used, invalid): extractive answers with their citations checked."""

@@ -22,12 +22,12 @@ SYNONYMS = {
 }
 MONTH_NAMES = "January February March April May June July August September October November December".split()
 _MONTH = "(?:" + "|".join(MONTH_NAMES) + ")"
-#: Abbreviations and spellings with their normal form, applied in this order to lower-case text.
+# Abbreviations and spellings with their normal form, applied in this order to lower-case text.
 REWRITES = [
     (r"(\d)\s*mg\b", "$1 mg"),
-    (r"\bb\.?i\.?d\b\.?", "twice daily"),
-    (r"\bt\.?i\.?d\b\.?", "three times daily"),
-    (r"\bq\.?d\b\.?", "once daily"),
+    (r"\bb\.?i\.?d\.?\b", "twice daily"),
+    (r"\bt\.?i\.?d\.?\b", "three times daily"),
+    (r"\bq\.?d\.?\b", "once daily"),
     (r"\ba1c\b", "hba1c"),
     (r"\s\s+|[\t\n\x0B\f\r]", " "),
 ]

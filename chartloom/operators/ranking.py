@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartloom.functions.text import tokens
+from chartloom.functions.text import normalize_text, tokens
 
 
 @dataclass(frozen=True)
@@ -19,12 +19,17 @@ class Settings:
     fusion_top: int = 80
     per_group: int = 6
     rerank_top: int = 50
+    rerank: bool = True
     top: int = 10
     reranker: float = 0.65
     hybrid: float = 0.20
     metadata: float = 0.15
+    date: float = 0.12
     section: float = 0.08
     entity: float = 0.08
+    numeric: float = 0.10
+    cooccurrence: float = 0.16
+    structure: float = 0.08
 
 
 def fuse(channels: dict[str, DataFrame], weights: DataFrame, k: int = 60, top: int = 80) -> DataFrame:
@@ -65,22 +70,113 @@ def head(norm: Column) -> Column:
     return F.substring(norm, 1, 180)
 
 
+# Which table types answer a section hint.
+TABLE_TYPES = {
+    "demographics": ["demographics", "allergies", "medical_history", "surgical_history", "family_history"],
+    "medications": ["current_medications", "medications", "plan_item", "plan_block"],
+    "laboratory_results": ["labs", "laboratory_results", "lab_panel"],
+    "signature": ["signature"],
+    "referrals": ["referrals"],
+    "vitals": ["vitals"],
+    "imaging_orders": ["imaging_orders", "imaging"],
+    "assessment": ["diagnoses", "diagnoses_set"],
+}
+# Words of a query that ask for history or medication whatever sections it hints at, and sections of a history.
+HISTORY_WORDS = ["allergy", "allergies", "blood type", "family history", "surgical"]
+MEDICATION_WORDS = ["medication", "dose", "taking", "started", "initiate"]
+HISTORY_SECTIONS = ["allergies", "demographics", "family_history", "surgical_history", "medical_history"]
+FOLLOW_WORDS = ["ultrasound", "imaging", "doppler", "follow-up", "follow up", "weeks"]
+LAB_NAMES = r"\b(?:hba1c|ldl|hdl|tsh)\b"
+ANY_CODE = r"\b[a-z][0-9]{2}(?:\.[0-9]+)?\b"
+
+
+def _holds(text: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def _some(values: str, text: Column) -> Column:
+    """Whether a text holds one of the query's values, in lower case."""
+    return F.exists(values, lambda v: text.contains(F.lower(v)))
+
+
+def date_match(dates: Column, found: Column) -> Column:
+    """1 if a day of ``dates`` is among ``found``, or a month begins one of them; else 0."""
+    one = F.exists(dates, lambda d: F.when(F.length(d) == 10, F.array_contains(found, d)).otherwise(F.exists(found, lambda x: x.startswith(d))))
+    return F.coalesce(one, F.lit(False)).cast("double")
+
+
+def section_match(sections: Column, section: Column, table_type: Column, chunk_type: Column) -> Column:
+    """1 if a hinted section stands in the item's section or its table type answers the hint, 0.9 for a synthesis of several, else 0."""
+    types = F.create_map(*(x for k, v in TABLE_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    named = F.exists(sections, lambda i: section.contains(i) | section.contains(F.replace(i, F.lit("_"), F.lit(" "))))
+    typed = F.exists(sections, lambda i: F.array_contains(F.try_element_at(types, i), table_type))
+    synthesis = (F.size(sections) >= 2) & chunk_type.isin("compound", "encounter_key_facts")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(named) | yes(typed), 1.0).when(yes(synthesis), 0.9).otherwise(0.0)
+
+
+def structure_match(low: Column, sections: Column, section: Column, table_type: Column) -> Column:
+    """1 where section or table type fit the hints or a wish for history, 0.85 for wording about medication, else 0."""
+    types = F.create_map(*(x for k, v in TABLE_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    fits = F.exists(sections, lambda i: F.coalesce(section.contains(i), F.lit(False)) | F.coalesce(F.array_contains(F.try_element_at(types, i), table_type), F.lit(False)))
+    history = _holds(low, HISTORY_WORDS) & F.coalesce(table_type.isin(TABLE_TYPES["demographics"]) | section.isin(HISTORY_SECTIONS), F.lit(False))
+    drugs = _holds(low, MEDICATION_WORDS) & F.coalesce(table_type.isin(TABLE_TYPES["medications"]) | section.contains("med"), F.lit(False))
+    return F.when(fits | history, 1.0).when(drugs, 0.85).otherwise(0.0)
+
+
+def entity_match(text: Column, codes: Column, encounter_type: Column) -> Column:
+    """The best of: medication, provider or code of the query in the text 1, laboratory test 0.9, type of encounter 0.8, in the text only 0.6."""
+    whole = _some("aliases", text) | _some("providers", text) | F.arrays_overlap("query_codes", codes)
+    kind = F.coalesce(F.exists("encounter_types", lambda e: F.lower(encounter_type).contains(e)), F.lit(False))
+    return F.when(whole, 1.0).when(_some("labs", text), 0.9).when(kind, 0.8).when(_some("encounter_types", text), 0.6).otherwise(0.0)
+
+
+def numeric_match(norm: Column) -> Column:
+    """1 if a number of the query (dose, pressure, share, weight) stands in the normalised text, with or without blanks; else 0."""
+    bare = F.replace(norm, F.lit(" "), F.lit(""))
+    return F.exists("norm_numbers", lambda n: norm.contains(n) | bare.contains(F.replace(n, F.lit(" "), F.lit("")))).cast("double")
+
+
+def cooccurrence(low: Column, text: Column, norm: Column, codes: Column) -> Column:
+    """How many kinds of the query's entities meet in the text (medication, laboratory test, code, number, provider, follow-up): 0, 0.25, 0.7, 1."""
+    lab = _some("labs", text) | (_holds(low, ["lab", "hba1c", "ldl"]) & text.rlike(LAB_NAMES))
+    asks_code = _holds(low, ["icd", "diagnosis", "code"]) | F.array_contains("sections", "assessment")
+    code = F.arrays_overlap("query_codes", codes) | (asks_code & text.rlike(ANY_CODE))
+    follow = (F.array_contains("sections", "imaging") | F.array_contains("sections", "follow_up")) & _holds(text, FOLLOW_WORDS)
+    number = F.exists("norm_numbers", lambda n: norm.contains(n))
+    hits = sum((c.cast("int") for c in (_some("aliases", text), lab, code, number, _some("providers", text), follow)), F.lit(0))
+    return F.when(hits >= 3, 1.0).when(hits == 2, 0.7).when(hits == 1, 0.25).otherwise(0.0)
+
+
 def final_ranking(fused: DataFrame, items: DataFrame, plans: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The results of each query: (query_id, rank, id, score).
 
-    ``items`` has (id, grp, key, head, tokens): group of diversity, section key, beginning and tokens of the text;
-    ``plans`` has (query_id, text, sections, needles). Candidates beyond the rerank cut have a rerank score of 0; of near duplicates (equal
-    beginnings of the normalised text) the best stays.
+    ``items`` has (id, grp, section, chunk_type, table_type, encounter_type, text, norm, tokens, head, dates, codes);
+    ``plans`` comes from ``planning.plan``. Candidates beyond the rerank cut have a rerank score of 0; of near
+    duplicates (equal beginnings of the normalised text) the best stays.
     """
-    candidates = diversify(fused.join(items, "id"), s.per_group).join(plans.select("query_id", tokens(F.col("text")).alias("query"), "sections", "needles"), "query_id")
+    asked = plans.select(
+        "query_id", F.lower("text").alias("query_low"), tokens(F.col("text")).alias("query"), "sections", "aliases", "providers", "encounter_types", "labs",
+        F.col("codes").alias("query_codes"), F.col("dates").alias("query_dates"), F.transform("numbers", lambda n: normalize_text(n)).alias("norm_numbers"),
+    )
+    candidates = diversify(fused.join(items, "id"), s.per_group).join(asked, "query_id")
     position = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    scored = (
-        candidates.withColumn("rr", F.when(position <= s.rerank_top, F.round(overlap(F.col("query"), F.col("tokens")), 6)).otherwise(0.0))
-        .withColumn("section_match", F.coalesce(F.array_contains("sections", F.col("key")), F.lit(False)).cast("double"))
-        .withColumn("entity_match", F.arrays_overlap("needles", "tokens").cast("double"))
+    low, text, norm, section = F.col("query_low"), F.lower("text"), F.col("norm"), F.lower("section")
+    meta = (
+        s.date * date_match(F.col("query_dates"), F.col("dates"))
+        + s.section * section_match(F.col("sections"), section, F.col("table_type"), F.col("chunk_type"))
+        + s.entity * entity_match(text, F.col("codes"), F.col("encounter_type"))
+        + s.numeric * numeric_match(norm)
+        + s.cooccurrence * cooccurrence(low, text, norm, F.col("codes"))
+        + s.structure * structure_match(low, F.col("sections"), section, F.col("table_type"))
     )
-    meta = s.section * F.col("section_match") + s.entity * F.coalesce("entity_match", F.lit(0.0))
-    total = F.round(s.reranker * minmax(F.col("rr")) + s.hybrid * minmax(F.col("score")) + s.metadata * meta, 6)
+    # Without a reranker the fused score takes its place.
+    reranked = F.when(position <= s.rerank_top, F.round(overlap(F.col("query"), F.col("tokens")), 6)).otherwise(0.0) if s.rerank else F.col("score")
+    scored = candidates.select("query_id", "id", "score", "head", reranked.alias("rr"), meta.alias("meta"))
+    total = F.round(s.reranker * minmax(F.col("rr")) + s.hybrid * minmax(F.col("score")) + s.metadata * F.col("meta"), 6)
     scored = scored.withColumn("final", total)
     first = W.partitionBy("query_id", "head").orderBy(F.desc("final"), "id")
     unique = scored.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.functions.text import tokens
-from chartloom.session import cut
+from chartloom.session import cut, spread_join
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -30,57 +30,148 @@ def _tokens(texts: DataFrame) -> Column:
     return F.col("tokens") if "tokens" in texts.columns else tokens(F.col("text"))
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(term, id, tf) of a table (id, text) or (id, tokens)."""
-    return texts.select("id", F.explode(_tokens(texts)).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, df): in how many of the texts (id, text) or (id, tokens) a term stands."""
+    return texts.select(F.explode(F.array_distinct(_tokens(texts))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(texts: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """Okapi BM25 of (query_id, text) against (id, text), both with unique ids; only positive scores are hits.
+def _packed(rows: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
+    """Sparse rows (key, terms, weights) put together in blocks of about ``size``, along the partitions without a shuffle."""
+    kind = rows.schema[key].dataType
+    schema = T.StructType([
+        T.StructField(prefix + "ids", T.ArrayType(kind)), T.StructField(prefix + "sizes", T.ArrayType(T.IntegerType())),
+        T.StructField(prefix + "terms", T.ArrayType(T.LongType())), T.StructField(prefix + "weights", T.ArrayType(T.DoubleType())), T.StructField(prefix + "rare", T.ArrayType(T.DoubleType())),
+    ])
 
-    The idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one is replaced by a quarter of the mean idf of the
-    vocabulary. Repeated query terms count repeatedly. Queries with the same text are scored once.
+    def pack(frames):
+        for frame in frames:
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at : at + size]
+                flat = [np.concatenate([np.asarray(x) for x in part[c]]) for c in ("terms", "weights", "rare")]
+                yield pd.DataFrame(dict(zip(schema.names, ([part[key].to_numpy()], [part["terms"].map(len).to_numpy(dtype=np.int32)], *([x] for x in flat)))))
+
+    rare = F.col("rare") if "rare" in rows.columns else F.transform("weights", lambda w: F.lit(0.0))
+    return rows.where(F.size("terms") > 0).select(key, "terms", "weights", rare.alias("rare")).mapInPandas(pack, schema)
+
+
+def sparse(items: DataFrame, queries: DataFrame, k: int, bonus: float = 0.0, block: int = 1024, asked: int = 256) -> DataFrame:
+    """Dot products of sparse rows: the ``k`` best items of each query with a positive score (query_id, id, score, rank).
+
+    ``items`` is (id, terms, weights) and ``queries`` (query_id, terms, weights), with terms as 64-bit keys. A query's
+    ``rare`` holds 1.0 for its rare terms; an item with two of them gains ``bonus``. Blocks of items meet blocks of
+    queries, and a pair of blocks keeps the k best of each of its queries: no term is a join key, so a term that every
+    row has costs no more than another, and what is shuffled is bounded by k rows per query and block of items.
     """
-    index = cut(postings(texts))
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("dl"))
-    stats = texts.agg(F.count("*").alias("n")).join(lengths.agg(F.sum("dl").alias("total")))
-    n = F.col("n")
-    df = index.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats)).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = df.agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = df.join(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), (F.col("total") / n).alias("avgdl"))
-    asked = queries.select(F.col("text").alias("q")).distinct()
-    terms = asked.select("q", F.explode(tokens(F.col("q"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf")).join(idf, "term")
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    scored = (
-        index.join(terms, "term").join(lengths, "id").groupBy("q", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    )
-    best = top(scored, k, by="q")
-    return queries.select("query_id", F.col("text").alias("q")).join(best, "q").select("query_id", "id", "score", "rank")
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", items.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def matrix(terms, sizes, values, columns):
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.minimum(np.searchsorted(columns, terms), len(columns) - 1)
+        known = columns[at] == terms
+        out = np.zeros((len(sizes), len(columns)))
+        np.add.at(out, (rows[known], at[known]), values[known])
+        return out
+
+    def products(frames):
+        for frame in frames:
+            for ids, sizes, terms, weights, _, qids, qsizes, qterms, qweights, qrare in frame.itertuples(index=False):
+                columns = np.unique(qterms)
+                d, q = matrix(terms, sizes, weights, columns), matrix(qterms, qsizes, qweights, columns)
+                s = np.round(q @ d.T, 6)
+                if bonus:
+                    s += np.where(matrix(qterms, qsizes, qrare, columns) @ (d > 0).T >= 2, bonus, 0.0)
+                ids, qids = np.asarray(ids), np.asarray(qids)
+                place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+                order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :k]
+                best = np.take_along_axis(s, order, 1)
+                row, col = np.nonzero(best > 0)
+                yield pd.DataFrame({"query_id": qids[row], "id": ids[order[row, col]], "score": best[row, col]})
+
+    pairs = _packed(items, "id", block, "").crossJoin(_packed(queries, "query_id", asked, "q"))
+    return top(pairs.mapInPandas(products, schema), k).select("query_id", "id", "score", "rank")
+
+
+def _rows(terms: DataFrame, key: str, term: Column, weight: Column, rare: Column | None = None) -> DataFrame:
+    """Sparse rows from (key, term, weight), one per key; the terms of a row are distinct."""
+    columns = [F.xxhash64(term).alias("t"), weight.cast("double").alias("w"), (F.lit(0.0) if rare is None else rare.cast("double")).alias("r")]
+    lists = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("x"))
+    part = lambda name: F.transform("x", lambda s: s[name])
+    return lists.select(key, part("t").alias("terms"), part("w").alias("weights"), part("r").alias("rare"))
+
+
+def weighted_features(features: DataFrame, key: str) -> DataFrame:
+    """Sparse rows from (key, feature, amount); the amounts of a repeated feature add up."""
+    summed = features.where("feature is not null").groupBy(key, "feature").agg(F.sum("amount").alias("amount"))
+    return _rows(summed, key, F.col("feature"), F.col("amount"))
 
 
-def exact(texts: DataFrame, needles: DataFrame, k: int = 30) -> DataFrame:
-    """Hits of whole-word needles (query_id, needle): the sum of min(1 + sqrt(N / df), 40), 20 more for two rare ones.
+def bm25(texts: DataFrame, queries: DataFrame, k: int = 60, terms: DataFrame | None = None) -> DataFrame:
+    """Okapi BM25 of (query_id, text) against (id, text) or (id, tokens), both with unique ids; only positive scores are hits.
 
-    A needle is rare if fewer than max(80, 2 % of all texts) hold it. Needles are single words in lower case.
+    The idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one is replaced by a quarter of the mean idf of the
+    vocabulary. Repeated query terms count repeatedly. Queries with the same text are scored once. ``terms`` are the
+    stored counts of the texts' terms (term, df), else they are counted.
+    """
+    texts = texts.select("id", _tokens(texts).alias("tokens"))
+    stats = texts.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))  # one row
+    n = F.col("n")
+    df = (term_counts(texts) if terms is None else terms).crossJoin(F.broadcast(stats)).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = df.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
+    asked = queries.where("text is not null").select(F.col("text").alias("q")).distinct()
+    wanted = cut(asked.select("q", F.explode(tokens(F.col("q"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf")))
+    words = wanted.select("term").distinct()
+    idf = df.join(words, "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    # Of a text only the terms that some query has; a term that most texts have is spread.
+    found = texts.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    found = spread_join(found, words, ["term"], F.col("id")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(stats))
+    tf = F.col("tf")
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (F.col("total") / n)))
+    best = sparse(_rows(found, "id", F.col("term"), part), _rows(wanted.join(idf, "term"), "q", F.col("term"), F.col("qtf") * F.col("idf")).withColumnRenamed("q", "query_id"), k)
+    return spread_hits(queries.select("query_id", F.col("text").alias("q")), best.withColumnRenamed("query_id", "q"))
+
+
+def spread_hits(queries: DataFrame, best: DataFrame, parts: int = 16) -> DataFrame:
+    """The hits of each distinct text given to all queries (query_id, q) that ask it, however many one text has."""
+    salted = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = queries.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    return asked.join(salted, ["q", "_salt"]).select("query_id", "id", "score", "rank")
+
+
+def exact(texts: DataFrame, needles: DataFrame, k: int = 80) -> DataFrame:
+    """Hits of needles (query_id, needle): the sum of min(1 + sqrt(N / df), 40), 20 more for two rare ones.
+
+    A needle is one word or several; a text holds it if its search tokens stand in the text's in a row. It is rare if
+    fewer than max(80, 2 % of all texts) hold it.
     """
-    words = texts.select("id", F.explode(F.array_distinct(_tokens(texts))).alias("needle"))
-    wanted = needles.select("query_id", "needle").distinct()
-    found = words.join(wanted.select("needle").distinct(), "needle")
-    size = texts.agg(F.count("*").alias("n"))
-    df = found.groupBy("needle").agg(F.count("*").alias("df")).join(F.broadcast(size)).select(
+    texts = texts.select("id", _tokens(texts).alias("tokens"))
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    wanted = needles.where("needle is not null").select("query_id", "needle").distinct()
+    forms = wanted.select("needle").distinct().select("needle", tokens(F.col("needle")).alias("t")).where(F.size("t") > 0)
+    # Looked up by its longest word, then compared as a whole.
+    word = F.array_max(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    forms = cut(forms.select(word.alias("word"), F.struct("needle", joined("t").alias("form")).alias("f")).groupBy("word").agg(F.collect_list("f").alias("forms")))
+    rows = texts.select("id", joined("tokens").alias("body"), F.explode(F.array_distinct("tokens")).alias("word"))
+    held = spread_join(rows, forms, ["word"], F.col("id")).select("id", "body", F.explode("forms").alias("f"))
+    found = cut(held.where(F.col("body").contains(F.col("f.form"))).select("id", F.col("f.needle").alias("needle")))
+    size = texts.agg(F.count("*").alias("n"))  # one row
+    df = found.groupBy("needle").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).select(
         "needle", F.least(1 + F.sqrt(F.col("n") / F.col("df")), F.lit(40.0)).alias("weight"), (F.col("df") < F.greatest(F.lit(80.0), F.col("n") * 0.02)).alias("rare")
     )
-    scored = found.join(df, "needle").join(wanted, "needle").groupBy("query_id", "id").agg(
-        F.round(F.sum("weight") + F.when(F.count_if("rare") >= 2, 20.0).otherwise(0.0), 6).alias("score")
-    )
-    return top(scored, k).select("query_id", "id", "score", "rank")
+    asked = spread_join(wanted, df, ["needle"], F.col("query_id"))
+    return sparse(_rows(found, "id", F.col("needle"), F.lit(1.0)), _rows(asked, "query_id", F.col("needle"), F.col("weight"), F.col("rare")), k, bonus=20.0)
+
 
+def hashed_vectors(texts: DataFrame, key: str = "id", size: int = 256) -> DataFrame:
+    """Term counts of (key, text) or (key, tokens) hashed to ``size`` dimensions, of length 1, as sparse rows.
 
-def structured(facts: DataFrame, k: int = 40) -> DataFrame:
-    """Hits from additive facts (query_id, id, amount); each row adds, also when it repeats."""
-    scored = facts.groupBy("query_id", "id").agg(F.round(F.sum("amount"), 6).alias("score"))
-    return top(scored, k).select("query_id", "id", "score", "rank")
+    The built-in stand-in for an encoder; any other table of sparse or dense vectors takes its place.
+    """
+    words = texts.select(F.col(key), F.explode(_tokens(texts)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    at = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("bigint"), F.lit(size)).cast("string")
+    counts = words.groupBy(key, at.alias("at")).agg(F.sum("tf").alias("tf"))
+    rows = _rows(counts, key, F.col("at"), F.col("tf"))
+    norm = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w))
+    return rows.select(key, "terms", F.transform("weights", lambda w: w / norm).alias("weights"))
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:

@@ -116,13 +116,18 @@ def b13_written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _M = "(?:" + "|".join(fx.MONTH_NAMES) + ")"
-B13 = rf"""WITH {LATEST}, found AS (
- SELECT document_id, page_number, list_concat(
-  list_transform(regexp_extract_all(text, '(?i)\b({_M}\s+\d{{1,2}},\s+\d{{4}})\b', 1), lambda d: strftime(try_strptime(regexp_replace(d, '\s+', ' ', 'g'), '%B %d, %Y'), '%Y-%m-%d')),
-  regexp_extract_all(text, '\b((?:19|2[0-7])\d{{2}}-\d{{2}}-\d{{2}})\b', 1),
-  list_transform(regexp_extract_all(text, '(?i)\b({_M}\s+(?:19|2[0-7])\d{{2}})\b', 1), lambda d: strftime(try_strptime('1 ' || regexp_replace(d, '\s+', ' ', 'g'), '%d %B %Y'), '%Y-%m'))) AS l FROM latest)
-SELECT document_id, page_number, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: x IS NOT NULL))), ',') AS dates FROM found
-WHERE len(list_filter(l, lambda x: x IS NOT NULL)) > 0"""
+
+
+def written_dates_sql(c: str) -> str:
+    """A sorted list of the dates written in a text."""
+    return rf"""list_sort(list_distinct(list_filter(list_concat(
+  list_transform(regexp_extract_all({c}, '(?i)\b({_M}\s+\d{{1,2}},\s+\d{{4}})\b', 1), lambda d: strftime(try_strptime(regexp_replace(d, '\s+', ' ', 'g'), '%B %d, %Y'), '%Y-%m-%d')),
+  regexp_extract_all({c}, '\b((?:19|2[0-7])\d{{2}}-\d{{2}}-\d{{2}})\b', 1),
+  list_transform(regexp_extract_all({c}, '(?i)\b({_M}\s+(?:19|2[0-7])\d{{2}})\b', 1), lambda d: strftime(try_strptime('1 ' || regexp_replace(d, '\s+', ' ', 'g'), '%d %B %Y'), '%Y-%m'))), lambda x: x IS NOT NULL)))"""
+
+
+B13 = f"""WITH {LATEST}, found AS (SELECT document_id, page_number, {written_dates_sql('text')} AS l FROM latest)
+SELECT document_id, page_number, array_to_string(l, ',') AS dates FROM found WHERE len(l) > 0"""
 
 
 def b18_safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries of search, fusion, ranking, evaluation and answers.
 
-The query set is every medication posting whose id is divisible by 20, asked as "why <medication> <section>"; the
-searched texts are all sections of all charts. For vectors it is every vector whose id is divisible by 20.
+The query set is every medication posting whose id is divisible by 20, asked in six phrasings; the searched texts are
+all sections of all charts. For vectors it is every vector whose id is divisible by 20.
 """
 
 from __future__ import annotations
@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.functions.text import TOKEN, normalize_text, tokens_of
+from chartloom.engine import CHANNELS, Engine
+from chartloom.functions.text import SYNONYMS, TOKEN
 from chartloom.operators import answers, evaluation, planning, ranking, search, vector_index
-from chartloom.operators.chunking import section_texts
+from chartloom.operators.ranking import ANY_CODE, FOLLOW_WORDS, HISTORY_SECTIONS, HISTORY_WORDS, LAB_NAMES, MEDICATION_WORDS
+from chartloom.operators.structure import ICD, ROW, SIGNED
 from chartloom.plans.chunks import TEXTS
-from chartloom.plans.pages import NORM
-from chartloom.session import cut, once, table
-
-SHARES = {"bm25": ("lexical", 1.0), "exact": ("lexical", 1.5), "structured": ("structured", 1.0)}
+from chartloom.plans.pages import NORM, written_dates_sql
+from chartloom.plans.structure import ENC
+from chartloom.session import cut, table
 
 
 def TOK(c: str) -> str:
@@ -24,48 +25,42 @@ def TOK(c: str) -> str:
 
 
 class Inputs:
-    """The tables of one retrieval run."""
+    """One retrieval run of the query set over the stored index."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        chunks, self.medications = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "medications")
-        texts = section_texts(chunks, table(spark, sf_dir, "page_content"))
-        grp = F.coalesce("encounter_id", F.concat(F.lit("page_"), F.col("page_start").cast("string")))
-        # Read by every channel and by the final ranking, so written once.
-        texts = once(texts, norm=normalize_text(F.col("text")))
-        self.items = cut(texts.select(F.col("chunk_id").alias("id"), "document_id", grp.alias("grp"), "key", "text", "page_start", "page_end", "encounter_id", "section", "provider", tokens_of(F.col("norm")).alias("tokens"), ranking.head(F.col("norm")).alias("head")))
-        self._hits: dict[str, DataFrame] = {}
+        self.engine = Engine(spark, sf_dir)
+        self.items = self.engine.items
+        chunks, medications = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "medications")
         drug = F.lower(F.trim("medication"))
-        asked = self.medications.where((F.col("id") % 20 == 0) & (drug != "")).join(chunks.select("chunk_id", "section"), "chunk_id", "left")
-        self.queries = asked.select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lit("why"), drug, "section").alias("text"), "document_id", F.col("page_start").alias("page"))
-        self.plans = cut(planning.plan(self.queries, self.medications.select(F.col("medication").alias("name"))))
+        asked = medications.where((F.col("id") % 20 == 0) & (drug != "")).join(chunks.select("chunk_id", "section", F.col("provider").alias("who")), "chunk_id", "left")
+        words = lambda *parts: F.concat_ws(" ", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+        section, date, kind = F.col("section"), F.col("encounter_date"), F.pmod(F.floor(F.col("id") / 20), F.lit(6))
+        text = (
+            F.when(kind == 0, words("why", drug, section)).when(kind == 1, words("which dose of", drug, "was started after the lab value on", date))
+            .when(kind == 2, words("who signed the note about", drug)).when(kind == 3, words(drug, "taking since", date))
+            .when(kind == 4, words("date of birth and allergies with", drug)).otherwise(words("icd code in", section, "for", drug, F.col("who")))
+        )
+        self.queries = asked.select(F.col("id").alias("query_id"), text.alias("text"), "document_id", F.col("page_start").alias("page"))
+        self._plans: DataFrame | None = None
+        self._hits: dict[str, DataFrame] = {}
+
+    @property
+    def plans(self) -> DataFrame:
+        if self._plans is None:
+            self._plans = self.engine.plan(self.queries)
+        return self._plans
 
     def hits(self, channel: str) -> DataFrame:
         """A channel's hits, computed once in a run."""
         if channel not in self._hits:
-            self._hits[channel] = cut(getattr(self, channel)())
+            self._hits[channel] = cut(self.engine.hits(channel, self.plans))
         return self._hits[channel]
 
-    def bm25(self) -> DataFrame:
-        return search.bm25(self.items.select("id", "tokens"), self.queries)
-
-    def exact(self) -> DataFrame:
-        return search.exact(self.items.select("id", "tokens"), self.plans.select("query_id", F.explode("needles").alias("needle")))
-
-    def structured(self) -> DataFrame:
-        """Sections whose pages hold postings of the query's medications, and sections that the query hints at."""
-        needles = self.plans.select("query_id", F.explode("needles").alias("needle"))
-        placed = self.medications.select(F.lower(F.trim("medication")).alias("needle"), "document_id", F.col("page_start").alias("page_number"))
-        pages = self.items.select("id", "document_id", F.explode(F.sequence("page_start", "page_end")).alias("page_number"))
-        posted = placed.join(pages, ["document_id", "page_number"]).join(needles, "needle").select("query_id", "id", F.lit(2.0).alias("amount"))
-        hinted = self.plans.select("query_id", F.explode("sections").alias("key")).join(self.items.select("id", "key"), "key").select("query_id", "id", F.lit(1.0).alias("amount"))
-        return search.structured(posted.unionByName(hinted))
-
-    def fused(self, channels: tuple[str, ...] = ("bm25", "exact", "structured")) -> DataFrame:
-        weights = planning.channel_weights(self.plans, {c: SHARES[c] for c in channels})
-        return ranking.fuse({c: self.hits(c) for c in channels}, weights)
+    def fused(self, channels: tuple[str, ...] = tuple(CHANNELS)) -> DataFrame:
+        return self.engine.fuse(self.plans, {c: self.hits(c) for c in channels})
 
-    def results(self, channels: tuple[str, ...] = ("bm25", "exact", "structured")) -> DataFrame:
-        return ranking.final_ranking(self.fused(channels), self.items.select("id", "grp", "key", "head", "tokens"), self.plans.select("query_id", "text", "sections", "needles"))
+    def results(self, channels: tuple[str, ...] = tuple(CHANNELS), rerank: bool = True) -> DataFrame:
+        return ranking.final_ranking(self.fused(channels), self.items, self.plans, ranking.Settings(rerank=rerank))
 
     def gold(self) -> DataFrame:
         """The section that holds the page of the posting that was asked about."""
@@ -74,78 +69,148 @@ class Inputs:
 
 
 # --- SQL of the same stages -------------------------------------------------------------------------------------
-_low = "lower(text)"
+def _any(words, c: str = "low") -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 
-def _any(words) -> str:
-    return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+def _all(groups, c: str) -> str:
+    return " AND ".join(_any(words, c) for words in groups)
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _exists(values: str, test: str) -> str:
+    return f"(len(list_filter({values}, lambda v: {test})) > 0)"
 
 
 _SECTIONS = "list_filter([" + ", ".join(f"CASE WHEN {_any(h)} THEN '{k}' END" for k, h in planning.SECTION_HINTS.items()) + "], lambda x: x IS NOT NULL)"
+_TYPES = "list_filter([" + ", ".join(f"CASE WHEN {_any(h)} THEN '{k}' END" for k, h in planning.ENCOUNTER_HINTS.items()) + "], lambda x: x IS NOT NULL)"
+_LABS = "list_filter([" + ", ".join(f"CASE WHEN contains(low, '{x.lower()}') THEN '{x}' END" for x in planning.LAB_TERMS) + "], lambda x: x IS NOT NULL)"
+_CUES = "flatten([" + ", ".join(f"CASE WHEN {_all(g, 'padded')} THEN {_list(w)} ELSE []::VARCHAR[] END" for g, w in planning.EXPANSIONS) + "])"
 _W = "CASE intent " + " ".join(f"WHEN '{k}' THEN [{', '.join(f'{x}::DOUBLE' for x in w)}]" for k, w in planning.WEIGHTS.items()) + " END"
-PLANS = rf"""{TEXTS},
-q AS (SELECT m.id AS query_id, concat_ws(' ', 'why', lower(trim(m.medication, ' ')), c.section) AS text, m.document_id, m.page_start AS page
-  FROM medications m LEFT JOIN chunks c USING (chunk_id) WHERE m.id % 20 = 0 AND lower(trim(m.medication, ' ')) <> ''),
-items AS (SELECT chunk_id AS id, document_id, coalesce(encounter_id, 'page_' || page_start) AS grp, key, text, page_start, page_end FROM texts),
-s AS (SELECT *, {_SECTIONS} AS sections FROM (SELECT *, lower(text) AS low FROM q)),
-i AS (SELECT *, CASE WHEN {_any(("signed", "signature"))} THEN 'signature_lookup'
+_SYNONYMS = "MAP {" + ", ".join(f"'{k}': {_list(sorted({k, *v}))}" for k, v in SYNONYMS.items()) + "}"
+PLANS = rf"""{TEXTS}, {ENC},
+q AS (SELECT m.id AS query_id, CASE (m.id // 20) % 6 WHEN 0 THEN concat_ws(' ', 'why', d, c.section)
+   WHEN 1 THEN concat_ws(' ', 'which dose of', d, 'was started after the lab value on', m.encounter_date) WHEN 2 THEN concat_ws(' ', 'who signed the note about', d)
+   WHEN 3 THEN concat_ws(' ', d, 'taking since', m.encounter_date) WHEN 4 THEN concat_ws(' ', 'date of birth and allergies with', d)
+   ELSE concat_ws(' ', 'icd code in', c.section, 'for', d, c.provider) END AS text, m.document_id, m.page_start AS page
+  FROM (SELECT *, lower(trim(medication, ' ')) AS d FROM medications) m LEFT JOIN chunks c USING (chunk_id) WHERE m.id % 20 = 0 AND d <> ''),
+it0 AS (SELECT t.chunk_id AS id, t.document_id, coalesce(t.encounter_id, 'page_' || t.page_start) AS grp, t.key, lower(t.section) AS section, t.text, t.page_start, t.page_end, c.provider, e.encounter_type,
+   CASE WHEN regexp_full_match(c.encounter_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN c.encounter_date END AS day
+  FROM texts t JOIN (SELECT DISTINCT chunk_id, provider, encounter_date FROM chunks WHERE chunk_type = 'section') c USING (chunk_id) LEFT JOIN enc e ON e.document_id = t.document_id AND e.encounter_id = t.encounter_id),
+items AS MATERIALIZED (SELECT *, {NORM.format('text')} AS norm, {TOK('text')} AS tokens, lower(text) AS body, list_distinct(regexp_extract_all(text, '{ICD}', 1)) AS codes,
+   list_distinct(list_concat({written_dates_sql('text')}, CASE WHEN day IS NULL THEN []::VARCHAR[] ELSE [day] END)) AS dates,
+   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{ROW}'))) AS lab_rows, regexp_matches(text, '{SIGNED}') AS signed FROM it0),
+s AS (SELECT *, {_SECTIONS} AS sections FROM (SELECT *, lower(text) AS low, ' ' || lower(text) || ' ' AS padded FROM q)),
+i AS (SELECT *, CASE WHEN contains(low, 'signed') OR contains(low, 'signature') THEN 'signature_lookup'
   WHEN {_any(("hba1c", "ldl", "lab"))} AND {_any(("medication", "started", "increased", "dose", "initiated", "added"))} THEN 'lab_value_linked_to_medication_change'
-  WHEN {_any(("icd", "diagnosis code"))} THEN 'icd_code_lookup'
+  WHEN contains(low, 'icd') OR contains(low, 'diagnosis code') THEN 'icd_code_lookup'
   WHEN contains(low, 'table') OR (contains(low, 'lab') AND contains(low, 'value')) THEN 'table_heavy'
   WHEN len(sections) >= 2 THEN 'multi_part_clinical' WHEN {_any(("why", "rationale", "because", "reason"))} THEN 'clinical_explanation'
-  WHEN list_contains(sections, 'signature') OR list_contains(sections, 'medications') THEN 'metadata_exact' ELSE 'general' END AS intent FROM s),
+  WHEN list_has_any(sections, ['signature', 'demographics', 'medications']) THEN 'metadata_exact' ELSE 'general' END AS intent FROM s),
 w0 AS (SELECT *, {_W} AS w, regexp_matches(low, '\b(?:19|20)[0-9]{{2}}\b') OR {_any(planning.MONTHS)} AS dated FROM i),
 w1 AS (SELECT *, CASE WHEN dated THEN least(0.45::DOUBLE, w[1] + 0.05::DOUBLE) ELSE w[1] END AS a, w[2] AS b, CASE WHEN dated THEN least(0.45::DOUBLE, w[3] + 0.1::DOUBLE) ELSE w[3] END AS c, w[4] AS d FROM w0),
-names AS (SELECT DISTINCT lower(trim(medication, ' ')) AS name FROM medications WHERE medication IS NOT NULL),
-words AS (SELECT query_id, unnest(list_distinct({TOK('text')})) AS name FROM q),
-needles AS (SELECT DISTINCT query_id, name AS needle FROM words JOIN names USING (name)),
-plans AS (SELECT query_id, text, intent, sections, round(a / (a + b + c + d), 6) AS w_lexical, round(b / (a + b + c + d), 6) AS w_dense,
-  round(c / (a + b + c + d), 6) AS w_structured, round(d / (a + b + c + d), 6) AS w_visual FROM w1)"""
+names AS (SELECT DISTINCT lower(trim(medication, ' ')) AS name FROM medications WHERE trim(medication, ' ') <> ''),
+qw AS (SELECT query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}''-]*') AS l FROM q),
+grams AS (SELECT DISTINCT query_id, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]), list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]))) AS name FROM qw),
+meds AS (SELECT query_id, list_sort(list(name)) AS medications FROM grams JOIN names USING (name) GROUP BY 1),
+e0 AS (SELECT w1.*, coalesce(medications, []::VARCHAR[]) AS medications, {written_dates_sql('text')} AS dates, {_LABS} AS labs0,
+  list_transform(regexp_extract_all(text, '{planning.PERSON}'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))) AS providers, {_TYPES} AS types,
+  regexp_extract_all(text, '{planning.NUMBER}') AS numbers, regexp_extract_all(text, '{planning.CODE}') AS codes, regexp_extract_all(text, '{planning.DOSE}') AS doses, {_CUES} AS cues
+  FROM w1 LEFT JOIN meds USING (query_id)),
+e1 AS (SELECT *, list_distinct(flatten(list_transform(medications, lambda m: coalesce(({_SYNONYMS})[m], [m])))) AS aliases,
+  list_distinct(list_concat(labs0, CASE WHEN contains(low, 'lab') OR contains(low, 'sglt2') THEN ['HbA1c', 'LDL'] ELSE []::VARCHAR[] END)) AS labs FROM e0),
+e2 AS (SELECT *, list_distinct(list_transform(list_concat(aliases, labs0, cues), lambda x: lower(x))) AS expansions FROM e1),
+plans AS MATERIALIZED (SELECT query_id, text, low, intent, sections, dates, medications, aliases, providers, types, numbers, codes, labs, expansions,
+  text || ' ' || array_to_string(expansions, ' ') || ' ' || array_to_string(dates, ' ') AS expanded,
+  list_sort(list_distinct(list_filter(list_transform(list_concat(medications, providers, codes, numbers, labs, aliases, list_filter(expansions, lambda x: length(x) >= 4), doses), lambda n: lower(n)), lambda n: length(n) >= 2))) AS needles,
+  round(a / (a + b + c + d), 6) AS w_lexical, round(b / (a + b + c + d), 6) AS w_dense, round(c / (a + b + c + d), 6) AS w_structured, round(d / (a + b + c + d), 6) AS w_visual FROM e2)"""
 BM25 = rf"""{PLANS},
-tok AS (SELECT id, unnest({TOK('text')}) AS term FROM items), post AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY 1, 2),
-dl AS (SELECT id, sum(tf)::DOUBLE AS dl FROM post GROUP BY 1), st AS (SELECT (SELECT count(*) FROM items) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM items) AS avgdl),
+tok AS (SELECT id, unnest(tokens) AS term FROM items), post AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY 1, 2),
+dl AS (SELECT id, len(tokens)::DOUBLE AS dl FROM items), st AS (SELECT (SELECT count(*) FROM items) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM items) AS avgdl),
 raw AS (SELECT term, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS r FROM post, st GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN r < 0 THEN (SELECT avg(r) * 0.25::DOUBLE FROM raw) ELSE r END AS idf FROM raw),
-uq AS (SELECT DISTINCT text AS q FROM q), qt AS (SELECT q, term, count(*) AS qtf FROM (SELECT q, unnest({TOK('q')}) AS term FROM uq) GROUP BY 1, 2),
-sc AS (SELECT q, id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+uq AS (SELECT DISTINCT expanded AS q FROM plans), qt AS (SELECT q, term, count(*) AS qtf FROM (SELECT q, unnest({TOK('q')}) AS term FROM uq) GROUP BY 1, 2),
+sc AS (SELECT q, id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
   FROM post JOIN qt USING (term) JOIN idf USING (term) JOIN dl USING (id), st GROUP BY 1, 2 HAVING score > 0),
-bt AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= 50),
-bm25 AS (SELECT query_id, id, score, rank FROM q JOIN bt ON bt.q = q.text)"""
-EXACT = f"""{BM25},
-ew AS (SELECT id, unnest(list_distinct({TOK('text')})) AS needle FROM items), ef AS (SELECT * FROM ew WHERE needle IN (SELECT needle FROM needles)),
+bt AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= 60),
+bm25 AS (SELECT query_id, id, score, rank FROM plans JOIN bt ON bt.q = plans.expanded)"""
+EXACT = rf"""{PLANS}, st AS (SELECT count(*) AS n FROM items),
+needles AS (SELECT query_id, unnest(needles) AS needle FROM plans), forms AS (SELECT needle, ' ' || array_to_string(t, ' ') || ' ' AS form FROM (SELECT DISTINCT needle, {TOK('needle')} AS t FROM needles) WHERE len(t) > 0),
+ef AS MATERIALIZED (SELECT id, needle FROM (SELECT id, ' ' || array_to_string(tokens, ' ') || ' ' AS words FROM items) JOIN forms ON contains(words, form)),
 ed AS (SELECT needle, least(1 + sqrt(n::DOUBLE / count(*)), 40) AS weight, count(*) < greatest(80, n * 0.02) AS rare FROM ef, st GROUP BY needle, n),
-es AS (SELECT query_id, id, round(sum(weight) + CASE WHEN count(*) FILTER (rare) >= 2 THEN 20 ELSE 0 END, 6) AS score FROM ef JOIN ed USING (needle) JOIN needles USING (needle) GROUP BY 1, 2),
-exact AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM es QUALIFY rank <= 30)"""
-STRUCTURED = f"""{EXACT},
-fa AS (SELECT n.query_id, t.id, 2.0::DOUBLE AS amount FROM medications m JOIN needles n ON n.needle = lower(trim(m.medication, ' ')) JOIN items t ON t.document_id = m.document_id AND m.page_start BETWEEN t.page_start AND t.page_end
-  UNION ALL SELECT p.query_id, t.id, 1.0::DOUBLE FROM (SELECT query_id, unnest(sections) AS key FROM plans) p JOIN items t USING (key)),
-fs AS (SELECT query_id, id, round(sum(amount), 6) AS score FROM fa GROUP BY 1, 2),
+es AS (SELECT query_id, id, round(sum(weight), 6) + CASE WHEN count(*) FILTER (rare) >= 2 THEN 20 ELSE 0 END AS score FROM ef JOIN ed USING (needle) JOIN needles USING (needle) GROUP BY 1, 2),
+exact AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM es QUALIFY rank <= 80)"""
+_HINTED = "list_filter([" + ", ".join(f"CASE WHEN contains(section, '{k.replace('_', ' ')}') OR contains(section, '{k}') THEN 'k:{k}' END" for k in planning.SECTION_HINTS) + "], lambda x: x IS NOT NULL)"
+STRUCTURED = rf"""{PLANS},
+posted AS (SELECT t.id, lower(trim(m.medication, ' ')) AS drug, count(*) AS n FROM medications m JOIN items t ON t.document_id = m.document_id AND m.page_start BETWEEN t.page_start AND t.page_end
+  WHERE trim(m.medication, ' ') <> '' GROUP BY 1, 2),
+fi AS (SELECT id, unnest({_HINTED}) AS feature, 1.0::DOUBLE AS amount FROM items UNION ALL SELECT id, 'c:' || unnest(codes), 2.5 FROM items
+  UNION ALL SELECT id, 'd:' || day, CASE WHEN signed THEN 7 ELSE 3 END FROM items WHERE day IS NOT NULL UNION ALL SELECT id, 'm:' || left(day, 7), 2.5 FROM items WHERE day IS NOT NULL
+  UNION ALL SELECT id, 'p:' || lower(provider), 2 FROM items WHERE provider IS NOT NULL UNION ALL SELECT id, 't:signature', 1.5 FROM items WHERE signed
+  UNION ALL SELECT id, 't:laboratory_results', lab_rows * 0.8::DOUBLE FROM items WHERE lab_rows > 0 UNION ALL SELECT id, 'x:' || drug, n * 2 FROM posted
+  UNION ALL SELECT id, unnest(['t:medications', 't:plan']), sum(n) * 0.5::DOUBLE FROM posted GROUP BY id),
+fq AS (SELECT DISTINCT query_id, unnest(list_concat(list_transform(sections, lambda x: 'k:' || x), list_transform(list_filter(sections, lambda x: x IN ('signature', 'laboratory_results', 'medications', 'plan')), lambda x: 't:' || x),
+  list_transform(dates, lambda d: CASE WHEN length(d) = 10 THEN 'd:' ELSE 'm:' END || d), list_transform(medications, lambda x: 'x:' || x), list_transform(codes, lambda x: 'c:' || upper(x)), list_transform(providers, lambda x: 'p:' || lower(x)))) AS feature FROM plans),
+fs AS (SELECT query_id, id, round(sum(amount), 6) AS score FROM fq JOIN fi USING (feature) GROUP BY 1, 2 HAVING score > 0),
 structured AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM fs QUALIFY rank <= 40)"""
 
 
-def _fused(channels: tuple[str, ...]) -> str:
-    column = {"bm25": "w_lexical", "exact": "w_lexical * 1.5::DOUBLE", "structured": "w_structured"}
-    union = " UNION ALL ".join(f"SELECT h.query_id, h.id, {column[c]} / (60 + h.rank) AS part FROM {c} h JOIN plans USING (query_id)" for c in channels)
-    return f"""{STRUCTURED}, parts AS ({union}), ps AS (SELECT query_id, id, round(sum(part), 9) AS score FROM parts GROUP BY 1, 2),
-fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM ps QUALIFY rank <= 80)"""
+def _vector(source: str, key: str, tokens: str) -> str:
+    counts = f"SELECT {key}, ('0x' || left(md5(term), 6))::INTEGER % 256 AS slot, count(*) AS tf FROM (SELECT {key}, unnest({tokens}) AS term FROM {source}) GROUP BY 1, 2"
+    return f"(SELECT {key}, slot, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {key}))::DOUBLE AS w FROM ({counts}))"
 
 
-def _results(channels: tuple[str, ...] = ("bm25", "exact", "structured")) -> str:
-    qt, tt = TOK("p.text"), TOK("t.text")
+DENSE = rf"""{PLANS}, vi AS {_vector('items', 'id', 'tokens')}, vq AS {_vector('(SELECT DISTINCT expanded AS q FROM plans)', 'q', TOK('q'))},
+vs AS (SELECT q, id, round(sum(vi.w * vq.w), 6) AS score FROM vq JOIN vi USING (slot) GROUP BY 1, 2 HAVING score > 0),
+vt AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INTEGER AS rank FROM vs QUALIFY rank <= 60),
+dense AS (SELECT query_id, id, score, rank FROM plans JOIN vt ON vt.q = plans.expanded)"""
+_STAGES = {"bm25": BM25, "exact": EXACT, "structured": STRUCTURED, "dense": DENSE}
+
+
+def _fused(channels: tuple[str, ...]) -> str:
+    column = {"bm25": "w_lexical", "exact": "w_lexical * 1.5::DOUBLE", "structured": "w_structured", "dense": "w_dense"}
+    chain = PLANS + "".join(_STAGES[c][len(PLANS):].replace(", st AS (SELECT count(*) AS n FROM items)", "" if "bm25" in channels else ", st AS (SELECT count(*) AS n FROM items)") for c in channels)
+    union = " UNION ALL ".join(f"SELECT h.query_id, h.id, {column[c]} / (60 + h.rank) AS part FROM {c} h JOIN plans USING (query_id)" for c in channels)
+    return f"""{chain}, parts AS ({union}), ps AS (SELECT query_id, id, round(sum(part), 9) AS score FROM parts GROUP BY 1, 2),
+fused AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM ps QUALIFY rank <= 80)"""
+
+
+def _results(channels: tuple[str, ...] = tuple(CHANNELS), rerank: bool = True) -> str:
+    some = lambda values, text: _exists(values, f"contains({text}, lower(v))")
+    number = _exists("nn", "contains(norm, v)")
+    rr = "CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 50 AND len(qtok) > 0 THEN round(len(list_intersect(qtok, tokens)) / len(qtok), 6) ELSE 0 END" if rerank else "score"
+    hits = " + ".join(
+        f"coalesce({c}, false)::INTEGER" for c in (
+            some("aliases", "body"), f"({some('labs', 'body')} OR ({_any(('lab', 'hba1c', 'ldl'))} AND regexp_matches(body, '{LAB_NAMES}')))",
+            f"(list_has_any(qcodes, codes) OR (({_any(('icd', 'diagnosis', 'code'))} OR list_contains(sections, 'assessment')) AND regexp_matches(body, '{ANY_CODE}')))",
+            number, some("providers", "body"), f"(list_has_any(sections, ['imaging', 'follow_up']) AND {_any(FOLLOW_WORDS, 'body')})",
+        )
+    )
+    history = ", ".join(f"'{x}'" for x in HISTORY_SECTIONS)
     return f"""{_fused(channels)},
-dv AS (SELECT f.*, t.key, t.text AS body, p.text AS query, p.sections, list_distinct({qt}) AS qtok, {tt} AS ttok,
-   (SELECT list(needle) FROM needles n WHERE n.query_id = f.query_id) AS nd
+dv AS (SELECT f.*, t.section, t.body, t.norm, t.tokens, t.codes, t.dates, t.encounter_type, p.low, p.sections, p.aliases, p.providers, p.types, p.labs, p.codes AS qcodes, p.dates AS qdates,
+   list_transform(p.numbers, lambda v: {NORM.format('v')}) AS nn, list_distinct({TOK('p.text')}) AS qtok
   FROM (SELECT f.*, row_number() OVER (PARTITION BY f.query_id, t.grp ORDER BY f.rank) AS g FROM fused f JOIN items t USING (id) QUALIFY g <= 6) f JOIN items t USING (id) JOIN plans p USING (query_id)),
-rr AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 50 AND len(qtok) > 0 THEN round(len(list_intersect(qtok, ttok)) / len(qtok), 6) ELSE 0 END AS rr FROM dv),
-mm AS (SELECT *, min(rr) OVER w AS rl, max(rr) OVER w AS rh, min(score) OVER w AS sl, max(score) OVER w AS sh FROM rr WINDOW w AS (PARTITION BY query_id)),
-fin AS (SELECT query_id, id, left({NORM.format('body')}, 180) AS head, round(0.65::DOUBLE * CASE WHEN rh - rl < 1e-9 THEN 1 ELSE (rr - rl) / (rh - rl) END + 0.2::DOUBLE * CASE WHEN sh - sl < 1e-9 THEN 1 ELSE (score - sl) / (sh - sl) END
-  + 0.15::DOUBLE * (0.08::DOUBLE * coalesce(list_contains(sections, key), false)::INT + 0.08::DOUBLE * coalesce(list_has_any(nd, ttok), false)::INT), 6) AS final FROM mm),
+rr AS (SELECT *, {rr} AS rr, ({hits}) AS hits FROM dv),
+me AS (SELECT *, 0.12::DOUBLE * coalesce({_exists('qdates', "CASE WHEN length(v) = 10 THEN list_contains(dates, v) ELSE len(list_filter(dates, lambda x: starts_with(x, v))) > 0 END")}, false)::INTEGER
+  + 0.08::DOUBLE * coalesce({_exists('sections', "contains(section, v) OR contains(section, replace(v, '_', ' '))")}, false)::INTEGER
+  + 0.08::DOUBLE * CASE WHEN {some('aliases', 'body')} OR {some('providers', 'body')} OR list_has_any(qcodes, codes) THEN 1.0 WHEN {some('labs', 'body')} THEN 0.9
+      WHEN {_exists('types', "contains(lower(encounter_type), v)")} THEN 0.8 WHEN {some('types', 'body')} THEN 0.6 ELSE 0 END::DOUBLE
+  + 0.1::DOUBLE * {_exists('nn', "contains(norm, v) OR contains(replace(norm, ' ', ''), replace(v, ' ', ''))")}::INTEGER
+  + 0.16::DOUBLE * CASE WHEN hits >= 3 THEN 1.0 WHEN hits = 2 THEN 0.7 WHEN hits = 1 THEN 0.25 ELSE 0 END::DOUBLE
+  + 0.08::DOUBLE * CASE WHEN {_exists('sections', "contains(section, v)")} OR ({_any(HISTORY_WORDS)} AND coalesce(section IN ({history}), false)) THEN 1.0
+      WHEN {_any(MEDICATION_WORDS)} AND coalesce(contains(section, 'med'), false) THEN 0.85 ELSE 0 END::DOUBLE AS meta FROM rr),
+mm AS (SELECT *, min(rr) OVER w AS rl, max(rr) OVER w AS rh, min(score) OVER w AS sl, max(score) OVER w AS sh FROM me WINDOW w AS (PARTITION BY query_id)),
+fin AS (SELECT query_id, id, left(norm, 180) AS head, round(0.65::DOUBLE * CASE WHEN rh - rl < 1e-9 THEN 1 ELSE (rr - rl) / (rh - rl) END + 0.2::DOUBLE * CASE WHEN sh - sl < 1e-9 THEN 1 ELSE (score - sl) / (sh - sl) END + 0.15::DOUBLE * meta, 6) AS final FROM mm),
 un AS (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY query_id, head ORDER BY final DESC, id) = 1),
 results AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id)::INTEGER AS rank, id, final AS score FROM un QUALIFY rank <= 10)"""
 
 
-def _quality(channels: tuple[str, ...]) -> str:
-    return f"""{_results(channels)},
+def _quality(channels: tuple[str, ...], rerank: bool = True) -> str:
+    return f"""{_results(channels, rerank)},
 gold AS (SELECT q.query_id, t.id FROM q JOIN items t ON t.document_id = q.document_id AND q.page BETWEEN t.page_start AND t.page_end),
 fm AS (SELECT q.query_id, min(r.rank) AS fr FROM q LEFT JOIN (SELECT r.* FROM results r JOIN gold USING (query_id, id)) r USING (query_id) GROUP BY 1)
 SELECT count(*) AS queries, {', '.join(f"round(avg(CASE WHEN fr <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10))},
@@ -153,28 +218,48 @@ round(avg(CASE WHEN fr <= 10 THEN 1.0::DOUBLE / fr ELSE 0 END), 6) AS mrr_10, ro
 round(avg(CASE WHEN fr <= 10 THEN 0.1::DOUBLE ELSE 0 END), 6) AS precision_10, round(avg(fr), 6) AS mean_rank, count(*) FILTER (fr IS NULL) AS missed FROM fm"""
 
 
+_LISTS = ("sections", "medications", "providers", "codes", "numbers", "dates")
+
+
 def e08_query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intent, sections and channel weights of all queries."""
-    return Inputs(spark, sf_dir).plans.withColumn("sections", F.array_join("sections", ",")).withColumn("needles", F.array_join("needles", ",")).drop("dates")
+    """Intent, sections, entities, needles and channel weights of all queries."""
+    plans = Inputs(spark, sf_dir).plans
+    joined = [F.array_join(c, ",").alias(c) for c in _LISTS]
+    extra = [F.array_join(F.array_sort("labs"), ",").alias("labs"), F.array_join(F.array_sort("encounter_types"), ",").alias("encounter_types"), F.array_join("needles", ",").alias("needles")]
+    return plans.select("query_id", "text", "intent", *joined, *extra, *(f"w_{c}" for c in planning.CHANNELS))
+
 
+E08 = f"""WITH {PLANS} SELECT query_id, text, intent, {', '.join(f"array_to_string({c}, ',') AS {c}" for c in _LISTS)}, array_to_string(list_sort(labs), ',') AS labs,
+ array_to_string(list_sort(types), ',') AS encounter_types, array_to_string(needles, ',') AS needles, w_lexical, w_dense, w_structured, w_visual FROM plans"""
 
-E08 = f"""WITH {PLANS} SELECT p.query_id, text, intent, array_to_string(sections, ',') AS sections, w_lexical, w_dense, w_structured, w_visual,
- coalesce(n.needles, '') AS needles FROM plans p LEFT JOIN (SELECT query_id, string_agg(needle, ',' ORDER BY needle) AS needles FROM needles GROUP BY 1) n USING (query_id)"""
+
+def e06_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each query gains, one row per expansion."""
+    plans = Inputs(spark, sf_dir).plans
+    return plans.select("query_id", F.explode(F.transform("expansions", lambda e: F.lower(e))).alias("expansion"))
+
+
+E06 = f"WITH {PLANS} SELECT query_id, unnest(expansions) AS expansion FROM plans"
 
 
 def f02_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical channel."""
-    return Inputs(spark, sf_dir).bm25()
+    return Inputs(spark, sf_dir).hits("bm25")
+
+
+def f03_hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense channel with hashed term vectors in place of an encoder's."""
+    return Inputs(spark, sf_dir).hits("dense")
 
 
 def f06_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact channel."""
-    return Inputs(spark, sf_dir).exact()
+    return Inputs(spark, sf_dir).hits("exact")
 
 
 def f08_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured channel."""
-    return Inputs(spark, sf_dir).structured()
+    return Inputs(spark, sf_dir).hits("structured")
 
 
 def g01_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,19 +278,25 @@ def i13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.quality(evaluation.first_match(run.results(), run.gold(), run.queries))
 
 
-CONFIGS = {"bm25": ("bm25",), "bm25_exact": ("bm25", "exact"), "bm25_structured": ("bm25", "structured"), "all": ("bm25", "exact", "structured")}
+#: The configurations that are compared: channels, and whether results are reranked. There is no visual channel.
+CONFIGS = {
+    "bm25_only": (("bm25",), True), "dense_only": (("dense",), True), "bm25_dense": (("bm25", "dense"), True),
+    "bm25_exact": (("bm25", "exact"), True), "bm25_structured": (("bm25", "structured"), True),
+    "full_no_rerank": (tuple(CHANNELS), False), "full_with_rerank": (tuple(CHANNELS), True),
+}
 
 
 def i15_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality with fewer channels."""
+    """Quality with fewer channels and without reranking."""
     run, out = Inputs(spark, sf_dir), None
-    for name, channels in CONFIGS.items():
-        row = evaluation.quality(evaluation.first_match(run.results(channels), run.gold(), run.queries)).withColumn("config", F.lit(name))
+    gold = cut(run.gold())
+    for name, (channels, rerank) in CONFIGS.items():
+        row = evaluation.quality(evaluation.first_match(run.results(channels, rerank), gold, run.queries)).withColumn("config", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-I15 = " UNION ALL BY NAME ".join(f"(SELECT *, '{name}' AS config FROM (WITH {_quality(ch)}))" for name, ch in CONFIGS.items())
+I15 = " UNION ALL BY NAME ".join(f"(SELECT *, '{name}' AS config FROM (WITH {_quality(*ch)}))" for name, ch in CONFIGS.items())
 
 
 def i14_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,14 +364,14 @@ def f11_late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        e08_query_plans, f02_bm25, f04_dense, f05_cell_index, f06_exact, f08_structured, f11_late_interaction, f12_centroids, g01_fused, g17_results,
-        h04_answers, i13_quality, i14_grounding, i15_ablation,
+        e06_expansions, e08_query_plans, f02_bm25, f03_hashed_vectors, f04_dense, f05_cell_index, f06_exact, f08_structured, f11_late_interaction, f12_centroids,
+        g01_fused, g17_results, h04_answers, i13_quality, i14_grounding, i15_ablation,
     )
 }
 _HITS = "SELECT query_id, id, score, rank FROM "
 SQL = {
-    "e08_query_plans": E08, "f02_bm25": f"WITH {BM25} {_HITS} bm25", "f04_dense": F04, "f06_exact": f"WITH {EXACT} {_HITS} exact",
-    "f08_structured": f"WITH {STRUCTURED} {_HITS} structured", "f12_centroids": F12,
-    "g01_fused": f"WITH {_fused(tuple(SHARES))} {_HITS} fused", "g17_results": f"WITH {_results()} SELECT query_id, rank, id, score FROM results",
-    "h04_answers": H04, "i13_quality": f"WITH {_quality(tuple(SHARES))}", "i14_grounding": I14, "i15_ablation": I15,
+    "e06_expansions": E06, "e08_query_plans": E08, "f02_bm25": f"WITH {BM25} {_HITS} bm25", "f03_hashed_vectors": f"WITH {DENSE} {_HITS} dense", "f04_dense": F04,
+    "f06_exact": f"WITH {EXACT} {_HITS} exact", "f08_structured": f"WITH {STRUCTURED} {_HITS} structured", "f12_centroids": F12,
+    "g01_fused": f"WITH {_fused(tuple(CHANNELS))} {_HITS} fused", "g17_results": f"WITH {_results()} SELECT query_id, rank, id, score FROM results",
+    "h04_answers": H04, "i13_quality": f"WITH {_quality(tuple(CHANNELS))}", "i14_grounding": I14, "i15_ablation": I15,
 }
