@@ -178,7 +178,7 @@ def furniture(pages: DataFrame, share: float = 1 / 3, least: int = 4) -> tuple[D
     # Only where running lines fill the outer lines of one edge can there be more of them further in.
     deep = cut(seen.where("running").groupBy("document_id", "side").agg(F.count_distinct("pos").alias("n")).where(F.col("n") >= OUTER).select("document_id").distinct())
     if not deep.isEmpty():
-        inner = counted(_edge_lines(pages.join(deep, "document_id", "left_semi"), text, OUTER + 1, EDGE))
+        inner = counted(_edge_lines(spread_join(pages, deep, ["document_id"], F.col("page_number"), "left_semi"), text, OUTER + 1, EDGE))
         seen = seen.unionByName(inner.join(seen.where("running").select("document_id", "key"), ["document_id", "key"], "left_anti"))
     own = (
         seen.where("running").select("document_id", "key", chunk_hashes("key").alias("own"))
@@ -201,7 +201,7 @@ def running_lines(pages: DataFrame) -> DataFrame:
     texts = pages.where("clean_text is not null")
     edge = _edge_lines(texts, F.col("clean_text"))
     if not deep.isEmpty():
-        edge = edge.unionByName(_edge_lines(texts.join(deep, "document_id", "left_semi"), F.col("clean_text"), OUTER + 1, EDGE))
+        edge = edge.unionByName(_edge_lines(spread_join(texts, deep, ["document_id"], F.col("page_number"), "left_semi"), F.col("clean_text"), OUTER + 1, EDGE))
     edge = store(edge)
     # Each distinct key of a chart is compared once; a damaged copy still shares chunks with the running line.
     keys = edge.groupBy("document_id", "key").agg(F.lit(1).alias("one")).withColumn("own", chunk_hashes("key"))
