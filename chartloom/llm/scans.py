@@ -12,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartloom.llm.repeats import chunk_hashes, line_key, with_matches
-from chartloom.session import cut, spread_join, store
+from chartloom.session import cut, once, spread_join, store
 
-TOKEN = r"[\p{N}$†|]*+\p{L}[\p{L}\p{N}$†|]*+"
+#: Letters and figures are listed before their classes, which are slower to test.
+_ASCII = "abcdefghijklmnopqrstuvwxyz"
+TOKEN = rf"[0123456789$†|\p{{N}}]*+[{_ASCII}\p{{L}}][{_ASCII}0123456789$†|\p{{L}}\p{{N}}]*+"
 #: A word of at least this share of all words is known; there can be no more than its inverse of them.
 KNOWN_SHARE = 1e-5
 #: How much more frequent the right form must be than its misreading.
@@ -71,10 +73,11 @@ def _unbroken(text: Column) -> Column:
 
 def _token_rows(pages: DataFrame, read=None) -> DataFrame:
     words = F.regexp_extract_all(F.lower((read or _joined)(F.col("clean_text"))), F.lit(TOKEN), F.lit(0))
-    return pages.withColumn("w", words).select(
-        "document_id", "page_number",
-        F.explode(F.transform("w", lambda x, i: F.struct(F.get("w", i - 1).alias("prev"), x.alias("word"), F.get("w", i + 1).alias("next")))).alias("t"),
-    ).select("document_id", "page_number", "t.*")
+    pages = once(pages.select("document_id", "page_number", "clean_text"), w=words)
+    # Shifted arrays side by side: built-in functions in generated code, one match per text.
+    prev, after = F.concat(F.array(F.lit(None).cast("string")), F.col("w")), F.slice("w", F.lit(2), F.greatest(F.lit(1), F.size("w")))
+    rows = pages.select("document_id", "page_number", F.inline(F.arrays_zip(prev.alias("prev"), F.col("w").alias("word"), after.alias("next"))))
+    return rows.where("word is not null")
 
 
 class Lexicon:

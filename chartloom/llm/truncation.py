@@ -82,13 +82,14 @@ def _counts(given: DataFrame) -> DataFrame:
     lines = given.select(F.posexplode(F.split("core", "\n")).alias("i", "line"), F.col("line_count"))
     lines = once(lines.where("trim(line) <> ''"), masked=_mask(F.col("line"))).withColumn("inner", F.col("i") < F.col("line_count") - 1)
     lines = once(lines.withColumn("row", _is_row(F.col("line"))), tokens=_tokens(F.col("masked")))
-    final = lambda i: i == F.size("tokens") - 1
-    token = F.transform("tokens", lambda t, i: F.struct(F.lit("t").alias("kind"), t.alias("key"), (F.col("inner") & ~final(i)).alias("inside"), (F.col("inner") & final(i)).alias("at_end"), (F.col("inner") | ~final(i)).alias("seen")))
-    form = F.array(F.struct(F.lit("l").alias("kind"), F.xxhash64("masked").cast("string").alias("key"), F.lit(False).alias("inside"), F.lit(False).alias("at_end"), F.col("inner").alias("seen")))
+    # The line's own key comes first, then its tokens.
+    keys = F.posexplode(F.concat(F.array(F.xxhash64("masked").cast("string")), F.col("tokens"))).alias("at", "key")
+    rows = lines.select("row", "inner", F.size("tokens").alias("last"), keys)
+    line, final = F.col("at") == 0, F.col("at") == F.col("last")
+    rows = rows.where(F.col("inner") | ~(line | final))
     return (
-        lines.select("row", F.explode(F.concat(form, token)).alias("k")).select("row", "k.*").where("seen")
-        .groupBy("kind", "key", F.when(F.col("kind") == "t", F.col("row")).alias("row"))
-        .agg(F.count_if("inside").alias("inside"), F.count_if("at_end").alias("at_end"), F.count("*").alias("n"))
+        rows.groupBy(F.when(line, "l").otherwise("t").alias("kind"), "key", F.when(~line, F.col("row")).alias("row"))
+        .agg(F.count_if(~line & F.col("inner") & ~final).alias("inside"), F.count_if(~line & F.col("inner") & final).alias("at_end"), F.count("*").alias("n"))
     )
 
 
