@@ -48,7 +48,7 @@ class Engine:
         if channel == "structured":
             return search.sparse(self.index.features, search.weighted_features(query_features(plans), "query_id"), k)
         asked = plans.select(F.col("expanded").alias("text")).distinct()
-        best = search.sparse(self.index.vectors, search.hashed_vectors(asked.withColumn("q", F.col("text")), "q").withColumnRenamed("q", "query_id"), k)
+        best = search.sparse(self.index.vectors, search.hashed_vectors(asked.withColumn("q", F.col("text")), "q", known=self.index.terms).withColumnRenamed("q", "query_id"), k)
         return search.spread_hits(plans.select("query_id", F.col("expanded").alias("q")), best.withColumnRenamed("query_id", "q"))
 
     def fuse(self, plans: DataFrame, hits: dict[str, DataFrame], settings: ranking.Settings = ranking.Settings()) -> DataFrame:

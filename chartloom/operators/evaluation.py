@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import normalize_text
+from chartloom.session import once
 
 
 def first_match(results: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
@@ -30,10 +31,11 @@ def quality(matches: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFr
     )
 
 
-def duplicate_ratio(results: DataFrame) -> DataFrame:
-    """(query_id, duplicate_ratio): share of a query's results whose first 160 characters repeat another result's."""
+def duplicate_ratio(results: DataFrame, characters: int | None = 160) -> DataFrame:
+    """(query_id, duplicate_ratio): share of a query's results whose beginning repeats another result's; whole texts for None."""
+    head = F.col("text") if characters is None else F.left("text", F.lit(characters))
     return results.groupBy("query_id").agg(
-        F.round(1 - F.count_distinct(F.substring("text", 1, 160)) / F.count("*"), 6).alias("duplicate_ratio")
+        F.round(1 - F.count_distinct(head) / F.count("*"), 6).alias("duplicate_ratio")
     )
 
 
@@ -58,26 +60,70 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when(F.size(words(a)) > 0, F.size(F.array_intersect(words(a), words(b))) / F.size(words(a))).otherwise(0.0)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two texts, which no built-in function computes; null counts as empty."""
+def similarities(text: Column, parts: Column) -> Column:
+    """Ratcliff-Obershelp ratios of a text with each of an array of texts, which no built-in function computes."""
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype="float64")
+    @F.pandas_udf("array<double>")
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[SequenceMatcher(None, q, p or "").ratio() for q in ([] if qs is None else qs)] for p, qs in zip(x, y)])
 
-    return ratio(a, b)
+    return ratios(text, parts)
+
+
+# What must not be missing from a text that holds an evidence: codes, pressures, shares, doses, and these words.
+ANCHOR = (
+    r"\b[a-z]\d{2}(?:\.\d+)?\b|\b\d{2,3}/\d{2,3}\b|\b\d+(?:\.\d+)?%|\b\d+(?:\.\d+)?\s*mg\b|"
+    r"\b(?:metformin|penicillin|jardiance|empagliflozin|amlodipine|ozempic|semaglutide|chlorthalidone|cardiology|nephrology|"
+    r"appendectomy|arthroscopy|hives|a\+|blood type)\b"
+)
+#: Characters up to which an evidence may miss no anchor; shares of words that do for evidence with all anchors, with most of its
+#: dashed parts, and without fuzzy agreement.
+SHORT_EVIDENCE, ANCHORED, DASHED, SURE = 160, 0.55, 0.65, 0.85
+
+
+def _contained(norm: Column, part: Column) -> Column:
+    """Whether a normalised text holds a normalised part, for parts of eight characters or more also without regard to blanks."""
+    bare = F.replace(part, F.lit(" "), F.lit(""))
+    return norm.contains(part) | ((F.length(bare) >= 8) & F.replace(norm, F.lit(" "), F.lit("")).contains(bare))
 
 
 def evidence_matches(pairs: DataFrame, least_overlap: float = 0.70, least_ratio: float = 0.82) -> DataFrame:
-    """Add ``matches`` to (text, evidence): every part of the evidence, split at semicolons, is found in the text.
+    """Add ``matches`` to (text, evidence): whether the text holds the evidence, all of its clauses (split at semicolons).
 
-    A part is found if the normalised text contains it, or holds enough of its words, or, for what is left, if both
-    are similar enough as wholes. Evidence without parts matches nothing.
+    A clause is held if the normalised text contains it; or has all its anchors and most of its words; or all its parts
+    between dashes; or enough of its words, and agrees with it as a whole; or if the clause contains the text. A short
+    clause with an anchor that the text lacks is not held. Null and blank texts and evidences match nothing.
     """
-    parts = F.filter(F.transform(F.split(F.coalesce("evidence", F.lit("")), ";"), lambda p: normalize_text(p)), lambda p: p != "")
-    rows = pairs.withColumn("_text", F.coalesce(normalize_text(F.col("text")), F.lit(""))).withColumn("_parts", parts)
-    clear = F.forall("_parts", lambda p: F.col("_text").contains(p) | (token_overlap(p, F.col("_text")) >= least_overlap))
-    rows = rows.withColumn("_clear", (F.size("_parts") > 0) & clear)
-    whole = normalize_text(F.coalesce("evidence", F.lit("")))
-    near = (F.size("_parts") == 1) & (similarity(F.when(F.col("_clear"), F.lit("")).otherwise(F.col("_text")), whole) >= least_ratio)
-    return rows.withColumn("matches", F.col("_clear") | near).drop("_text", "_parts", "_clear")
+    low_words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0)))
+    clauses = F.filter(F.transform(F.split(F.coalesce("evidence", F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
+    rows = once(pairs, _norm=F.coalesce(normalize_text(F.col("text")), F.lit("")))
+    rows = once(rows, _clauses=F.transform(clauses, lambda p: F.struct(p.alias("p"), normalize_text(p).alias("n"))))
+    norm = F.col("_norm")
+
+    def decide(c: Column) -> Column:
+        p, n = c["p"], c["n"]
+        overlap, words = token_overlap(p, F.col("text")), F.size(low_words(p))
+        anchors = F.regexp_extract_all(n, F.lit(ANCHOR), F.lit(0))
+        bare = F.replace(norm, F.lit(" "), F.lit(""))
+        missing = F.size(F.filter(anchors, lambda a: ~norm.contains(a) & ~bare.contains(F.replace(a, F.lit(" "), F.lit("")))))
+        anchored = F.size(anchors) > 0
+        dashed = F.filter(F.transform(F.split(p, "[—-]"), lambda x: normalize_text(x)), lambda x: F.length(x) >= 6)
+        hits = F.size(F.filter(dashed, lambda x: _contained(norm, x)))
+        enough = (overlap >= least_overlap) & (words >= 5)
+        inside = (F.length(norm) > 20) & (F.length(norm) < F.length(n)) & n.contains(norm)
+        return (
+            F.when(_contained(norm, n), "yes")
+            .when(anchored & (missing > 0) & ((F.length(p) < SHORT_EVIDENCE) | (missing > 1)), "no")
+            .when(anchored & (missing == 0) & (overlap >= ANCHORED), "yes")
+            .when((F.size(dashed) >= 2) & ((hits == F.size(dashed)) | ((hits >= F.size(dashed) * 0.8) & (overlap >= DASHED))), "yes")
+            .when(enough & (anchored | (overlap >= SURE)), "yes").when(enough, "fuzzy")
+            .otherwise(F.when(inside, "yes").otherwise("no"))
+        )
+
+    rows = once(rows, _said=F.transform("_clauses", lambda c: F.struct(c["n"].alias("n"), decide(c).alias("d"))))
+    # Only what is left open is compared letter by letter.
+    open_clauses = F.transform(F.filter("_said", lambda c: c["d"] == "fuzzy"), lambda c: c["n"])
+    ratios = similarities(F.when(F.size(open_clauses) > 0, norm), open_clauses)
+    given = (F.trim(norm) != "") & (F.size("_said") > 0)
+    held = F.forall("_said", lambda c: c["d"] != "no") & F.forall(F.coalesce(ratios, F.array().cast("array<double>")), lambda r: r >= least_ratio)
+    return rows.withColumn("matches", given & held).drop("_norm", "_clauses", "_said")

@@ -65,9 +65,9 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, text)) / F.size(q)).otherwise(F.lit(0.0))
 
 
-def head(norm: Column) -> Column:
-    """What near duplicates have in common: the beginning of the normalised text."""
-    return F.substring(norm, 1, 180)
+def head(norm: Column, characters: int | None = 180) -> Column:
+    """What near duplicates have in common: the beginning of the normalised text; all of it for None."""
+    return norm if characters is None else F.left(norm, F.lit(characters))
 
 
 # Which table types answer a section hint.
@@ -102,6 +102,10 @@ def _some(values: str, text: Column) -> Column:
     return F.exists(values, lambda v: text.contains(F.lower(v)))
 
 
+def _table_types() -> Column:
+    return F.create_map(*(x for k, v in TABLE_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+
+
 def date_match(dates: Column, found: Column) -> Column:
     """1 if a day of ``dates`` is among ``found``, or a month begins one of them; else 0."""
     one = F.exists(dates, lambda d: F.when(F.length(d) == 10, F.array_contains(found, d)).otherwise(F.exists(found, lambda x: x.startswith(d))))
@@ -110,7 +114,7 @@ def date_match(dates: Column, found: Column) -> Column:
 
 def section_match(sections: Column, section: Column, table_type: Column, chunk_type: Column) -> Column:
     """1 if a hinted section stands in the item's section or its table type answers the hint, 0.9 for a synthesis of several, else 0."""
-    types = F.create_map(*(x for k, v in TABLE_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    types, table_type = _table_types(), table_type.cast("string")
     named = F.exists(sections, lambda i: section.contains(i) | section.contains(F.replace(i, F.lit("_"), F.lit(" "))))
     typed = F.exists(sections, lambda i: F.array_contains(F.try_element_at(types, i), table_type))
     synthesis = (F.size(sections) >= 2) & chunk_type.isin("compound", "encounter_key_facts")
@@ -120,7 +124,7 @@ def section_match(sections: Column, section: Column, table_type: Column, chunk_t
 
 def structure_match(low: Column, sections: Column, section: Column, table_type: Column) -> Column:
     """1 where section or table type fit the hints or a wish for history, 0.85 for wording about medication, else 0."""
-    types = F.create_map(*(x for k, v in TABLE_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    types, table_type = _table_types(), table_type.cast("string")
     fits = F.exists(sections, lambda i: F.coalesce(section.contains(i), F.lit(False)) | F.coalesce(F.array_contains(F.try_element_at(types, i), table_type), F.lit(False)))
     history = _holds(low, HISTORY_WORDS) & F.coalesce(table_type.isin(TABLE_TYPES["demographics"]) | section.isin(HISTORY_SECTIONS), F.lit(False))
     drugs = _holds(low, MEDICATION_WORDS) & F.coalesce(table_type.isin(TABLE_TYPES["medications"]) | section.contains("med"), F.lit(False))

@@ -161,12 +161,15 @@ def exact(texts: DataFrame, needles: DataFrame, k: int = 80) -> DataFrame:
     return sparse(_rows(found, "id", F.col("needle"), F.lit(1.0)), _rows(asked, "query_id", F.col("needle"), F.col("weight"), F.col("rare")), k, bonus=20.0)
 
 
-def hashed_vectors(texts: DataFrame, key: str = "id", size: int = 256) -> DataFrame:
+def hashed_vectors(texts: DataFrame, key: str = "id", size: int = 256, known: DataFrame | None = None) -> DataFrame:
     """Term counts of (key, text) or (key, tokens) hashed to ``size`` dimensions, of length 1, as sparse rows.
 
-    The built-in stand-in for an encoder; any other table of sparse or dense vectors takes its place.
+    The built-in stand-in for an encoder; any other table of sparse or dense vectors takes its place. With ``known``
+    (term, ...) only those terms count, so that a query of unknown words is near to nothing.
     """
     words = texts.select(F.col(key), F.explode(_tokens(texts)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    if known is not None:
+        words = spread_join(known.select("term"), words.select("term").distinct(), ["term"], F.col("term")).join(words, "term")
     at = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("bigint"), F.lit(size)).cast("string")
     counts = words.groupBy(key, at.alias("at")).agg(F.sum("tf").alias("tf"))
     rows = _rows(counts, key, F.col("at"), F.col("tf"))

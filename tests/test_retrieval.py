@@ -71,10 +71,88 @@ def test_planning(spark):
     got = {r.query_id: r for r in planning.plan(spark.createDataFrame(q, "query_id long, text string"), names).collect()}
     assert got[1].intent == "clinical_explanation" and got[1].sections == ["plan"] and got[1].needles == ["ramipril"]
     assert got[2].intent == "signature_lookup" and got[4].intent == "general" and got[4].needles == []
+    assert got[5].intent == "general" and got[5].needles == [] and got[5].text == ""
     assert got[3].intent == "table_heavy" and close(got[3].w_structured, 0.304348) and close(got[3].w_lexical, 0.26087)
     assert close(got[1].w_lexical + got[1].w_dense + got[1].w_structured + got[1].w_visual, 1.0, 1e-5)
 
 
+def test_planning_as_specified(spark):
+    """Literal cases: intent, sections and entities of a query; nothing here is taken from the tables of rules."""
+    names = spark.createDataFrame([("Jardiance",), ("insulin glargine",), ("Amlodipine",)], "name string")
+    cases = [
+        (1, "What is the patient's date of birth?", "metadata_exact", ["demographics"]),
+        (2, "Which timeframe was given?", "general", ["follow_up"]),
+        (3, "HbA1c when Jardiance 10 mg was started", "lab_value_linked_to_medication_change", ["plan", "laboratory_results"]),
+        (4, "ICD codes I10 and E11.65 of the visit", "icd_code_lookup", ["assessment"]),
+        (5, "Was blood pressure 140/90 at the office visit with Dr. Anna Berg, MD on May 3, 2024?", "general", ["vitals"]),
+        (6, "allergies and family history of the mother", "multi_part_clinical", ["allergies", "medical_history", "family_history"]),
+        (7, "reason for insulin  glargine", "clinical_explanation", []),
+        (8, "secondary hypertension", "general", []),
+    ]
+    got = {r.query_id: r for r in planning.plan(spark.createDataFrame([c[:2] for c in cases], "query_id long, text string"), names).collect()}
+    for i, text, intent, sections in cases:
+        assert (got[i].intent, list(got[i].sections)) == (intent, sections), text
+    assert list(got[3].medications) == ["jardiance"] and got[3].numbers == ["10 mg"] and got[3].labs == ["HbA1c", "LDL"][:1]
+    assert {"empagliflozin", "jardiance", "sglt2 inhibitor"} <= set(got[3].expansions) and {"10 mg", "hba1c", "empagliflozin"} <= set(got[3].needles)
+    assert got[4].codes == ["I10", "E11.65"] and {"i10", "e11.65", "assessment", "diagnoses"} <= set(got[4].needles)
+    assert got[5].numbers == ["140/90"] and got[5].providers == ["Dr. Anna Berg, MD"] and got[5].encounter_types == ["office visit"] and got[5].dates == ["2024-05-03"]
+    assert got[5].expansions == ["BP", "mmHg"] and got[5].expanded.endswith("BP mmHg 2024-05-03") and close(got[5].w_structured, 0.4 / 1.15)
+    assert list(got[7].medications) == ["insulin glargine"]  # names are compared by words, whatever blanks stand between
+    assert "renal artery stenosis" in got[8].expansions
+
+
+def test_metadata_matches(spark):
+    a = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    date = ranking.date_match
+    row = spark.range(1).select(
+        date(a("2024-05-03"), a("2024-05-03")).alias("day"), date(a("2024-05"), a("2024-05-09")).alias("month"), date(a("2024-06"), a("2024-05-09")).alias("none"), date(a(), a()).alias("empty"),
+        ranking.section_match(a("follow_up"), F.lit("follow up visit"), F.lit(None).cast("string"), F.lit("section")).alias("named"), ranking.section_match(a("vitals"), F.lit("x"), F.lit("vitals"), F.lit("atomic")).alias("typed"),
+        ranking.section_match(a("plan", "vitals"), F.lit("x"), F.lit(None).cast("string"), F.lit("compound")).alias("synthesis"), ranking.section_match(a("plan"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("section")).alias("no"),
+        ranking.structure_match(F.lit("any allergies?"), a(), F.lit("allergies"), F.lit(None)).alias("history"), ranking.structure_match(F.lit("dose taken"), a(), F.lit("current medications"), F.lit(None).cast("string")).alias("drug"),
+    ).first()
+    assert row.asDict() == {"day": 1.0, "month": 1.0, "none": 0.0, "empty": 0.0, "named": 1.0, "typed": 1.0, "synthesis": 0.9, "no": 0.0, "history": 1.0, "drug": 0.85}
+    d = spark.createDataFrame([("p", "BP 140/90, ramipril 10 mg", "bp 140/90, ramipril 10 mg", ["140/90"], ["ramipril"], [], ["HbA1c"], [], [], ["vitals"], [])], "q string, text string, norm string, norm_numbers array<string>, aliases array<string>, providers array<string>, labs array<string>, encounter_types array<string>, query_codes array<string>, sections array<string>, codes array<string>")
+    r = d.select(ranking.numeric_match(F.col("norm")).alias("n"), ranking.entity_match(F.lower("text"), F.col("codes"), F.lit(None).cast("string")).alias("e"), ranking.cooccurrence(F.lit("bp?"), F.lower("text"), F.col("norm"), F.col("codes")).alias("c")).first()
+    assert (r.n, r.e, r.c) == (1.0, 1.0, 0.7)
+
+
+def test_sparse_search_has_no_hot_term(spark):
+    # One term in every item and every query, blocks smaller than the tables.
+    rng = np.random.default_rng(3)
+    items = [(f"i{i:03d}", [1, 100 + i % 7], [1.0, float(rng.integers(1, 5))]) for i in range(250)]
+    asked = [(q, [1, 100 + q % 7], [0.5, 1.0]) for q in range(30)]
+    a = spark.createDataFrame(items, "id string, terms array<bigint>, weights array<double>")
+    b = spark.createDataFrame(asked + [(99, [777], [1.0]), (98, [], [])], "query_id long, terms array<bigint>, weights array<double>")
+    got = search.sparse(a, b, 5, block=32, asked=8).collect()
+    assert len(got) == 150
+    for q, terms, weights in asked:
+        want = sorted(((-sum(w * dict(zip(t, v)).get(x, 0.0) for x, w in zip(terms, weights)), i) for i, t, v in items))[:5]
+        assert [(r.id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in want]
+
+
+def test_needles_of_several_words(spark):
+    texts = spark.createDataFrame([(1, "Renal artery stenosis seen."), (2, "artery renal stenosis"), (3, None)], "id long, text string")
+    rows = search.exact(texts, spark.createDataFrame([(1, "renal artery"), (2, "stenosis"), (3, ""), (4, None)], "query_id long, needle string")).collect()
+    assert {(r.query_id, r.id) for r in rows} == {(1, 1), (2, 1), (2, 2)}
+
+
+def test_evidence_cascade(spark):
+    cases = [
+        ("Initiate Jardiance (empagliflozin) 10mg daily given HbA1c of 8.2%", "Initiate Jardiance (empagliflozin) 10mg daily given HbA1c of 8.2%", True),
+        ("Allergies | Penicillin — Reaction: Hives — Severity: Moderate", "Penicillin — Reaction: Hives — Severity: Moderate", True),
+        ("Patient takes metformin 500 mg with meals", "metformin 1000 mg with meals", False),  # an anchor is missing
+        ("Blood pressure was 140/90 and weight 80 kg", "140/90; weight 80 kg", True),
+        ("Blood pressure was 140/90", "140/90; weight 80 kg", False),  # every clause must match
+        ("renal artery stenosis was suspected in this patient today", "today renal artery stenosis was suspected in this patient", True),  # by words
+        ("Appendectomy in the year 2001", "Appendectomy in the year 2001, tonsillectomy in 1990 and a knee arthroscopy in the spring of 2011", False),  # anchors are missing
+        ("gall bladder removed in spring", "Operations were: gall bladder removed in spring, with good recovery afterwards and no further complaints", True),  # held by the evidence
+        ("weight loss noted", "", False), (None, "x y z", False), ("abc", None, False),
+    ]
+    df = spark.createDataFrame(cases, "text string, evidence string, want boolean")
+    for r in evaluation.evidence_matches(df).collect():
+        assert r.matches == r.want, (r.text, r.evidence)
+
+
 def test_quality(spark):
     m = spark.createDataFrame([(1, 1), (2, 3), (3, None), (4, 10)], "query_id long, first_rank int")
     r = evaluation.quality(m).first()
