@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import normalize_text
@@ -31,6 +32,41 @@ def quality(matches: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFr
     )
 
 
+def page_hits(results: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
+    """One row: queries, share with an expected page among the first ``k`` results, mean share of those results that show one.
+
+    ``results`` has (query_id, rank, document_id, page_start, page_end), ``expected`` (query_id, document_id, page).
+    """
+    wanted = expected.where("page is not null").select("query_id", "document_id", "page").distinct()
+    pairs = results.where(F.col("rank") <= k).join(wanted, ["query_id", "document_id"])
+    shown = pairs.where(F.col("page").between(F.col("page_start"), F.col("page_end"))).groupBy("query_id").agg(F.count_distinct("rank").alias("n"))
+    rows = expected.select("query_id").distinct().join(shown, "query_id", "left")
+    return rows.agg(
+        F.count("*").alias("queries"), F.round(F.coalesce(F.avg(F.when(F.col("n") > 0, 1.0).otherwise(0.0)), F.lit(0.0)), 6).alias("page_hit"),
+        F.round(F.coalesce(F.avg(F.coalesce(F.col("n"), F.lit(0)) / k), F.lit(0.0)), 6).alias("page_precision"),
+    )
+
+
+def error_rows(matches: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, first_rank, hit, category, notes) of each query: OK with its rank, or RETRIEVAL_MISS with the first three pages."""
+    pages = results.where("rank <= 3").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "page_start"))).alias("p"))
+    top = F.array_join(F.transform("p", lambda x: x["page_start"].cast("string")), ",")
+    ok = F.coalesce(F.col("first_rank") <= k, F.lit(False))
+    notes = F.when(ok, F.concat(F.lit("rank="), F.col("first_rank").cast("string"))).otherwise(F.concat(F.lit("top_pages="), F.coalesce(top, F.lit(""))))
+    return matches.join(pages, "query_id", "left").select("query_id", "first_rank", ok.cast("int").alias("hit"), F.when(ok, "OK").otherwise("RETRIEVAL_MISS").alias("category"), notes.alias("notes"))
+
+
+def latencies(seconds: DataFrame, value: str = "seconds") -> DataFrame:
+    """One row: n, mean, median, 95th percentile by nearest rank, and maximum of a column of seconds."""
+    bins = seconds.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    total = bins.agg(F.sum("n").alias("total"))
+    # Ranks by running counts over the distinct values, never over the rows.
+    order = W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    ranked = bins.crossJoin(F.broadcast(total)).withColumn("upto", F.sum("n").over(order))  # one row
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * q), F.col("total") - 1), F.col("x")))
+    return ranked.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("x").alias("max"))
+
+
 def duplicate_ratio(results: DataFrame, characters: int | None = 160) -> DataFrame:
     """(query_id, duplicate_ratio): share of a query's results whose beginning repeats another result's; whole texts for None."""
     head = F.col("text") if characters is None else F.left("text", F.lit(characters))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from chartloom.functions.text import needs_ocr
 
-# Lines that are furniture on any page.
+# Lines that are furniture on any page, in lower case; the last two are those of the charts of this project.
 ALWAYS_FURNITURE = [
+    r"^patient:\s*.+\|\s*id:\s*pt-\d+",
+    r"^synthetic data",
+    r"^confidential",
+    r"^generated:\s*\d{4}-\d{2}-\d{2}",
     r"^page\s+\d+\s*(?:of\s+\d+)?$",
     r"^-\s*\d+\s*-$",
-    r"^confidential\b.*$",
     r"^printed\s+\d{4}-\d{2}-\d{2}.*$",
 ]
 
@@ -39,6 +42,15 @@ def validation_report(pages: DataFrame, least: int = 40) -> DataFrame:
     )
 
 
+def ingest_summary(pages: DataFrame, blocks: DataFrame, chunks: DataFrame, encounters: DataFrame, least: int = 40) -> DataFrame:
+    """One row of counts over all charts: charts, pages, pages that need recognition, encounters, sections, chunks, blocks with a box."""
+    own = latest_pages(pages).agg(F.count_distinct("document_id").alias("charts"), F.count("*").alias("pages"), F.count_if(needs_ocr(F.col("text"), least)).alias("ocr_needed"))
+    visits = encounters.where("document_id is not null and encounter_id is not null").select("document_id", "encounter_id").distinct().agg(F.count("*").alias("encounters"))
+    parts = chunks.agg(F.count("*").alias("chunks"), F.count_if(F.col("chunk_type") == "section").alias("sections"))
+    boxes = blocks.agg(F.count("*").alias("blocks"), F.count_if(F.size("bbox") >= 4).alias("blocks_with_box"))
+    return own.crossJoin(visits).crossJoin(parts).crossJoin(boxes)  # one row each
+
+
 def masked_line(line: Column) -> Column:
     """Lower case, digit runs as #, single blanks."""
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"\s+", " ")))

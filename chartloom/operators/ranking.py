@@ -46,6 +46,22 @@ def fuse(channels: dict[str, DataFrame], weights: DataFrame, k: int = 60, top: i
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def page_spread(pages: DataFrame, chunks: DataFrame, most: int = 12, decay: float = 0.15, top: int = 90) -> DataFrame:
+    """Hits of pages given to the chunks on them: (query_id, id, score, rank).
+
+    ``pages`` has (query_id, document_id, page_number, score), ``chunks`` (id, document_id, page_start, page_end,
+    chunk_type). Of a page the first ``most`` chunks count, registry chunks of the page first, each later one for less; a
+    chunk has its best page's score.
+    """
+    order = F.when(F.col("chunk_type") == "page_visual", 0).when(F.col("chunk_type").isin("atomic", "section", "compound", "page"), 1)
+    spread = chunks.where("page_start <= page_end").select("id", "document_id", order.alias("o"), F.explode(F.sequence("page_start", "page_end")).alias("page_number")).where("o is not null")
+    first = W.partitionBy("document_id", "page_number").orderBy("o", "id")
+    listed = spread.withColumn("i", F.row_number().over(first) - 1).where(F.col("i") < most)
+    hits = pages.join(listed, ["document_id", "page_number"]).groupBy("query_id", "id").agg(F.round(F.max(F.col("score") / (1 + decay * F.col("i"))), 6).alias("score"))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+
+
 def diversify(fused: DataFrame, most: int = 6) -> DataFrame:
     """At most ``most`` hits of each (query_id, grp), the best ranked."""
     order = W.partitionBy("query_id", "grp").orderBy("rank")

@@ -222,11 +222,13 @@ def pooled(vectors: DataFrame, group: Column) -> DataFrame:
     return lists.select("id", F.transform("v", lambda s: F.round(s["m"] / F.col("norm"), 9)).alias("vector"))
 
 
-def late_interaction(groups: DataFrame, queries: DataFrame, k: int = 10, coarse: int = 80) -> DataFrame:
+def late_interaction(groups: DataFrame, queries: DataFrame, k: int = 10, coarse: int | None = 80) -> DataFrame:
     """Sum over a query's vectors of the best dot product within a group, for the ``coarse`` groups nearest by mean.
 
-    Both tables are (id, member, vector) with several vectors per id.
+    Both tables are (id, member, vector) with several vectors per id. Without ``coarse`` every group is compared, which
+    is exact; the README gives the recall of the shorter way.
     """
+    coarse = coarse or max(1, groups.select("id").distinct().count())
     near = dense(pooled(groups, F.col("id")), pooled(queries, F.col("id")), coarse).select("query_id", "id")
     asked = queries.select(F.col("id").alias("query_id"), F.col("member").alias("q"), F.col("vector").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)

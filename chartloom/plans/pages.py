@@ -130,6 +130,16 @@ B13 = f"""WITH {LATEST}, found AS (SELECT document_id, page_number, {written_dat
 SELECT document_id, page_number, array_to_string(l, ',') AS dates FROM found WHERE len(l) > 0"""
 
 
+def a23_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over all charts."""
+    return op.ingest_summary(*(table(spark, sf_dir, t) for t in ("page_content", "text_blocks", "chunks", "encounters")))
+
+
+A23 = rf"""WITH {LATEST} SELECT (SELECT count(DISTINCT document_id) FROM latest) AS charts, (SELECT count(*) FROM latest) AS pages, (SELECT count(*) FROM latest WHERE length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) < 40) AS ocr_needed,
+ (SELECT count(*) FROM (SELECT DISTINCT document_id, encounter_id FROM encounters WHERE document_id IS NOT NULL AND encounter_id IS NOT NULL)) AS encounters, (SELECT count(*) FROM chunks) AS chunks,
+ (SELECT count(*) FROM chunks WHERE chunk_type = 'section') AS sections, (SELECT count(*) FROM text_blocks) AS blocks, (SELECT count(*) FROM text_blocks WHERE len(bbox) >= 4) AS blocks_with_box"""
+
+
 def b18_safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of the jobs' source files."""
     return table(spark, sf_dir, "ingest_jobs").select("job_id", fx.safe_id(F.col("source_pdf")).alias("safe_id")).distinct()
@@ -140,9 +150,9 @@ B18 = r"""SELECT DISTINCT job_id, CASE WHEN s = '' THEN 'upload' ELSE s END AS s
 
 QUERIES = {
     f.__name__: f
-    for f in (a01_validation_report, a04_block_profile, b02_repeated_edge_lines, b04_clean_pages, b05_block_kinds, b08_normalized_texts, b09_synonyms, b13_written_dates, b18_safe_ids)
+    for f in (a01_validation_report, a04_block_profile, a23_ingest_summary, b02_repeated_edge_lines, b04_clean_pages, b05_block_kinds, b08_normalized_texts, b09_synonyms, b13_written_dates, b18_safe_ids)
 }
 SQL = {
-    "a01_validation_report": A01, "a04_block_profile": A04, "b02_repeated_edge_lines": B02, "b04_clean_pages": B04, "b05_block_kinds": B05,
+    "a01_validation_report": A01, "a04_block_profile": A04, "a23_ingest_summary": A23, "b02_repeated_edge_lines": B02, "b04_clean_pages": B04, "b05_block_kinds": B05,
     "b08_normalized_texts": B08, "b09_synonyms": _b09(), "b13_written_dates": B13, "b18_safe_ids": B18,
 }

@@ -326,16 +326,67 @@ def h04_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive answers with checked citations."""
     run = Inputs(spark, sf_dir)
     found = cut(answers.evidence(run.results().join(run.items.select("id", "text"), "id")))
-    valid = found.groupBy("query_id").agg(F.collect_set("evidence_id").alias("valid"))
-    out = answers.extractive(run.queries, found).join(valid, "query_id", "left")
-    used, invalid = answers.citations(F.col("answer"), F.coalesce("valid", F.array().cast("array<string>")))
-    return out.select("query_id", F.md5("answer").alias("digest"), "evidence", F.array_join(used, ",").alias("used"), F.array_join(invalid, ",").alias("invalid"))
+    out = answers.bundles(run.queries, found)
+    return out.select("query_id", F.md5("answer").alias("digest"), F.coalesce(F.size("evidence"), F.lit(0)).alias("evidence"), F.array_join("citations_used", ",").alias("used"), F.array_join("invalid_citations", ",").alias("invalid"), "grounded")
 
 
-H04 = rf"""WITH {_results()}, ev AS (SELECT r.query_id, r.rank, CASE WHEN length(t.text) > 900 THEN left(t.text, 900) || '...' ELSE t.text END AS text FROM results r JOIN items t USING (id) WHERE r.rank <= 5),
-an AS (SELECT query_id, string_agg('[E' || rank || '] ' || left(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 280), chr(10) ORDER BY rank) AS answer, count(*) AS evidence,
- string_agg('E' || rank, ',' ORDER BY rank) AS used FROM ev GROUP BY 1)
-SELECT DISTINCT q.query_id, md5(coalesce(answer, 'The evidence is insufficient.')) AS digest, coalesce(evidence, 0) AS evidence, coalesce(used, '') AS used, '' AS invalid FROM q LEFT JOIN an USING (query_id)"""
+H04 = rf"""WITH {_results()}, ev AS (SELECT r.query_id, r.rank, CASE WHEN length(t.text) > 900 THEN left(t.text, 897) || '...' ELSE t.text END AS text, t.id, t.page_start, t.section_written, r.score FROM results r JOIN (SELECT *, regexp_replace(body_text, '^\s+|\s+$', '', 'g') AS text FROM (SELECT i.id, i.page_start, c.section AS section_written, i.text AS body_text FROM items i JOIN (SELECT DISTINCT chunk_id, section FROM chunks) c ON c.chunk_id = i.id)) t USING (id)),
+an AS (SELECT query_id, string_agg('[E' || rank || '] ' || left(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 280), chr(10) ORDER BY rank) AS answer, string_agg('E' || rank, ',' ORDER BY rank) AS used FROM ev WHERE rank <= 5 GROUP BY 1),
+nu AS (SELECT query_id, count(*)::INTEGER AS n FROM ev GROUP BY 1)
+SELECT DISTINCT q.query_id, md5(coalesce(answer, 'The evidence is insufficient.')) AS digest, coalesce(n, 0) AS evidence, coalesce(used, '') AS used, '' AS invalid, used IS NOT NULL AS grounded FROM q LEFT JOIN an USING (query_id) LEFT JOIN nu USING (query_id)"""
+
+
+def h02_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with their evidence for a language model."""
+    run = Inputs(spark, sf_dir)
+    results = run.results().join(run.items.select("id", "text", F.col("page_start").alias("page"), "section"), "id")
+    found = answers.evidence(results).join(results.select("query_id", "id", "page", "section", "score"), ["query_id", "id"])
+    return answers.prompts(run.queries, found).select("query_id", F.md5("prompt").alias("digest"), "prompt_tokens")
+
+
+H02 = H04.split("an AS (SELECT")[0] + r"""b AS (SELECT query_id, string_agg('[E' || rank || '] chunk_id=' || id || ' page=' || coalesce(page_start::VARCHAR, 'None') || ' section=' || coalesce(section_written, 'None') || ' score=' || round(score::DECIMAL(18, 6), 4)::DECIMAL(18, 4) || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS body
+  FROM ev WHERE rank <= 6 GROUP BY 1),
+p AS (SELECT query_id, 'Question: ' || text || chr(10) || chr(10) || 'Evidence:' || chr(10) || body || chr(10) || 'Write the answer with [E#] citations. If evidence is insufficient, say so.' AS prompt FROM q JOIN b USING (query_id))
+SELECT query_id, md5(prompt) AS digest, greatest(1, length(prompt) // 4)::INTEGER AS prompt_tokens FROM p"""
+
+
+def i11_page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the page asked about is among the results' pages."""
+    run = Inputs(spark, sf_dir)
+    return evaluation.page_hits(run.results().join(run.items.select("id", "document_id", "page_start", "page_end"), "id"), run.queries.select("query_id", "document_id", "page"))
+
+
+I11 = f"""WITH {_results()}, h AS (SELECT q.query_id, count(r.rank) FILTER (t.document_id = q.document_id AND q.page BETWEEN t.page_start AND t.page_end) AS n FROM q LEFT JOIN results r USING (query_id) LEFT JOIN items t ON t.id = r.id GROUP BY 1)
+SELECT count(*) AS queries, round(avg((n > 0)::INTEGER), 6) AS page_hit, round(avg(n / 10), 6) AS page_precision FROM h"""
+
+
+def a15_error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which queries were answered and which missed."""
+    run = Inputs(spark, sf_dir)
+    results = cut(run.results().join(run.items.select("id", "page_start"), "id"))
+    return evaluation.error_rows(evaluation.first_match(results, run.gold(), run.queries), results)
+
+
+A15 = f"""WITH {_results()}, gold AS (SELECT q.query_id, t.id FROM q JOIN items t ON t.document_id = q.document_id AND q.page BETWEEN t.page_start AND t.page_end),
+fm AS (SELECT q.query_id, min(r.rank) AS fr FROM q LEFT JOIN (SELECT r.* FROM results r JOIN gold USING (query_id, id)) r USING (query_id) GROUP BY 1),
+tp AS (SELECT query_id, string_agg(t.page_start::VARCHAR, ',' ORDER BY r.rank) AS p FROM results r JOIN items t USING (id) WHERE r.rank <= 3 GROUP BY 1)
+SELECT query_id, fr AS first_rank, coalesce(fr <= 10, false)::INTEGER AS hit, CASE WHEN fr <= 10 THEN 'OK' ELSE 'RETRIEVAL_MISS' END AS category,
+ CASE WHEN fr <= 10 THEN 'rank=' || fr ELSE 'top_pages=' || coalesce(p, '') END AS notes FROM fm LEFT JOIN tp USING (query_id)"""
+
+
+def f14_page_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the postings asked about and the pages after them, given to the chunks on them."""
+    chunks = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), "document_id", "page_start", "page_end", F.when(F.col("chunk_type") == "atomic_fact", "atomic").otherwise(F.col("chunk_type")).alias("chunk_type"))
+    asked = Inputs(spark, sf_dir).queries.where("page is not null")
+    hits = asked.select("query_id", "document_id", F.explode(F.array(F.struct(F.col("page").alias("page_number"), F.lit(1.0).alias("score")), F.struct((F.col("page") + 1).alias("page_number"), F.lit(0.5).alias("score")))).alias("h"))
+    return ranking.page_spread(hits.select("query_id", "document_id", "h.*"), chunks)
+
+
+F14 = """WITH c AS (SELECT chunk_id AS id, document_id, page_start, page_end FROM chunks WHERE chunk_type IN ('atomic_fact', 'section')),
+s AS (SELECT id, document_id, unnest(range(page_start, page_end + 1)) AS page FROM c), l AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY id) - 1 AS i FROM s QUALIFY i < 12),
+q AS (SELECT id AS query_id, document_id, unnest([page_start, page_start + 1]) AS page, unnest([1.0::DOUBLE, 0.5::DOUBLE]) AS score FROM medications WHERE id % 20 = 0 AND lower(trim(medication, ' ')) <> ''),
+h AS (SELECT query_id, l.id, round(max(score / (1 + 0.15::DOUBLE * i)), 6) AS score FROM q JOIN l USING (document_id, page) GROUP BY 1, 2)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM h QUALIFY rank <= 90"""
 
 
 def f04_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,16 +424,24 @@ def f11_late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.late_interaction(v, v.where("id % 20 = 0"))
 
 
+F11 = f"""WITH v AS (SELECT vec_id // 10 AS id, vec_id AS member, embedding FROM embeddings), qv AS (SELECT * FROM v WHERE id % 20 = 0),
+u AS (SELECT id, unnest(range(len(embedding)))::INTEGER AS d, unnest(embedding)::DOUBLE AS x FROM v), m AS (SELECT id, d, avg(x) AS m FROM u GROUP BY 1, 2),
+n AS (SELECT id, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1), c AS (SELECT id, list(round(m / norm, 9) ORDER BY d) AS vec FROM m JOIN n USING (id) GROUP BY 1),
+near AS (SELECT a.id AS query_id, b.id, round({_DOT.format('a.vec', 'b.vec')}, 6) AS s FROM c a, c b WHERE a.id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) <= 80),
+best AS (SELECT near.query_id, near.id, q.member, max({_DOT.format('q.embedding', 'v.embedding')}) AS b FROM near JOIN v ON v.id = near.id JOIN qv q ON q.id = near.query_id GROUP BY 1, 2, 3),
+sc AS (SELECT query_id, id, round(sum(b), 6) AS score FROM best GROUP BY 1, 2)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= 10"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        e06_expansions, e08_query_plans, f02_bm25, f03_hashed_vectors, f04_dense, f05_cell_index, f06_exact, f08_structured, f11_late_interaction, f12_centroids,
-        g01_fused, g17_results, h04_answers, i04_evidence_quality, i13_quality, i14_grounding, i15_ablation,
+        a15_error_rows, e06_expansions, e08_query_plans, f02_bm25, f03_hashed_vectors, f04_dense, f05_cell_index, f06_exact, f08_structured, f11_late_interaction, f12_centroids, f14_page_spread,
+        g01_fused, g17_results, h02_prompts, h04_answers, i04_evidence_quality, i11_page_hits, i13_quality, i14_grounding, i15_ablation,
     )
 }
 _HITS = "SELECT query_id, id, score, rank FROM "
 SQL = {
-    "e06_expansions": E06, "e08_query_plans": E08, "f02_bm25": f"WITH {BM25} {_HITS} bm25", "f03_hashed_vectors": f"WITH {DENSE} {_HITS} dense", "f04_dense": F04,
+    "a15_error_rows": A15, "f11_late_interaction": F11, "f14_page_spread": F14, "h02_prompts": H02, "i11_page_hits": I11, "e06_expansions": E06, "e08_query_plans": E08, "f02_bm25": f"WITH {BM25} {_HITS} bm25", "f03_hashed_vectors": f"WITH {DENSE} {_HITS} dense", "f04_dense": F04,
     "f06_exact": f"WITH {EXACT} {_HITS} exact", "f08_structured": f"WITH {STRUCTURED} {_HITS} structured", "f12_centroids": F12,
     "g01_fused": f"WITH {_fused(tuple(CHANNELS))} {_HITS} fused", "g17_results": f"WITH {_results()} SELECT query_id, rank, id, score FROM results",
     "h04_answers": H04, "i13_quality": f"WITH {_quality(tuple(CHANNELS))}", "i14_grounding": I14, "i15_ablation": I15,

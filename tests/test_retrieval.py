@@ -174,6 +174,52 @@ def test_answers(spark):
     assert (r.x, r.y) == (0.5, 0.0)
 
 
+def test_prompts_and_bundles(spark):
+    q = spark.createDataFrame([(1, "Why?"), (2, None), (3, "x")], "query_id long, text string")
+    results = spark.createDataFrame([(1, 1, "c1", " One fact. "), (1, 2, "c2", "y" * 2000), (2, 1, "c3", "z")], "query_id long, rank int, id string, text string")
+    found = answers.evidence(results)
+    full = found.withColumn("page", F.lit(4)).withColumn("section", F.lit(None).cast("string")).withColumn("score", F.lit(0.5))
+    got = {r.query_id: r for r in answers.prompts(q, full, top=1).collect()}
+    assert got[1].prompt == "Question: Why?\n\nEvidence:\n[E1] chunk_id=c1 page=4 section=None score=0.5000\nOne fact.\n\nWrite the answer with [E#] citations. If evidence is insufficient, say so."
+    assert got[2].prompt.startswith("Question: \n") and 3 not in got and got[1].prompt_tokens == len(got[1].prompt) // 4
+    model = spark.createDataFrame([(1, "So it is [E1], not [E7]."), (2, "Yes [E1]."), (3, "No idea.")], "query_id long, answer string")
+    bundle = {r.query_id: r for r in answers.bundles(q, found, model).collect()}
+    assert bundle[1].invalid_citations == ["E7"] and not bundle[1].grounded and bundle[1].answer.endswith("[Validation] Dropped/unknown citations: E7")
+    assert bundle[2].grounded and bundle[2].mode == "llm" and not bundle[3].grounded and bundle[3].evidence is None
+    assert {r.query_id: r.grounded for r in answers.bundles(q, found).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_reports(spark):
+    matches = spark.createDataFrame([(1, 2), (2, None)], "query_id long, first_rank int")
+    results = spark.createDataFrame([(2, 1, "d", 7, 8), (2, 2, "d", 9, 9), (1, 1, "d", 1, 1), (1, 2, "e", 3, 5)], "query_id long, rank int, document_id string, page_start int, page_end int")
+    rows = {r.query_id: (r.category, r.notes, r.hit) for r in evaluation.error_rows(matches, results).collect()}
+    assert rows == {1: ("OK", "rank=2", 1), 2: ("RETRIEVAL_MISS", "top_pages=7,9", 0)}
+    expected = spark.createDataFrame([(1, "e", 4), (2, "d", 6), (3, "d", None)], "query_id long, document_id string, page int")
+    assert evaluation.page_hits(results, expected).first().asDict() == {"queries": 3, "page_hit": 0.333333, "page_precision": 0.033333}
+    r = evaluation.latencies(spark.createDataFrame([(float(x),) for x in range(18)] + [(None,)], "seconds double")).first()
+    assert (r.n, r.mean, r.p50, r.p95, r.max) == (18, 8.5, 9.0, 17.0, 17.0)
+
+
+def test_page_spread(spark):
+    pages = spark.createDataFrame([(1, "d", 1, 1.0), (1, "d", 2, 0.9)], "query_id long, document_id string, page_number int, score double")
+    chunks = spark.createDataFrame([("a", "d", 1, 1, "section"), ("b", "d", 1, 2, "section"), ("v", "d", 1, 1, "page_visual"), ("k", "d", 1, 1, "encounter_key_facts")], "id string, document_id string, page_start int, page_end int, chunk_type string")
+    got = {r.id: (r.score, r.rank) for r in ranking.page_spread(pages, chunks).collect()}
+    assert got == {"v": (1.0, 1), "b": (0.9, 2), "a": (0.869565, 3)}
+
+
+def test_late_interaction_without_coarse_cut(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, m, [float(x) for x in rng.normal(size=4)]) for g in range(40) for m in range(3)]
+    df = spark.createDataFrame(rows, "id long, member long, vector array<double>")
+    q = df.where("id < 2")
+    exact = [(r.query_id, r.id) for r in search.late_interaction(df, q, 5, coarse=None).orderBy("query_id", "rank").collect()]
+    by = {}
+    for g, m, v in rows:
+        by.setdefault(g, []).append(np.array(v))
+    want = [(i, g) for i in range(2) for g in sorted(by, key=lambda g: (-round(sum(max(float(a @ b) for b in by[g]) for a in by[i]), 6), g))[:5]]
+    assert exact == want
+
+
 def test_partitioning_changes_nothing(spark):
     before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
     for partitions in (1, 8):
