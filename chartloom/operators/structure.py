@@ -97,6 +97,49 @@ def sections(pages: DataFrame) -> DataFrame:
     )
 
 
+# Headings that split a chart's text, and how the beginning of a section tells its key, in the order in which it is tried.
+SPLIT_HEADINGS = (
+    r"S\s*[—\-]\s*Subjective|O\s*[—\-]\s*Objective|A\s*[—\-]\s*Assessment|P\s*[—\-]\s*Plan|Laboratory Results|Laboratory Orders|Imaging Orders|Referrals|"
+    r"Clinical Notes|Patient Education|Follow-Up Instructions|Electronically signed by:|Encounter\s+#\d+\s*\||Patient Demographics|Allergies|Current Medications|"
+    r"Medical\s*&\s*Surgical History|Social\s*&\s*Family History|Family History|Review of Systems"
+)
+LABELS = [
+    ("demographics", r"^Patient Demographics\s*$"), ("allergies", r"^Allergies\s*$"), ("medications", r"^Current Medications\s*$"), ("medical_history", r"^Medical\s*&\s*Surgical History\s*$"),
+    ("social_family", r"^Social\s*&\s*Family History\s*$"), ("family_history", r"^Family History\s*$"), ("ros", r"^Review of Systems"), ("subjective", r"^S\s*[—\-]\s*Subjective"),
+    ("objective", r"^O\s*[—\-]\s*Objective"), ("laboratory_results", r"^Laboratory Results"), ("assessment", r"^A\s*[—\-]\s*Assessment"), ("plan", r"^P\s*[—\-]\s*Plan"),
+    ("laboratory_orders", r"^Laboratory Orders\s*$"), ("imaging_orders", r"^Imaging Orders\s*$"), ("referrals", r"^Referrals\s*$"), ("clinical_notes", r"^Clinical Notes\s*$"),
+    ("patient_education", r"^Patient Education"), ("follow_up", r"^Follow-Up Instructions\s*$"), ("signature", r"^Electronically signed by:"),
+]
+LABEL_HEAD = 240
+
+
+def section_label(text: Column) -> Column:
+    """The key that the beginning of a section's text tells: its heading, a bullet, a code, vital signs, else general."""
+    head = F.left(F.regexp_replace(text, r"^\s+", ""), F.lit(LABEL_HEAD))
+    out = F.when(head.startswith("•"), "plan").when(head.rlike(r"\b[A-Z]\d{2}(?:\.\d{1,4})?\s*[—\-]"), "assessment").when(head.rlike(r"(?im)^(?:BP|Vitals)\b"), "vitals").otherwise("general")
+    for key, pattern in reversed(LABELS):
+        out = F.when(head.rlike("(?im)" + pattern), key).otherwise(out)
+    return out
+
+
+def labelled_sections(pages: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Sections between headings within each encounter, and within what stands before or outside of them (no encounter).
+
+    Columns: document_id, encounter_id, section_no (from 0), section, start_page, end_page, text. A section runs over
+    page breaks to the next heading of the same encounter; a page goes to the first encounter that holds it.
+    """
+    parts = F.filter(F.split("clean_text", rf"(?im)(?=^(?:{SPLIT_HEADINGS}))"), lambda x: ~x.rlike(r"^\s*$"))
+    rows = latest_pages(pages).select("document_id", "page_number", F.posexplode(parts).alias("pos", "part"))
+    rows = rows.join(encounter_of_page(pages, encounters), ["document_id", "page_number"], "left").withColumn("visit", F.coalesce("encounter_id", F.lit("")))
+    rows = rows.withColumn("opens", F.col("part").rlike(rf"(?i)^(?:{SPLIT_HEADINGS})").cast("int"))
+    numbered = running_sum(rows, ["document_id", "visit"], ["page_number", "pos"], "opens", "section_no")
+    whole = numbered.groupBy("document_id", "encounter_id", F.col("section_no").cast("bigint").alias("section_no")).agg(
+        F.min("page_number").alias("start_page"), F.max("page_number").alias("end_page"), F.array_sort(F.collect_list(F.struct("page_number", "pos", "part"))).alias("l")
+    )
+    text = F.regexp_replace(F.array_join(F.transform("l", lambda s: s["part"]), "\n\n"), r"^\s+|\s+$", "")
+    return whole.withColumn("text", text).select("document_id", "encounter_id", "section_no", section_label(F.col("text")).alias("section"), "start_page", "end_page", "text")
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """(document_id, page_number, line_no, line) of the pages' clean_text, blank lines left out."""
     return (

@@ -242,6 +242,31 @@ def e06_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
 E06 = f"WITH {PLANS} SELECT query_id, unnest(expansions) AS expansion FROM plans"
 
 
+_ENTITIES = ("medications", "providers", "encounter_types", "numbers", "codes", "labs", "dates")
+
+
+def e05_query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of all queries, one row each: medications, providers, types of encounter, numbers, codes, tests, dates."""
+    plans = Inputs(spark, sf_dir).plans
+    kinds = F.flatten(F.array(*(F.transform(c, _tagged(c)) for c in _ENTITIES)))
+    return plans.select("query_id", F.explode(F.array_distinct(kinds)).alias("e")).select("query_id", "e.*")
+
+
+def _tagged(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))
+
+
+E05 = f"WITH {PLANS} " + " UNION ALL ".join(f"SELECT DISTINCT query_id, '{c}' AS kind, unnest({'types' if c == 'encounter_types' else c}) AS value FROM plans" for c in _ENTITIES)
+
+
+def e07_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact channel looks for, one row per query and needle."""
+    return Inputs(spark, sf_dir).plans.select("query_id", F.explode("needles").alias("needle"))
+
+
+E07 = f"WITH {PLANS} SELECT query_id, unnest(needles) AS needle FROM plans"
+
+
 def f02_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical channel."""
     return Inputs(spark, sf_dir).hits("bm25")
@@ -435,13 +460,13 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
 QUERIES = {
     f.__name__: f
     for f in (
-        a15_error_rows, e06_expansions, e08_query_plans, f02_bm25, f03_hashed_vectors, f04_dense, f05_cell_index, f06_exact, f08_structured, f11_late_interaction, f12_centroids, f14_page_spread,
+        a15_error_rows, e05_query_entities, e06_expansions, e07_needles, e08_query_plans, f02_bm25, f03_hashed_vectors, f04_dense, f05_cell_index, f06_exact, f08_structured, f11_late_interaction, f12_centroids, f14_page_spread,
         g01_fused, g17_results, h02_prompts, h04_answers, i04_evidence_quality, i11_page_hits, i13_quality, i14_grounding, i15_ablation,
     )
 }
 _HITS = "SELECT query_id, id, score, rank FROM "
 SQL = {
-    "a15_error_rows": A15, "f11_late_interaction": F11, "f14_page_spread": F14, "h02_prompts": H02, "i11_page_hits": I11, "e06_expansions": E06, "e08_query_plans": E08, "f02_bm25": f"WITH {BM25} {_HITS} bm25", "f03_hashed_vectors": f"WITH {DENSE} {_HITS} dense", "f04_dense": F04,
+    "a15_error_rows": A15, "f11_late_interaction": F11, "f14_page_spread": F14, "h02_prompts": H02, "i11_page_hits": I11, "e05_query_entities": E05, "e06_expansions": E06, "e07_needles": E07, "e08_query_plans": E08, "f02_bm25": f"WITH {BM25} {_HITS} bm25", "f03_hashed_vectors": f"WITH {DENSE} {_HITS} dense", "f04_dense": F04,
     "f06_exact": f"WITH {EXACT} {_HITS} exact", "f08_structured": f"WITH {STRUCTURED} {_HITS} structured", "f12_centroids": F12,
     "g01_fused": f"WITH {_fused(tuple(CHANNELS))} {_HITS} fused", "g17_results": f"WITH {_results()} SELECT query_id, rank, id, score FROM results",
     "h04_answers": H04, "i13_quality": f"WITH {_quality(tuple(CHANNELS))}", "i14_grounding": I14, "i15_ablation": I15,

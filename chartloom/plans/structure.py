@@ -83,6 +83,22 @@ SELECT document_id, section_no::BIGINT AS section_no, coalesce(max(key), 'genera
  count(*) AS lines, sum(length(line))::BIGINT AS characters FROM n GROUP BY 1, 2"""
 
 
+def c09_labelled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections within encounters, labelled by their beginnings."""
+    return op.labelled_sections(_pages(spark, sf_dir), table(spark, sf_dir, "encounters")).withColumn("digest", F.md5("text")).drop("text")
+
+
+_LABEL = "CASE " + " ".join(f"WHEN regexp_matches(head, '(?im){p}') THEN '{k}'" for k, p in op.LABELS) + r" WHEN starts_with(head, '•') THEN 'plan' WHEN regexp_matches(head, '\b[A-Z]\d{2}(?:\.\d{1,4})?\s*[—\-]') THEN 'assessment' WHEN regexp_matches(head, '(?im)^(?:BP|Vitals)\b') THEN 'vitals' ELSE 'general' END"
+C09 = rf"""WITH {ENC}, {LATEST}, pe AS (SELECT p.document_id, p.page_number, arg_min(e.encounter_id, (e.start_page, e.encounter_id)) AS encounter_id FROM latest p
+  LEFT JOIN enc e ON e.document_id = p.document_id AND p.page_number BETWEEN e.start_page AND e.end_page GROUP BY 1, 2),
+s AS (SELECT document_id, page_number, list_filter(string_split(regexp_replace(clean_text, '(?im)^({op.SPLIT_HEADINGS})', chr(1) || '\1', 'g'), chr(1)), lambda x: NOT regexp_full_match(x, '\s*')) AS l FROM latest),
+u AS (SELECT document_id, page_number, unnest(range(len(l))) AS pos, unnest(l) AS part FROM s),
+n AS (SELECT u.*, encounter_id, sum(regexp_matches(part, '(?i)^(?:{op.SPLIT_HEADINGS})')::INTEGER) OVER (PARTITION BY document_id, encounter_id ORDER BY page_number, pos)::BIGINT AS section_no FROM u JOIN pe USING (document_id, page_number)),
+g AS (SELECT document_id, encounter_id, section_no, min(page_number) AS start_page, max(page_number) AS end_page, regexp_replace(string_agg(part, chr(10) || chr(10) ORDER BY page_number, pos), '^\s+|\s+$', '', 'g') AS text FROM n GROUP BY 1, 2, 3),
+h AS (SELECT *, left(text, {op.LABEL_HEAD}) AS head FROM g)
+SELECT document_id, encounter_id, section_no, {_LABEL} AS section, start_page, end_page, md5(text) AS digest FROM h"""
+
+
 def c20_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of laboratory tables."""
     return op.table_rows(_pages(spark, sf_dir))
@@ -153,11 +169,11 @@ UNION SELECT 'pressure', unnest(regexp_extract_all(text, '{op.PRESSURE}', 1)), d
 QUERIES = {
     f.__name__: f
     for f in (
-        c02_chart_style, c05_closed_intervals, c06_page_encounters, c08_sections, c12_detected_encounters, c20_table_rows, c21_code_sets, c22_list_items,
+        c02_chart_style, c05_closed_intervals, c06_page_encounters, c08_sections, c09_labelled_sections, c12_detected_encounters, c20_table_rows, c21_code_sets, c22_list_items,
         c25_signatures, c26_vitals, c27_note_sentences, c30_entity_postings,
     )
 }
 SQL = {
-    "c02_chart_style": C02, "c05_closed_intervals": C05, "c06_page_encounters": C06, "c08_sections": C08, "c12_detected_encounters": C12, "c20_table_rows": C20,
+    "c02_chart_style": C02, "c05_closed_intervals": C05, "c06_page_encounters": C06, "c08_sections": C08, "c09_labelled_sections": C09, "c12_detected_encounters": C12, "c20_table_rows": C20,
     "c21_code_sets": C21, "c22_list_items": C22, "c25_signatures": C25, "c26_vitals": C26, "c27_note_sentences": C27, "c30_entity_postings": C30,
 }

@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 
 from chartloom.session import ship
 
-# Record schemas, as DDL.
+# Record schemas, as DDL, by the names of the records.
+BOX = "page int, x0 double, y0 double, x1 double, y1 double"
+BLOCK = "block_id string, text string, bbox array<double>, reading_order int, font_size double, is_bold boolean, block_type string"
+REPORT = "filename string, sha256 string, page_count int, is_encrypted boolean, contains_text boolean, ocr_required_pages array<int>, processing_version string, timestamp string, corrupted_pages array<int>"
+ENCOUNTER = "encounter_id string, encounter_number int, encounter_type string, encounter_date string, provider string, facility string, start_page int, end_page int"
+SECTION = f"section string, section_heading string, encounter_id string, start_page int, end_page int, text string, char_start int, char_end int, bbox struct<{BOX.replace(' ', ':').replace(',:', ', ')}>"
+CHUNK = "chunk_id string, document_id string, encounter_id string, chunk_type string, table_type string, section string, page_start int, page_end int, raw_text string, retrieval_text string, previous_id string, next_id string"
+RESULT = "query_id string, rank int, chunk_id string, score double, content string"
 PAGE = "document_id string, page_number int, width double, height double, text string, clean_text string, char_count int, ocr_required boolean"
 GOLD = "query_id string, query string, expected_pages string, ground_truth_evidence string, category string, source_document string"
 
@@ -26,6 +33,20 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLD).option("multiLine", True).json(path)
 
 
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records kept as one JSON array; a missing file gives an empty table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (term, alias) of a lexicon, a JSON file {"aliases": {term: [alias, ...]}}; a missing file gives none."""
+    pairs = [(term, alias) for term, names in (read_settings(path).get("aliases") or {}).items() for alias in names or []]
+    return spark.createDataFrame(pairs, "term string, alias string")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -70,6 +70,13 @@ def test_sources(spark, tmp_path):
     files.write_report(postings, str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 2
     assert files.read_settings(str(tmp_path / "none.json")) == {}
+    (tmp_path / "enc.json").write_text(json.dumps([{"encounter_id": "E1", "start_page": 2}]))
+    assert [(r.encounter_id, r.start_page, r.provider) for r in files.read_records(spark, str(tmp_path / "enc.json"), files.ENCOUNTER).collect()] == [("E1", 2, None)]
+    assert files.read_records(spark, str(tmp_path / "none.json"), files.ENCOUNTER).count() == 0
+    (tmp_path / "lex.json").write_text(json.dumps({"aliases": {"Jardiance": ["empagliflozin"], "x": None}}))
+    assert [tuple(r) for r in files.read_lexicon(spark, str(tmp_path / "lex.json")).collect()] == [("Jardiance", "empagliflozin")]
+    for record in (files.BOX, files.BLOCK, files.REPORT, files.ENCOUNTER, files.SECTION, files.CHUNK, files.RESULT):
+        assert spark.createDataFrame([], record).columns
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from chartloom.operators import facts
+from chartloom.operators import facts, structure
 from chartloom.operators.chunking import build_chunks, chunk_boxes, combined_history
 
 FACTS = "key string, text string"
@@ -72,6 +72,19 @@ def test_chunk_build(spark):
     assert build_chunks(chunks.limit(0), pages.limit(0), enc.limit(0)).count() == 0
 
 
+def test_labelled_sections(spark):
+    pages = spark.createDataFrame([
+        ("d", 1, "x", "Name\nAllergies\nNuts", 1.0, 1.0, None), ("d", 2, "x", "Encounter #1 | ENC-1\nS — Subjective\ncough\nP — Plan\n- rest", 1.0, 1.0, None),
+        ("d", 3, "x", "- water\n\nReferrals\nnone", 1.0, 1.0, None), ("d", 4, "x", None, 1.0, 1.0, None),
+    ], PAGE)
+    enc = spark.createDataFrame([("d", "E1", 1, "t", None, None, None, 2, 4, None)], ENC)
+    got = sorted((r.encounter_id or "", r.section_no, r.section, r.start_page, r.end_page, r.text) for r in structure.labelled_sections(pages, enc).collect())
+    assert got == [
+        ("", 0, "general", 1, 1, "Name"), ("", 1, "allergies", 1, 1, "Allergies\nNuts"), ("E1", 1, "general", 2, 2, "Encounter #1 | ENC-1"), ("E1", 2, "subjective", 2, 2, "S — Subjective\ncough"),
+        ("E1", 3, "plan", 2, 3, "P — Plan\n- rest\n\n- water"), ("E1", 4, "referrals", 3, 3, "Referrals\nnone"),
+    ]
+
+
 def test_combined_history(spark):
     rows = [("d", "c", i, "surgical_history", p, t) for i, (p, t) in enumerate([(1, "A (2001, x)"), (3, "B (2002, y)"), (9, "C (2003, z)")])] + [("e", "c", 0, "surgical_history", 1, "A")]
     got = combined_history(spark.createDataFrame(rows, "document_id string, chunk_id string, fact_no int, table_type string, page_start int, raw_text string")).collect()
