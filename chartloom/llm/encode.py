@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm.bpe import default_vocabulary, encoder
 
 
+def _shipped(vocabulary: str | None) -> str:
+    """Send the vocabulary file to all executors and return the name under which they have it."""
+    path = vocabulary or default_vocabulary()
+    SparkSession.active().sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def token_ids(text: Column, vocabulary: str | None = None) -> Column:
     """Token ids of a string column, computed batch by batch in Arrow; null and empty texts give an empty list."""
-    path = vocabulary or default_vocabulary()
+    name = _shipped(vocabulary)
 
     @F.arrow_udf("array<int>")
     def ids(col: pa.Array) -> pa.Array:
-        enc, offsets, flat = encoder(path), [0], []
+        enc, offsets, flat = encoder(SparkFiles.get(name)), [0], []
         for t in col.to_pylist():
             flat.extend(enc.encode(t))
             offsets.append(len(flat))
@@ -27,11 +37,11 @@ def token_ids(text: Column, vocabulary: str | None = None) -> Column:
 
 def token_count(text: Column, vocabulary: str | None = None) -> Column:
     """Number of tokens of a string column; 0 for null and empty texts."""
-    path = vocabulary or default_vocabulary()
+    name = _shipped(vocabulary)
 
     @F.pandas_udf("int")
     def count(col: pd.Series) -> pd.Series:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         return col.map(lambda t: len(enc.encode(t)), na_action=None).astype("int32")
 
     return count(text)
