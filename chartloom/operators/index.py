@@ -108,10 +108,20 @@ def _state(spark: SparkSession, data_dir: str) -> tuple:
     return tuple(out)
 
 
+def _there(spark: SparkSession, index: Index) -> bool:
+    """Whether the index's tables still exist: the shared folder may have been cleaned."""
+    for part in PARTS:
+        for file in getattr(index, part).inputFiles()[:1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                return False
+    return True
+
+
 def stored(spark: SparkSession, data_dir: str) -> Index:
     """The index of a data directory, built once in an application for as long as its tables stay the same."""
     kept = spark.sparkContext.__dict__.setdefault("_chartloom_indexes", {})
     key = (data_dir, _state(spark, data_dir))
-    if key not in kept:
+    if key not in kept or not _there(spark, kept[key]):
         kept[key] = build(spark, data_dir)
     return kept[key]

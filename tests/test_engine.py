@@ -1,10 +1,11 @@
 import json
 import os
+import shutil
 
 import pytest
 
 from chartloom.engine import Engine
-from chartloom.operators import jobs
+from chartloom.operators import index, jobs
 from chartloom.sources import files
 from chartloom.streaming import jobs as streams
 
@@ -79,6 +80,20 @@ def test_sources(spark, tmp_path):
         assert spark.createDataFrame([], record).columns
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
+def test_stored_index(spark, tmp_path):
+    built = index.stored(spark, DATA)
+    assert index.stored(spark, DATA) is built
+    index.save(built, str(tmp_path / "index"))
+    again = index.load(spark, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "why was losartan started?")], "query_id long, text string")
+    first, second = ([tuple(r) for r in Engine(spark, DATA, i).retrieve(queries).orderBy("rank").collect()] for i in (built, again))
+    assert first == second and first
+    # A cleaned folder is noticed.
+    shutil.rmtree(os.path.dirname(built.terms.inputFiles()[0].removeprefix("file://")))
+    assert index.stored(spark, DATA) is not built
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
 def test_engine(spark):
     engine = Engine(spark, DATA)
