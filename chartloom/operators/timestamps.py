@@ -92,21 +92,25 @@ def _parts(value: Column, pattern: str, groups: int) -> Column:
     return F.when(F.size(parts) == groups, parts)
 
 
-def _written(p: Column) -> Column:
-    """Readings of a written date from the groups of ``_WRITTEN``; those of the two orders of a date with slashes."""
+def _fields(p: Column) -> Column:
+    """What a written date says, from the groups of ``_WRITTEN``: numbers of day and time, offset of the zone, kind of format.
+
+    For a date with slashes month and day are its first and second number.
+    """
     g = lambda i: F.get(p, F.lit(i - 1))
     joined = lambda *at: F.concat(*(g(i) for i in at))
     named = F.lower(joined(10, 14))
     hour, half = _int(g(16)), F.lower(F.substring(g(20), 1, 1))
-    hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0)).otherwise(99)
-    fraction = F.coalesce(F.concat(F.lit("0."), F.nullif(g(19), F.lit(""))).cast("decimal(9,6)"), F.lit(0).cast("decimal(9,6)"))
-    time = (hour, _int(g(17)), _int(g(18)), fraction, g(21), g(16) == "")
-    year = _int(joined(1, 6, 9, 12, 15))
-    slash = lambda name, m, d: _reading(name, year, _int(g(m)), _int(g(d)), *time)
-    month = F.when(named != "", _lookup(_MONTH_OF, named)).otherwise(_int(joined(2, 8)))
-    one = _reading("iso", year, month, _int(joined(3, 7, 11, 13)), *time)
-    kind = F.when(g(1) != "", FORMATS.index("iso")).when(g(7) != "", FORMATS.index("dotted_dmy")).when(g(10) != "", FORMATS.index("text_mdy")).otherwise(FORMATS.index("text_dmy"))
-    return F.when(g(4) != "", F.array(slash("slash_mdy", 4, 5), slash("slash_dmy", 5, 4))).otherwise(F.array(one.withField("format", kind)))
+    hour = F.when(g(16) == "", 0).when(half == "", hour).when((hour >= 1) & (hour <= 12), F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0)).otherwise(99)
+    second = F.concat(F.when(g(18) == "", F.lit("0")).otherwise(g(18)), F.lit("."), F.when(g(19) == "", F.lit("0")).otherwise(g(19))).cast("decimal(11,6)")
+    kind = (
+        F.when(g(1) != "", "iso").when(g(4) != "", "slash_mdy").when(g(7) != "", "dotted_dmy").when(g(10) != "", "text_mdy").otherwise("text_dmy")
+    )
+    month = F.when(named != "", _lookup(_MONTH_OF, named)).otherwise(_int(joined(2, 4, 8)))
+    return F.struct(
+        kind.alias("kind"), _int(joined(1, 6, 9, 12, 15)).alias("year"), month.alias("month"), _int(joined(3, 5, 7, 11, 13)).alias("day"), hour.alias("hour"),
+        F.coalesce(_int(g(17)), F.lit(0)).alias("minute"), second.alias("second"), F.when(g(21) != "", _offset(g(21))).cast("int").alias("offset"), g(21).alias("zone"), (g(16) == "").alias("dated"),
+    )
 
 
 def _digits(v: Column) -> Column:
@@ -126,12 +130,24 @@ def _digits(v: Column) -> Column:
 def with_readings(values: DataFrame, value_col: str, name: str = "_readings") -> DataFrame:
     """Add all valid readings of a written date: array<struct<format, wall, offset, dated, others>>, in the order of ``FORMATS``.
 
-    ``others`` are further meanings of the written zone. Each value is matched once.
+    ``others`` are further meanings of the written zone. Each value is matched once, and each step is a column of its
+    own, so that nothing is computed again where it is used twice.
     """
     v = F.trim(F.col(value_col))
     values = once(values, _parts=_parts(v, _WRITTEN, 21))
-    found = F.when(F.col("_parts").isNotNull(), _written(F.col("_parts"))).when(v.rlike(r"^\d{10}"), _digits(v))
-    return once(values, **{name: F.array_compact(F.coalesce(found, F.array()))}).drop("_parts")
+    values = once(values, _f=F.when(F.col("_parts").isNotNull(), _fields(F.col("_parts"))))
+    f = F.col("_f")
+    possible = f.isNotNull() & (f["hour"] < 24) & (f["second"] < 60) & ((f["zone"] == "") | f["offset"].isNotNull())
+    wall = lambda month, day: F.try_make_timestamp_ntz(f["year"], f[month], f[day], f["hour"], f["minute"], f["second"])
+    slash = f["kind"] == "slash_mdy"
+    values = once(values, _w=F.when(possible, F.struct(wall("month", "day").alias("first"), F.when(slash, wall("day", "month")).alias("second"))))
+    number = F.create_map(*(x for i, n in enumerate(FORMATS) for x in (F.lit(n), F.lit(i))))
+    others = F.when(f["zone"] != "", _lookup({k: list(m) for k, m in OTHER_MEANINGS.items()}, f["zone"]))
+    reading = lambda kind, at: F.when(at.isNotNull(), F.struct(kind.alias("format"), at.alias("wall"), f["offset"].alias("offset"), f["dated"].alias("dated"), others.alias("others")))
+    w = F.col("_w")
+    written = F.when(slash, F.array(reading(F.lit(FORMATS.index("slash_mdy")), w["first"]), reading(F.lit(FORMATS.index("slash_dmy")), w["second"]))).otherwise(F.array(reading(F.element_at(number, f["kind"]), w["first"])))
+    found = F.when(w.isNotNull(), written).when(f.isNull() & v.rlike(r"^\d{10}"), _digits(v))
+    return once(values, **{name: F.array_compact(F.coalesce(found, F.array()))}).drop("_parts", "_f", "_w")
 
 
 def _em_weights(signatures: Column, total: Column, prior: Column) -> Column:
