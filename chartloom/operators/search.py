@@ -222,15 +222,54 @@ def pooled(vectors: DataFrame, group: Column) -> DataFrame:
     return lists.select("id", F.transform("v", lambda s: F.round(s["m"] / F.col("norm"), 9)).alias("vector"))
 
 
-def late_interaction(groups: DataFrame, queries: DataFrame, k: int = 10, coarse: int | None = 80) -> DataFrame:
-    """Sum over a query's vectors of the best dot product within a group, for the ``coarse`` groups nearest by mean.
+def _grouped(rows: DataFrame, prefix: str, members: int = 1024, block: int = 256) -> DataFrame:
+    """Blocks of whole groups: (ids, sizes, values, parts). A group of more than ``members`` vectors comes in several parts."""
+    rows = rows.where("vector is not null and id is not null").select("id", "member", F.col("vector").cast("array<double>").alias("vector"))
+    parts = rows.groupBy("id").agg(F.ceil(F.count("*") / members).cast("int").alias("parts"))
+    salted = spread_join(rows, parts, ["id"], F.col("member")).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
+    lists = salted.groupBy("id", "part", "parts").agg(F.flatten(F.collect_list("vector")).alias("values"), F.count("*").cast("int").alias("size")).select("id", "parts", "values", "size")
+    schema = f"{prefix}ids array<bigint>, {prefix}sizes array<int>, {prefix}values array<double>, {prefix}parts array<int>"
 
-    Both tables are (id, member, vector) with several vectors per id. Without ``coarse`` every group is compared, which
-    is exact; the README gives the recall of the shorter way.
+    def pack(frames):
+        for frame in frames:
+            for at in range(0, len(frame), block):
+                part = frame.iloc[at : at + block]
+                yield pd.DataFrame({prefix + "ids": [part["id"].to_numpy()], prefix + "sizes": [part["size"].to_numpy()], prefix + "values": [np.concatenate([np.asarray(v) for v in part["values"]])], prefix + "parts": [part["parts"].to_numpy()]})
+
+    return lists.mapInPandas(pack, schema)
+
+
+def late_interaction(groups: DataFrame, queries: DataFrame, k: int = 10, coarse: int | None = None) -> DataFrame:
+    """Sum over a query's vectors of the best dot product within a group; the ``k`` best groups of each query.
+
+    Both tables are (id, member, vector) with several vectors per id. Blocks of groups are multiplied with blocks of
+    queries, and a pair of blocks keeps k groups per query. With ``coarse`` only that many groups nearest by their mean
+    are compared, which is faster and not exact; the README gives its recall.
     """
-    coarse = coarse or max(1, groups.select("id").distinct().count())
-    near = dense(pooled(groups, F.col("id")), pooled(queries, F.col("id")), coarse).select("query_id", "id")
-    asked = queries.select(F.col("id").alias("query_id"), F.col("member").alias("q"), F.col("vector").alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    best = near.join(groups, "id").join(asked, "query_id").groupBy("query_id", "id", "q").agg(F.max(dot).alias("best"))
-    return top(best.groupBy("query_id", "id").agg(F.round(F.sum("best"), 6).alias("score")), k)
+    if coarse:
+        near = dense(pooled(groups, F.col("id")), pooled(queries, F.col("id")), coarse).select("query_id", "id")
+        asked = queries.select(F.col("id").alias("query_id"), F.col("member").alias("q"), F.col("vector").alias("qv"))
+        dot = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+        best = near.join(groups, "id").join(asked, "query_id").groupBy("query_id", "id", "q").agg(F.max(dot).alias("best"))
+        return top(best.groupBy("query_id", "id").agg(F.round(F.sum("best"), 6).alias("score")), k)
+
+    def products(frames):
+        for frame in frames:
+            for ids, sizes, values, parts, qids, qsizes, qvalues, _ in frame.itertuples(index=False):
+                s = np.asarray(qvalues).reshape(int(np.sum(qsizes)), -1) @ np.asarray(values).reshape(int(np.sum(sizes)), -1).T
+                starts, qstarts = (np.concatenate(([0], np.cumsum(x)[:-1])).astype(np.int64) for x in (sizes, qsizes))
+                best = np.maximum.reduceat(s, starts, axis=1)
+                ids, qids, whole = np.asarray(ids), np.asarray(qids), np.asarray(parts) == 1
+                # Of a group in several parts each vector's best so far is handed on.
+                row, col = np.nonzero(np.broadcast_to(~whole, best.shape))
+                yield pd.DataFrame({"query_id": np.repeat(qids, qsizes)[row], "id": ids[col], "q": (row - np.repeat(qstarts, qsizes)[row]).astype("int32"), "score": best[row, col]})
+                if whole.any():
+                    score, own = np.round(np.add.reduceat(best[:, whole], qstarts, axis=0), 6), ids[whole]
+                    order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(qids, order.shape[1]), "id": own[order].ravel(), "q": np.full(order.size, -1, dtype="int32"), "score": np.take_along_axis(score, order, 1).ravel()})
+
+    # A query's vectors stay together; they are few.
+    pairs = _grouped(groups, "").crossJoin(_grouped(queries, "q", members=1 << 30, block=32))
+    scored = cut(pairs.mapInPandas(products, "query_id long, id long, q int, score double"))
+    parted = scored.where("q >= 0").groupBy("query_id", "id", "q").agg(F.max("score").alias("best")).groupBy("query_id", "id").agg(F.round(F.sum("best"), 6).alias("score"))
+    return top(scored.where("q < 0").select("query_id", "id", "score").unionByName(parted), k)

@@ -23,7 +23,7 @@ def p3_normalised_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All dates of encounters, chunks and medications as UTC moments or local days."""
     encounters, facilities, tables = _inputs(spark, sf_dir)
     return normalise(dated_records(encounters, facilities, **tables)).select(
-        "source_table", "record_key", "encounter_id", "utc", "local_day", "precision", "format", "posterior", "status"
+        "source_table", "record_key", "encounter_id", "utc", "local_day", "precision", "format", "posterior", "clock", "status"
     )
 
 

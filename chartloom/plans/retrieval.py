@@ -450,10 +450,7 @@ def f11_late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 F11 = f"""WITH v AS (SELECT vec_id // 10 AS id, vec_id AS member, embedding FROM embeddings), qv AS (SELECT * FROM v WHERE id % 20 = 0),
-u AS (SELECT id, unnest(range(len(embedding)))::INTEGER AS d, unnest(embedding)::DOUBLE AS x FROM v), m AS (SELECT id, d, avg(x) AS m FROM u GROUP BY 1, 2),
-n AS (SELECT id, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1), c AS (SELECT id, list(round(m / norm, 9) ORDER BY d) AS vec FROM m JOIN n USING (id) GROUP BY 1),
-near AS (SELECT a.id AS query_id, b.id, round({_DOT.format('a.vec', 'b.vec')}, 6) AS s FROM c a, c b WHERE a.id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) <= 80),
-best AS (SELECT near.query_id, near.id, q.member, max({_DOT.format('q.embedding', 'v.embedding')}) AS b FROM near JOIN v ON v.id = near.id JOIN qv q ON q.id = near.query_id GROUP BY 1, 2, 3),
+best AS (SELECT q.id AS query_id, v.id, q.member, max({_DOT.format('q.embedding', 'v.embedding')}) AS b FROM v, qv q GROUP BY 1, 2, 3),
 sc AS (SELECT query_id, id, round(sum(b), 6) AS score FROM best GROUP BY 1, 2)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= 10"""
 

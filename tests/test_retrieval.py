@@ -212,12 +212,19 @@ def test_late_interaction_without_coarse_cut(spark):
     rows = [(g, m, [float(x) for x in rng.normal(size=4)]) for g in range(40) for m in range(3)]
     df = spark.createDataFrame(rows, "id long, member long, vector array<double>")
     q = df.where("id < 2")
-    exact = [(r.query_id, r.id) for r in search.late_interaction(df, q, 5, coarse=None).orderBy("query_id", "rank").collect()]
+    exact = [(r.query_id, r.id) for r in search.late_interaction(df, q, 5).orderBy("query_id", "rank").collect()]
     by = {}
     for g, m, v in rows:
         by.setdefault(g, []).append(np.array(v))
     want = [(i, g) for i in range(2) for g in sorted(by, key=lambda g: (-round(sum(max(float(a @ b) for b in by[g]) for a in by[i]), 6), g))[:5]]
     assert exact == want
+    # A group of many vectors comes in parts and scores the same.
+    before, search._grouped.__defaults__ = search._grouped.__defaults__, (2, 256)
+    try:
+        assert [(r.query_id, r.id) for r in search.late_interaction(df, q, 5).orderBy("query_id", "rank").collect()] == want
+    finally:
+        search._grouped.__defaults__ = before
+    assert search.late_interaction(df, q, 5, coarse=40).count() == 10 and search.late_interaction(df.limit(0), q).count() == 0
 
 
 def test_partitioning_changes_nothing(spark):
