@@ -85,7 +85,8 @@ def test_chunks(spark, chart):
     assert chunking.longest_sections(texts).first().chunk_id == "c_SEC_1"
     assert {(r.chunk_id, r.previous_id, r.next_id) for r in chunking.neighbours(chunks).collect()} == {("c_SEC_1", None, "c_SEC_2"), ("c_SEC_2", "c_SEC_1", "c_AF_3"), ("c_AF_3", "c_SEC_2", None)}
     assert {r.page_number for r in chunking.uncovered_pages(chunks, chart, 5).collect()} == {4, 5, 6}
-    assert chunking.key_facts(texts).first().text.startswith("Assessment")
     enc = spark.createDataFrame([("c", "E1", "Visit", "2024-03-05", "Dr. A", None, 1, 2, None)], ENC)
+    facts = chunking.key_facts(texts, enc).first().text
+    assert facts.startswith("Encounter E1\n\nType: Visit\n\nDate: 2024-03-05\n\nProvider: Dr. A\n\n[Vital Signs]\nAssessment\nNewer")
     heads = {r.chunk_id: r.header for r in chunking.headers(chunks, enc).collect()}
     assert heads["c_SEC_1"] == "Encounter: E1\nType: Visit\nDate: March 5, 2024\nProvider: Dr. A\nSection: Vital Signs\nPages: 1-2"

@@ -59,3 +59,8 @@ def test_pieces_as_brute_force(spark):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice(["ab", ". ", "\n", " ", "é"]) for _ in range(rnd.randrange(0, 300))) for _ in range(60)]
     assert one(spark, lambda c: pieces(c, 40, 7), *texts, None) == [brute_pieces(t, 40, 7) for t in texts] + [[]]
+
+
+def test_frequencies_keep_the_full_stop(spark):
+    df = spark.createDataFrame([("Take bid. Then b.i.d., T.I.D. or q.d. and qd; A1c 10mg",)], "t string")
+    assert df.select(text.normalize_text(F.col("t")).alias("n")).first().n == "take twice daily. then twice daily., three times daily. or once daily. and once daily; hba1c 10 mg"
