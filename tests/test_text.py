@@ -63,4 +63,4 @@ def test_pieces_as_brute_force(spark):
 
 def test_frequencies_keep_the_full_stop(spark):
     df = spark.createDataFrame([("Take bid. Then b.i.d., T.I.D. or q.d. and qd; A1c 10mg",)], "t string")
-    assert df.select(text.normalize_text(F.col("t")).alias("n")).first().n == "take twice daily. then twice daily., three times daily. or once daily. and once daily; hba1c 10 mg"
+    assert df.select(fx.normalize_text(F.col("t")).alias("n")).first().n == "take twice daily. then twice daily., three times daily. or once daily. and once daily; hba1c 10 mg"
