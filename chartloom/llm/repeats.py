@@ -10,8 +10,6 @@ longer lines are given as spans whose ends are chunk borders.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -111,27 +109,31 @@ def running_chunks(lines: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _hot_runs(texts: pa.Array, hot: pa.Array) -> pa.Array:
-    """Runs of repeated chunks of at least SPAN letters, as offsets in the text (``end`` excluded)."""
-    out = []
-    for text, wanted in zip(texts.to_pylist(), hot.to_pylist()):
+def _hot_runs(texts: pa.Array, lines: pa.Array, held: pa.Array) -> pa.Array:
+    """Runs of repeated chunks of at least SPAN letters, as offsets in the text (``end`` excluded).
+
+    ``lines`` are the keys of a text's lines and ``held`` those of its chunks that are repeated. The texts are chunked
+    together; only those with a run are looked at letter by letter.
+    """
+    lines, held = pa.concat_arrays([lines]), pa.concat_arrays([held])
+    blocks = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    offsets, data = _bytes(lines.flatten())
+    ends, hashes = _chunks(_units(blocks, offsets), data)
+    first = np.searchsorted(ends, offsets[blocks], side="right")
+    bounds, wanted = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False)
+    out: list[list[dict]] = []
+    for n in range(len(texts)):
+        at, base = ends[first[n] : first[n + 1]], offsets[blocks[n]]
+        mask = np.concatenate(([False], np.isin(hashes[first[n] : first[n + 1]], wanted[bounds[n] : bounds[n + 1]]), [False]))
+        edges = np.flatnonzero(mask[1:] != mask[:-1]).reshape(-1, 2)
+        spans = [(int(at[i - 1] - base) if i else 0, int(at[j - 1] - base)) for i, j in edges]
+        spans = [s for s in spans if s[1] - s[0] >= SPAN]
         runs: list[dict] = []
-        # Each letter of the running key with its place in the text.
-        at = [(m.start(), b) for m in _KEPT.finditer(text) for b in ("#" if m.group()[0].isdigit() else m.group().lower()).encode()]
-        line_ends = [m.start() for m in re.finditer("\n", text)] + [len(text)]
-        places = np.array([a for a, _ in at], dtype=np.int64)
-        lines = np.concatenate(([0], np.searchsorted(places, line_ends)))
-        ends, hashes = _chunks(_units(np.array([0, len(lines) - 1]), lines), np.array([b for _, b in at], dtype=np.uint8))
-        held = np.isin(hashes, np.array(wanted or [], dtype=np.int64))
-        begin = None
-        for k in range(len(ends) + 1):
-            if k < len(ends) and held[k]:
-                begin = (ends[k - 1] if k else 0) if begin is None else begin
-            elif begin is not None:
-                stop = ends[k - 1]
-                if stop - begin >= SPAN:
-                    runs.append({"start": int(places[begin]), "end": int(places[stop]) if stop < len(places) else len(text)})
-                begin = None
+        if spans:
+            text = texts[n].as_py()
+            # The place in the text of each byte of the running key.
+            places = [m.start() for m in _KEPT.finditer(text) for _ in ("#" if m.group()[0].isdigit() else m.group().lower()).encode()]
+            runs = [{"start": places[min(i, len(places) - 1)], "end": places[j] if j < len(places) else len(text)} for i, j in spans]
         out.append(runs)
     return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
@@ -265,8 +267,10 @@ def repeated_spans(blocks: DataFrame, pages: DataFrame, share: float = 1 / 3, le
     """
     hot = hot_chunks(blocks, pages, share, least, 1.0, 1.0)
     rows = blocks.where("text <> '' and document_id is not null and page_number is not null").select("document_id", "page_number", "block_id", "text")
-    rows = spread_join(rows, hot, ["document_id"], F.col("page_number"))
-    return rows.select("document_id", "page_number", "block_id", F.explode(_hot_runs("text", "hot")).alias("s")).select("document_id", "page_number", "block_id", "s.*").distinct()
+    rows = spread_join(rows, hot, ["document_id"], F.col("page_number")).withColumn("keys", F.transform(F.split("text", "\n"), line_key))
+    held = F.array_intersect(F.array_distinct(F.flatten(running_chunks("keys"))), F.col("hot"))
+    rows = once(rows.select("document_id", "page_number", "block_id", "text", "keys", held.alias("held")), held=F.col("held")).where(F.size("held") > 0)
+    return rows.select("document_id", "page_number", "block_id", F.explode(_hot_runs("text", "keys", "held")).alias("s")).select("document_id", "page_number", "block_id", "s.*").distinct()
 
 
 def without_repeats(blocks: DataFrame, pages: DataFrame, **limits) -> DataFrame:
