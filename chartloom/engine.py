@@ -30,7 +30,10 @@ class Engine:
     def __init__(self, spark: SparkSession, data_dir: str, index: Index | None = None):
         self.spark, self.data_dir = spark, data_dir
         self.index = index or stored(spark, data_dir)
-        self.items = self.index.items
+
+    @property
+    def items(self) -> DataFrame:
+        return self.index.items
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.data_dir, name)
@@ -40,16 +43,15 @@ class Engine:
 
     def hits(self, channel: str, plans: DataFrame) -> DataFrame:
         """A channel's hits (query_id, id, score, rank)."""
-        words, k = self.items.select("id", "tokens"), TOP[channel]
+        k = TOP[channel]
         if channel == "bm25":
-            return search.bm25(words, plans.select("query_id", F.col("expanded").alias("text")), k, self.index.terms)
+            return search.bm25(self.items.select("id", "tokens"), plans.select("query_id", F.col("expanded").alias("text")), k, self.index.terms)
         if channel == "exact":
-            return search.exact(words, plans.select("query_id", F.explode("needles").alias("needle")), k)
+            return search.exact(self.items.select("id", "tokens"), plans.select("query_id", F.explode("needles").alias("needle")), k)
         if channel == "structured":
             return search.sparse(self.index.features, search.weighted_features(query_features(plans), "query_id"), k)
-        asked = plans.select(F.col("expanded").alias("text")).distinct()
-        best = search.sparse(self.index.vectors, search.hashed_vectors(asked.withColumn("q", F.col("text")), "q", known=self.index.terms).withColumnRenamed("q", "query_id"), k)
-        return search.spread_hits(plans.select("query_id", F.col("expanded").alias("q")), best.withColumnRenamed("query_id", "q"))
+        asked = plans.select("query_id", F.col("expanded").alias("text"))
+        return search.sparse(self.index.vectors, search.hashed_vectors(asked, "query_id", known=self.index.terms), k)
 
     def fuse(self, plans: DataFrame, hits: dict[str, DataFrame], settings: ranking.Settings = ranking.Settings()) -> DataFrame:
         weights = planning.channel_weights(plans, {c: CHANNELS[c] for c in hits})

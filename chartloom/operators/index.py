@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +17,27 @@ from chartloom.session import once, store, table
 PARTS = ("items", "terms", "vectors", "features")
 
 
-@dataclass(frozen=True)
 class Index:
-    """Stored tables of one corpus. Queries join them and never tokenise the corpus again."""
+    """Stored tables of one corpus. Queries join them and never tokenise the corpus again.
 
-    items: DataFrame
-    terms: DataFrame
-    vectors: DataFrame
-    features: DataFrame
+    A part is a table, or a function that builds it: such a part is built when it is first asked for.
+    """
+
+    def __init__(self, *parts: DataFrame | Callable[[], DataFrame]):
+        self._parts = dict(zip(PARTS, parts, strict=True))
+
+    def _part(self, name: str) -> DataFrame:
+        if not isinstance(self._parts[name], DataFrame):
+            self._parts[name] = self._parts[name]()
+        return self._parts[name]
+
+    items = property(lambda self: self._part("items"))
+    terms = property(lambda self: self._part("terms"))
+    vectors = property(lambda self: self._part("vectors"))
+    features = property(lambda self: self._part("features"))
+
+    def built(self) -> list[DataFrame]:
+        return [p for p in self._parts.values() if isinstance(p, DataFrame)]
 
 
 def items_of(chunks: DataFrame, pages: DataFrame, encounters: DataFrame) -> DataFrame:
@@ -81,11 +94,14 @@ def query_features(plans: DataFrame) -> DataFrame:
 
 
 def build(spark: SparkSession, data_dir: str) -> Index:
-    """Build the index of a data directory and store its tables under the session's shared folder."""
-    items = store(items_of(*(table(spark, data_dir, t) for t in ("chunks", "page_content", "encounters"))))
-    words = items.select("id", "tokens")
-    features = search.weighted_features(item_features(items, table(spark, data_dir, "medications")), "id")
-    return Index(items, store(search.term_counts(words)), store(search.hashed_vectors(words)), store(features))
+    """The index of a data directory; each of its tables is stored under the session's shared folder when it is first needed."""
+    words = lambda: found.items.select("id", "tokens")
+    found = Index(
+        lambda: store(items_of(*(table(spark, data_dir, t) for t in ("chunks", "page_content", "encounters")))),
+        lambda: store(search.term_counts(words())), lambda: store(search.hashed_vectors(words())),
+        lambda: store(search.weighted_features(item_features(found.items, table(spark, data_dir, "medications")), "id")),
+    )
+    return found
 
 
 def save(index: Index, path: str) -> None:
@@ -110,8 +126,8 @@ def _state(spark: SparkSession, data_dir: str) -> tuple:
 
 def _there(spark: SparkSession, index: Index) -> bool:
     """Whether the index's tables still exist: the shared folder may have been cleaned."""
-    for part in PARTS:
-        for file in getattr(index, part).inputFiles()[:1]:
+    for part in index.built():
+        for file in part.inputFiles()[:1]:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
             if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
                 return False

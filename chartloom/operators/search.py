@@ -6,8 +6,13 @@ before ranking and ties go to the lower id, so that results don't depend on part
 
 from __future__ import annotations
 
+import math
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,59 +41,162 @@ def term_counts(texts: DataFrame) -> DataFrame:
 
 
 def _packed(rows: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
-    """Sparse rows (key, terms, weights) put together in blocks of about ``size``, along the partitions without a shuffle."""
+    """Sparse rows (key, terms, weights, rare) put together in blocks of about ``size``, along the partitions without a shuffle."""
     kind = rows.schema[key].dataType
     schema = T.StructType([
-        T.StructField(prefix + "ids", T.ArrayType(kind)), T.StructField(prefix + "sizes", T.ArrayType(T.IntegerType())),
-        T.StructField(prefix + "terms", T.ArrayType(T.LongType())), T.StructField(prefix + "weights", T.ArrayType(T.DoubleType())), T.StructField(prefix + "rare", T.ArrayType(T.DoubleType())),
+        T.StructField(prefix + "no", T.LongType()), T.StructField(prefix + "ids", T.ArrayType(kind)), T.StructField(prefix + "sizes", T.ArrayType(T.IntegerType())),
+        T.StructField(prefix + "terms", T.ArrayType(T.LongType())), T.StructField(prefix + "weights", T.ArrayType(T.DoubleType())),
     ])
+    flat = [c for c in ("terms", "weights", "rare") if c in rows.columns]
+    if "rare" in flat:
+        schema.add(prefix + "rare", T.ArrayType(T.DoubleType()))
 
     def pack(frames):
+        no = TaskContext.get().partitionId() << 32
         for frame in frames:
             for at in range(0, len(frame), size):
-                part = frame.iloc[at : at + size]
-                flat = [np.concatenate([np.asarray(x) for x in part[c]]) for c in ("terms", "weights", "rare")]
-                yield pd.DataFrame(dict(zip(schema.names, ([part[key].to_numpy()], [part["terms"].map(len).to_numpy(dtype=np.int32)], *([x] for x in flat)))))
+                part, no = frame.iloc[at : at + size], no + 1
+                yield pd.DataFrame(dict(zip(schema.names, ([no], [part[key].to_numpy()], [part["terms"].map(len).to_numpy(dtype=np.int32)], *([np.concatenate([np.asarray(x) for x in part[c]])] for c in flat)))))
 
-    rare = F.col("rare") if "rare" in rows.columns else F.transform("weights", lambda w: F.lit(0.0))
-    return rows.where(F.size("terms") > 0).select(key, "terms", "weights", rare.alias("rare")).mapInPandas(pack, schema)
+    return rows.select(key, *flat).mapInPandas(pack, schema)
 
 
-def sparse(items: DataFrame, queries: DataFrame, k: int, bonus: float = 0.0, block: int = 1024, asked: int = 256) -> DataFrame:
-    """Dot products of sparse rows: the ``k`` best items of each query with a positive score (query_id, id, score, rank).
+#: From this share of its pairs of queries and items a term is multiplied as part of a matrix, below it pair by pair.
+DENSE_SHARE = 0.015
+
+
+class _Best:
+    """The ``k`` best items so far of each query of one block; blocks of items are added one after another.
 
-    ``items`` is (id, terms, weights) and ``queries`` (query_id, terms, weights), with terms as 64-bit keys. A query's
-    ``rare`` holds 1.0 for its rare terms; an item with two of them gains ``bonus``. Blocks of items meet blocks of
-    queries, and a pair of blocks keeps the k best of each of its queries: no term is a join key, so a term that every
-    row has costs no more than another, and what is shuffled is bounded by k rows per query and block of items.
+    Once a query has k items, only those that beat the last of them are kept. Blocks that come in the order of their ids
+    need not be looked at for ties, which lose to the lower ids that are there; in any other order the result is the same.
     """
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", items.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
-    def matrix(terms, sizes, values, columns):
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.minimum(np.searchsorted(columns, terms), len(columns) - 1)
-        known = columns[at] == terms
-        out = np.zeros((len(sizes), len(columns)))
-        np.add.at(out, (rows[known], at[known]), values[known])
-        return out
+    def __init__(self, ids, sizes, terms, weights, rare, k: int, bonus: float):
+        self.queries, self.k, self.bonus, n = np.asarray(ids), k, bonus, len(ids)
+        self.columns, col = np.unique(terms, return_inverse=True)
+        order = np.argsort(col, kind="stable")
+        self.col, self.row, self.weight = col[order], np.repeat(np.arange(n), sizes)[order], np.asarray(weights)[order]
+        rare = np.asarray(rare)[order] > 0
+        self.pairs = rare & (np.bincount(self.row, weights=rare, minlength=n) >= 2)[self.row]
+        self.asked = np.bincount(self.col, minlength=len(self.columns))
+        self.least, self.ids, self.count, self.ordered, self.fresh = np.zeros(n), [], 0, True, 0
+        self.found = [(np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64))]
+
+    def _meet(self, chosen, held, starts):
+        """For the chosen terms of queries all terms of items that meet them: places in both lists."""
+        entry = np.flatnonzero(chosen & (held[self.col] > 0))
+        n = held[self.col[entry]]
+        first = starts[self.col[entry]] - (np.cumsum(n) - n)
+        return np.repeat(entry, n), np.arange(n.sum()) + np.repeat(first, n)
+
+    def add(self, ids, sizes, terms, weights) -> None:
+        ids, n = np.asarray(ids), len(self.queries)
+        m, place = len(ids), np.arange(len(ids))
+        if not (ids[1:] > ids[:-1]).all():
+            order = np.argsort(ids, kind="stable")
+            ids, place[order] = ids[order], np.arange(m)
+        if self.ids and not ids[0] > self.ids[-1][-1]:
+            self.ordered = False
+        at = np.minimum(np.searchsorted(self.columns, terms), len(self.columns) - 1)
+        known = np.flatnonzero(self.columns[at] == terms)
+        known = known[np.argsort(at[known], kind="stable")]
+        item, col, weight = np.repeat(place, sizes)[known], at[known], np.asarray(weights)[known]
+        held = np.bincount(col, minlength=len(self.columns))
+        starts = np.cumsum(held) - held
+        whole = held * self.asked > DENSE_SHARE * n * m
+        if whole.any():
+            to = np.cumsum(whole) - 1
+            q, d = np.zeros((n, to[-1] + 1)), np.zeros((to[-1] + 1, m))
+            e, f = whole[self.col], whole[col]
+            q[self.row[e], to[self.col[e]]] = self.weight[e]
+            d[to[col[f]], item[f]] = weight[f]
+            s = q @ d
+        else:
+            s = np.zeros((n, m))
+        a, b = self._meet(~whole[self.col], held, starts)
+        np.add.at(s.reshape(-1), self.row[a] * m + item[b], self.weight[a] * weight[b])
+        if self.bonus and self.pairs.any():
+            a, b = self._meet(self.pairs, held, starts)
+            both = np.zeros(n * m, dtype=np.int16)
+            np.add.at(both, self.row[a] * m + item[b], (weight[b] > 0).astype(np.int16))
+            s = np.round(s, 6)
+            s.reshape(-1)[both >= 2] += self.bonus
+        self._keep(s)
+        self.ids.append(ids)
+        self.count += m
+        if self.fresh > n * max(8, self.k // 8):
+            self._compact()
+
+    def _keep(self, s) -> None:
+        """Hand on the scores that may be among the best; scores are rounded, but for a bonus added to a rounded one."""
+        m, tight = s.shape[1], 0.0 if self.bonus else 6e-7
+        row, col = np.divmod(np.flatnonzero(s > (self.least - tight)[:, None] if self.ordered else s >= (self.least - tight)[:, None]), m)
+        if len(row) > 2 * self.k * len(s) and m > self.k:
+            s = s if self.bonus else np.round(s, 6)
+            last = np.partition(s, m - self.k, axis=1)[:, m - self.k][:, None]
+            over, tied = s > last, s == last
+            row, col = np.nonzero(over | (tied & (np.cumsum(tied, axis=1) <= self.k - over.sum(axis=1)[:, None])))
+        score = s[row, col] if self.bonus else np.round(s[row, col], 6)
+        good = (score > 0) & ((score > self.least[row]) if self.ordered else (score >= self.least[row]))
+        self.found.append((row[good], score[good], col[good] + self.count))
+        self.fresh += int(good.sum())
+
+    def _compact(self) -> None:
+        row, score, place = (np.concatenate(x) for x in zip(*self.found))
+        by = place if self.ordered else np.argsort(np.argsort(np.concatenate(self.ids), kind="stable"), kind="stable")[place]
+        order = np.lexsort((by, -score, row))
+        row = row[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = order[nth < self.k]
+        full = nth == self.k - 1
+        self.least[row[full]] = score[order[full]]
+        self.found, self.fresh = [(row[nth < self.k], score[kept], place[kept])], 0
+
+    def rows(self) -> pd.DataFrame:
+        self._compact()
+        row, score, place = self.found[0]
+        ids = np.concatenate(self.ids) if self.ids else np.empty(0, dtype=object)
+        return pd.DataFrame({"g": self.queries[row], "id": ids[place], "score": score})
+
+
+def sparse(items: DataFrame, queries: DataFrame, k: int, bonus: float = 0.0, block: int = 1024, asked: int = 1024, share: int = 65536, total: int | None = None) -> DataFrame:
+    """Dot products of sparse rows: the ``k`` best items of each query with a positive score (query_id, id, score, rank).
+
+    ``items`` is (id, terms, weights) and ``queries`` (query_id, terms, weights), with terms as 64-bit keys, distinct in a
+    row. A query's ``rare`` holds 1.0 for its rare terms; an item with two of them gains ``bonus``. Queries with equal
+    rows are scored once. A task meets one block of queries with a slice of about ``share`` items (of ``total``, counted
+    if not given), block by block, and hands on the k best of each query: no term is a join key, so a term that every row
+    has costs no more than another, and what is shuffled is bounded by k rows per query and slice.
+    """
+    rare = F.col("rare") if "rare" in queries.columns else F.transform("weights", lambda w: F.lit(0.0))
+    wanted = queries.where(F.size("terms") > 0).select("query_id", "terms", "weights", rare.alias("rare"))
+    wanted = cut(wanted.withColumn("g", F.md5(F.to_json(F.struct("terms", "weights", "rare")))))
+    groups = cut(wanted.groupBy("g").agg(*(F.first(c).alias(c) for c in ("terms", "weights", "rare")), F.ceil(F.count("*") / 4096).cast("int").alias("parts")))
+    columns = math.ceil(groups.count() / asked) or 1
+    total = items.count() if total is None else total
+    slices = max(1, math.ceil(total / share), min(math.ceil(total / 8192), math.ceil(16 / columns)))
+    left = cut(_packed(items.where(F.size("terms") > 0).select("id", "terms", "weights").repartition(slices, "id").sortWithinPartitions("id"), "id", block, ""))
+    right = cut(_packed(groups.select("g", "terms", "weights", "rare").repartition(columns, "g"), "g", 2 * asked, "q"))
+    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("id", items.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
     def products(frames):
+        best: dict[int, _Best] = {}
         for frame in frames:
-            for ids, sizes, terms, weights, _, qids, qsizes, qterms, qweights, qrare in frame.itertuples(index=False):
-                columns = np.unique(qterms)
-                d, q = matrix(terms, sizes, weights, columns), matrix(qterms, qsizes, qweights, columns)
-                s = np.round(q @ d.T, 6)
-                if bonus:
-                    s += np.where(matrix(qterms, qsizes, qrare, columns) @ (d > 0).T >= 2, bonus, 0.0)
-                ids, qids = np.asarray(ids), np.asarray(qids)
-                place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-                order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, 1)
-                row, col = np.nonzero(best > 0)
-                yield pd.DataFrame({"query_id": qids[row], "id": ids[order[row, col]], "score": best[row, col]})
-
-    pairs = _packed(items, "id", block, "").crossJoin(_packed(queries, "query_id", asked, "q"))
-    return top(pairs.mapInPandas(products, schema), k).select("query_id", "id", "score", "rank")
+            for _, ids, sizes, terms, weights, no, *asking in frame.itertuples(index=False):
+                if no not in best:
+                    best[no] = _Best(*asking, k, bonus)
+                best[no].add(ids, sizes, terms, weights)
+        for x in best.values():
+            yield x.rows()
+
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right)
+    found = top(pairs.mapInPandas(products, schema), k, "g").select("g", "id", "score", "rank")
+    # The hits of a row that very many queries ask are repeated for parts of these.
+    parts = groups.select("g", "parts")
+    spread = found.join(parts, "g").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    members = spread_join(wanted.select("query_id", "g"), parts, ["g"], F.col("query_id")).withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
+    return members.join(spread, ["g", "_part"]).select("query_id", "id", "score", "rank")
 
 
 def _rows(terms: DataFrame, key: str, term: Column, weight: Column, rare: Column | None = None) -> DataFrame:
@@ -105,36 +213,61 @@ def weighted_features(features: DataFrame, key: str) -> DataFrame:
     return _rows(summed, key, F.col("feature"), F.col("amount"))
 
 
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """The second column of a batch, lists: the row of each element, and the elements."""
+    lists = batch.column(1)
+    return np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def _batch(batch: pa.RecordBatch, key: str, row: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    """Sparse rows from the elements of all rows, in the order of the rows."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32))
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (terms.astype(np.int64), weights.astype(np.float64)))], [key, "terms", "weights"])
+
+
+def _sparse_schema(rows: DataFrame, key: str) -> T.StructType:
+    return T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+
+
+#: Most distinct query terms that are sent to the tasks; with more, a text's row keeps all its terms.
+SENT_TERMS = 1 << 22
+
+
 def bm25(texts: DataFrame, queries: DataFrame, k: int = 60, terms: DataFrame | None = None) -> DataFrame:
     """Okapi BM25 of (query_id, text) against (id, text) or (id, tokens), both with unique ids; only positive scores are hits.
 
     The idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one is replaced by a quarter of the mean idf of the
-    vocabulary. Repeated query terms count repeatedly. Queries with the same text are scored once. ``terms`` are the
+    vocabulary. Repeated query terms count repeatedly. Queries with the same words are scored once. ``terms`` are the
     stored counts of the texts' terms (term, df), else they are counted.
     """
     texts = texts.select("id", _tokens(texts).alias("tokens"))
-    stats = texts.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))  # one row
-    n = F.col("n")
-    df = (term_counts(texts) if terms is None else terms).crossJoin(F.broadcast(stats)).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    stats = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total")).first()  # one row
+    n, mean = stats["n"], stats["total"] / max(1, stats["n"])
+    df = (term_counts(texts) if terms is None else terms).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = df.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
-    asked = queries.where("text is not null").select(F.col("text").alias("q")).distinct()
-    wanted = cut(asked.select("q", F.explode(tokens(F.col("q"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf")))
-    words = wanted.select("term").distinct()
+    wanted = cut(queries.where("text is not null").select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    words = cut(wanted.select("term").distinct())
     idf = df.join(words, "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    # Of a text only the terms that some query has; a term that most texts have is spread.
-    found = texts.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    found = spread_join(found, words, ["term"], F.col("id")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(stats))
-    tf = F.col("tf")
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (F.col("total") / n)))
-    best = sparse(_rows(found, "id", F.col("term"), part), _rows(wanted.join(idf, "term"), "q", F.col("term"), F.col("qtf") * F.col("idf")).withColumnRenamed("q", "query_id"), k)
-    return spread_hits(queries.select("query_id", F.col("text").alias("q")), best.withColumnRenamed("query_id", "q"))
-
-
-def spread_hits(queries: DataFrame, best: DataFrame, parts: int = 16) -> DataFrame:
-    """The hits of each distinct text given to all queries (query_id, q) that ask it, however many one text has."""
-    salted = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = queries.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    return asked.join(salted, ["q", "_salt"]).select("query_id", "id", "score", "rank")
+    # Of a text only the terms that some query has.
+    sent = words.count() <= SENT_TERMS
+    keys = np.sort(words.select(F.xxhash64("term").alias("t")).toPandas()["t"].to_numpy(dtype=np.int64)) if sent else None
+
+    def rows(batches):
+        for batch in batches:
+            row, terms = _lists(batch)
+            terms = terms.to_numpy(zero_copy_only=False)
+            lengths = np.bincount(row, minlength=batch.num_rows)
+            known = np.unique(terms) if keys is None else keys
+            if len(known):
+                at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+                there = known[at] == terms
+                pairs, tf = np.unique(row[there] * len(known) + at[there], return_counts=True)
+                row, at = np.divmod(pairs, len(known))
+                yield _batch(batch, "id", row, known[at], tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean)))
+
+    found = texts.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("t")).mapInArrow(rows, _sparse_schema(texts, "id"))
+    asked = spread_join(wanted, idf, ["term"], F.col("query_id"))
+    return sparse(found, _rows(asked, "query_id", F.col("term"), F.col("qtf") * F.col("idf")), k, total=n)
 
 
 def exact(texts: DataFrame, needles: DataFrame, k: int = 80) -> DataFrame:
@@ -167,14 +300,24 @@ def hashed_vectors(texts: DataFrame, key: str = "id", size: int = 256, known: Da
     The built-in stand-in for an encoder; any other table of sparse or dense vectors takes its place. With ``known``
     (term, ...) only those terms count, so that a query of unknown words is near to nothing.
     """
-    words = texts.select(F.col(key), F.explode(_tokens(texts)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    rows = texts.select(F.col(key), _tokens(texts).alias("tokens"))
     if known is not None:
-        words = spread_join(known.select("term"), words.select("term").distinct(), ["term"], F.col("term")).join(words, "term")
-    at = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("bigint"), F.lit(size)).cast("string")
-    counts = words.groupBy(key, at.alias("at")).agg(F.sum("tf").alias("tf"))
-    rows = _rows(counts, key, F.col("at"), F.col("tf"))
-    norm = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w))
-    return rows.select(key, "terms", F.transform("weights", lambda w: w / norm).alias("weights"))
+        words = rows.select(key, F.explode("tokens").alias("term"))
+        there = spread_join(known.select("term"), words.select("term").distinct(), ["term"], F.col("term"))
+        rows = spread_join(words, there, ["term"], F.col(key)).groupBy(key).agg(F.collect_list("term").alias("tokens"))
+
+    def hashed(batches):
+        for batch in batches:
+            row, words = _lists(batch)
+            words = words.dictionary_encode()
+            slots = np.array([int(md5(w.encode()).hexdigest()[:6], 16) % size for w in words.dictionary.to_pylist()], dtype=np.int64)
+            if len(slots):
+                counts = np.bincount(row * size + slots[words.indices.to_numpy(zero_copy_only=False)], minlength=batch.num_rows * size).reshape(-1, size)
+                norm = np.sqrt((counts * counts).sum(axis=1))
+                row, at = np.nonzero(counts)
+                yield _batch(batch, key, row, at, counts[row, at] / norm[row])
+
+    return rows.where(F.size("tokens") > 0).mapInArrow(hashed, _sparse_schema(rows, key))
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:

@@ -106,3 +106,10 @@ def test_engine(spark):
     gold = spark.createDataFrame([(1, found[0].id)], "query_id long, id string")
     assert engine.evaluate(queries, gold).first().queries == 4
     assert engine.status().count() >= 1 and engine.readability().count() >= 1
+
+
+def test_a_channel_builds_only_the_tables_it_reads(spark):
+    engine = Engine(spark, DATA, index.build(spark, DATA))
+    plans = engine.plan(spark.createDataFrame([(1, "why was metformin started"), (2, "why was metformin started")], "query_id long, text string"))
+    rows = engine.hits("structured", plans).collect()
+    assert len(engine.index.built()) == 2 and sorted((r.id, r.rank) for r in rows if r.query_id == 1) == sorted((r.id, r.rank) for r in rows if r.query_id == 2) != []

@@ -238,3 +238,19 @@ def test_partitioning_changes_nothing(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] and len(got[0]) == 10
+
+
+def test_best_of_blocks_in_any_order():
+    rng = np.random.default_rng(5)
+    items = [(f"i{i:03d}", sorted(rng.choice(40, 6, replace=False).tolist()), rng.integers(1, 4, 6).astype(float)) for i in range(400)]
+    asked = [(q, sorted(rng.choice(45, 4, replace=False).tolist()), rng.integers(1, 3, 4).astype(float)) for q in range(20)]
+    flat = lambda rows: ([r[0] for r in rows], [len(r[1]) for r in rows], np.concatenate([r[1] for r in rows]).astype(np.int64), np.concatenate([r[2] for r in rows]))
+    for order in (list(range(400)), rng.permutation(400).tolist()):
+        best = search._Best(*flat(asked), np.ones(80), 7, 20.0)
+        for at in range(0, 400, 50):
+            best.add(*flat([items[i] for i in order[at : at + 50]]))
+        got = best.rows()
+        for q, terms, weights in asked:
+            met = [[w * dict(zip(t, v))[x] for x, w in zip(terms, weights) if x in t] for _, t, v in items]
+            want = sorted((-(sum(m) + 20.0 * (len(m) >= 2)), i) for (i, _, _), m in zip(items, met))[:7]
+            assert list(zip(-got[got.g == q].score, got[got.g == q].id)) == want
