@@ -41,7 +41,10 @@ def fuse(channels: dict[str, DataFrame], weights: DataFrame, k: int = 60, top: i
     for name, df in channels.items():
         rows = df.select("query_id", "id", "rank", F.lit(name).alias("channel"))
         hits = rows if hits is None else hits.unionByName(rows)
-    fused = hits.join(weights, ["query_id", "channel"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 9).alias("score"))
+    # One row of weights per query, so that hits are shuffled once, by their query.
+    by_query = weights.where("channel is not null").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "weight"))).alias("w"))
+    weighted = hits.join(by_query, "query_id").withColumn("weight", F.try_element_at("w", F.col("channel"))).where("weight is not null")
+    fused = weighted.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 9).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

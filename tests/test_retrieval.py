@@ -254,3 +254,18 @@ def test_best_of_blocks_in_any_order():
             met = [[w * dict(zip(t, v))[x] for x, w in zip(terms, weights) if x in t] for _, t, v in items]
             want = sorted((-(sum(m) + 20.0 * (len(m) >= 2)), i) for (i, _, _), m in zip(items, met))[:7]
             assert list(zip(-got[got.g == q].score, got[got.g == q].id)) == want
+
+
+def test_fusion_shuffles_hits_once_by_their_query(spark):
+    hits = spark.createDataFrame([(q, f"i{i}", i + 1) for q in (1, 2) for i in range(3)], "query_id long, id string, rank int")
+    weights = spark.createDataFrame([(1, "x", 0.5), (1, "y", 0.25), (2, "y", 1.0), (2, None, 1.0)], "query_id long, channel string, weight double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fused = ranking.fuse({"x": hits, "y": hits.where("rank < 3")}, weights)
+        steps = fused._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in fused.collect())
+    assert got == [(1, 1, "i0", round(0.75 / 61, 9)), (1, 2, "i1", round(0.75 / 62, 9)), (1, 3, "i2", round(0.5 / 63, 9)), (2, 1, "i0", round(1 / 61, 9)), (2, 2, "i1", round(1 / 62, 9))]
+    assert steps.count("Exchange hashpartitioning") == 2  # hits and weights
