@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import normalize_text, tokens
+from chartloom.session import once
 
 
 @dataclass(frozen=True)
@@ -174,20 +175,20 @@ def cooccurrence(low: Column, text: Column, norm: Column, codes: Column) -> Colu
     return F.when(hits >= 3, 1.0).when(hits == 2, 0.7).when(hits == 1, 0.25).otherwise(0.0)
 
 
-def final_ranking(fused: DataFrame, items: DataFrame, plans: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The results of each query: (query_id, rank, id, score).
+def pair_features(pairs: DataFrame, items: DataFrame, plans: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """What the final ranking knows of pairs (query_id, id) of a query and an item: (query_id, id, grp, head, overlap, meta).
 
     ``items`` has (id, grp, section, chunk_type, table_type, encounter_type, text, norm, tokens, head, dates, codes);
-    ``plans`` comes from ``planning.plan``. Candidates beyond the rerank cut have a rerank score of 0; of near
-    duplicates (equal beginnings of the normalised text) the best stays.
+    ``plans`` comes from ``planning.plan``. Texts are read where the items are, and no later step carries them.
     """
     asked = plans.select(
-        "query_id", F.lower("text").alias("query_low"), tokens(F.col("text")).alias("query"), "sections", "aliases", "providers", "encounter_types", "labs",
+        "query_id", F.lower("text").alias("query_low"), F.array_distinct(tokens(F.col("text"))).alias("query"), "sections", "aliases", "providers", "encounter_types", "labs",
         F.col("codes").alias("query_codes"), F.col("dates").alias("query_dates"), F.transform("numbers", lambda n: normalize_text(n)).alias("norm_numbers"),
     )
-    candidates = diversify(fused.join(items, "id"), s.per_group).join(asked, "query_id")
-    position = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    low, text, norm, section = F.col("query_low"), F.lower("text"), F.col("norm"), F.lower("section")
+    both = pairs.select("query_id", "id").join(asked, "query_id").join(items, "id")
+    # Lower case once per pair, not once per value that is looked for.
+    both = once(both, low_text=F.lower("text"))
+    low, text, norm, section = F.col("query_low"), F.col("low_text"), F.col("norm"), F.lower("section")
     meta = (
         s.date * date_match(F.col("query_dates"), F.col("dates"))
         + s.section * section_match(F.col("sections"), section, F.col("table_type"), F.col("chunk_type"))
@@ -196,9 +197,21 @@ def final_ranking(fused: DataFrame, items: DataFrame, plans: DataFrame, s: Setti
         + s.cooccurrence * cooccurrence(low, text, norm, F.col("codes"))
         + s.structure * structure_match(low, F.col("sections"), section, F.col("table_type"))
     )
+    return both.select("query_id", "id", "grp", "head", F.round(overlap(F.col("query"), F.col("tokens")), 6).alias("overlap"), meta.alias("meta"))
+
+
+def final_ranking(fused: DataFrame, items: DataFrame, plans: DataFrame, s: Settings = Settings(), features: DataFrame | None = None) -> DataFrame:
+    """The results of each query: (query_id, rank, id, score).
+
+    ``features`` are the pairs' ``pair_features``, computed from ``items`` and ``plans`` if not given. Candidates beyond the
+    rerank cut have a rerank score of 0; of near duplicates (equal beginnings of the normalised text) the best stays.
+    """
+    features = pair_features(fused, items, plans, s) if features is None else features
+    candidates = diversify(fused.join(features, ["query_id", "id"]), s.per_group)
+    position = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
     # Without a reranker the fused score takes its place.
-    reranked = F.when(position <= s.rerank_top, F.round(overlap(F.col("query"), F.col("tokens")), 6)).otherwise(0.0) if s.rerank else F.col("score")
-    scored = candidates.select("query_id", "id", "score", "head", reranked.alias("rr"), meta.alias("meta"))
+    reranked = F.when(position <= s.rerank_top, F.col("overlap")).otherwise(0.0) if s.rerank else F.col("score")
+    scored = candidates.select("query_id", "id", "score", "head", reranked.alias("rr"), "meta")
     total = F.round(s.reranker * minmax(F.col("rr")) + s.hybrid * minmax(F.col("score")) + s.metadata * F.col("meta"), 6)
     scored = scored.withColumn("final", total)
     first = W.partitionBy("query_id", "head").orderBy(F.desc("final"), "id")

@@ -269,3 +269,15 @@ def test_fusion_shuffles_hits_once_by_their_query(spark):
     got = sorted((r.query_id, r["rank"], r.id, r.score) for r in fused.collect())
     assert got == [(1, 1, "i0", round(0.75 / 61, 9)), (1, 2, "i1", round(0.75 / 62, 9)), (1, 3, "i2", round(0.5 / 63, 9)), (2, 1, "i0", round(1 / 61, 9)), (2, 2, "i1", round(1 / 62, 9))]
     assert steps.count("Exchange hashpartitioning") == 2  # hits and weights
+
+
+def test_ranking_needs_no_texts_once_pairs_are_read(spark):
+    plans = spark.createDataFrame([(1, "dose of ramipril", ["medications"], ["ramipril"], [], [], [], [], [], [])], "query_id long, text string, sections array<string>, aliases array<string>, providers array<string>, encounter_types array<string>, labs array<string>, codes array<string>, dates array<string>, numbers array<string>")
+    kinds = "id string, grp string, section string, chunk_type string, table_type string, encounter_type string, text string, norm string, tokens array<string>, head string, dates array<string>, codes array<string>"
+    items = spark.createDataFrame([(i, "g", "medications", "section", None, None, t, t, t.split(), t, [], []) for i, t in (("a", "dose of ramipril"), ("b", "dose"), ("c", "dose"), ("d", "cough"))], kinds)
+    fused = spark.createDataFrame([(1, x, 1.0 - i / 10, i + 1) for i, x in enumerate("dcba")], "query_id long, id string, score double, rank int")
+    features = ranking.pair_features(fused, items, plans)
+    assert not {"text", "norm", "tokens", "low_text"} & set(features.columns)
+    whole = sorted((r["rank"], r.id, r.score) for r in ranking.final_ranking(fused, items, plans).collect())
+    assert whole == sorted((r["rank"], r.id, r.score) for r in ranking.final_ranking(fused, None, None, features=features).collect())
+    assert [x[1] for x in whole] == ["a", "c", "d"]
