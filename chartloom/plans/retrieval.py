@@ -6,6 +6,8 @@ all sections of all charts. For vectors it is every vector whose id is divisible
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ class Inputs:
         self.queries = asked.select(F.col("id").alias("query_id"), text.alias("text"), "document_id", F.col("page_start").alias("page"))
         self._plans: DataFrame | None = None
         self._hits: dict[str, DataFrame] = {}
+        self._fused: dict[tuple[str, ...], DataFrame] = {}
+        self._features: DataFrame | None = None
 
     @property
     def plans(self) -> DataFrame:
@@ -57,10 +61,18 @@ class Inputs:
         return self._hits[channel]
 
     def fused(self, channels: tuple[str, ...] = tuple(CHANNELS)) -> DataFrame:
-        return self.engine.fuse(self.plans, {c: self.hits(c) for c in channels})
+        """The fusion of some channels, computed once in a run."""
+        if channels not in self._fused:
+            self._fused[channels] = cut(self.engine.fuse(self.plans, {c: self.hits(c) for c in channels}))
+        return self._fused[channels]
+
+    def prepare(self, *channels: tuple[str, ...]) -> None:
+        """Read the texts of all candidates of several configurations at once; each pair of query and item is looked at once."""
+        pairs = reduce(DataFrame.unionByName, (self.fused(c).select("query_id", "id") for c in channels)).distinct()
+        self._features = cut(ranking.pair_features(pairs, self.items, self.plans))
 
     def results(self, channels: tuple[str, ...] = tuple(CHANNELS), rerank: bool = True) -> DataFrame:
-        return ranking.final_ranking(self.fused(channels), self.items, self.plans, ranking.Settings(rerank=rerank))
+        return ranking.final_ranking(self.fused(channels), self.items, self.plans, ranking.Settings(rerank=rerank), self._features)
 
     def gold(self) -> DataFrame:
         """The section that holds the page of the posting that was asked about."""
@@ -327,6 +339,7 @@ def i15_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality with fewer channels and without reranking."""
     run, out = Inputs(spark, sf_dir), None
     gold = cut(run.gold())
+    run.prepare(*dict.fromkeys(channels for channels, _ in CONFIGS.values()))
     for name, (channels, rerank) in CONFIGS.items():
         row = evaluation.quality(evaluation.first_match(run.results(channels, rerank), gold, run.queries)).withColumn("config", F.lit(name))
         out = row if out is None else out.unionByName(row)

@@ -6,6 +6,7 @@ import pytest
 
 from chartloom.engine import Engine
 from chartloom.operators import index, jobs
+from chartloom.plans import retrieval
 from chartloom.sources import files
 from chartloom.streaming import jobs as streams
 
@@ -113,3 +114,12 @@ def test_a_channel_builds_only_the_tables_it_reads(spark):
     plans = engine.plan(spark.createDataFrame([(1, "why was metformin started"), (2, "why was metformin started")], "query_id long, text string"))
     rows = engine.hits("structured", plans).collect()
     assert len(engine.index.built()) == 2 and sorted((r.id, r.rank) for r in rows if r.query_id == 1) == sorted((r.id, r.rank) for r in rows if r.query_id == 2) != []
+
+
+def test_configurations_share_the_texts_they_read(spark):
+    run = retrieval.Inputs(spark, DATA)
+    configs = list(dict.fromkeys(c for c, _ in retrieval.CONFIGS.values()))
+    apart = [sorted(map(tuple, run.results(c).collect())) for c in configs[1:3]]
+    run.prepare(*configs)
+    assert run._features.count() == run._features.select("query_id", "id").distinct().count() > 0
+    assert apart == [sorted(map(tuple, run.results(c).collect())) for c in configs[1:3]]
