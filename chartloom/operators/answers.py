@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from chartloom.functions.text import token_estimate
 
 
-def evidence(results: DataFrame, most: int = 900) -> DataFrame:
-    """Results as numbered evidence: (query_id, evidence_id, id, text cut to ``most``)."""
+def evidence(results: DataFrame, most: int = 900, also: tuple[str, ...] = ()) -> DataFrame:
+    """Results as numbered evidence: (query_id, rank, evidence_id, id, text cut to ``most``), with the columns ``also`` of the results."""
     text = F.regexp_replace("text", r"^\s+|\s+$", "")
     cut = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
-    return results.select("query_id", F.col("rank").cast("int").alias("rank"), F.concat(F.lit("E"), F.col("rank")).alias("evidence_id"), "id", cut.alias("text"))
+    return results.select("query_id", F.col("rank").cast("int").alias("rank"), F.concat(F.lit("E"), F.col("rank")).alias("evidence_id"), "id", cut.alias("text"), *also)
 
 
 def extractive(queries: DataFrame, found: DataFrame, top: int = 5, snippet: int = 280) -> DataFrame:

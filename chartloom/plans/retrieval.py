@@ -6,6 +6,7 @@ all sections of all charts. For vectors it is every vector whose id is divisible
 
 from __future__ import annotations
 
+from copy import copy
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from chartloom.operators.structure import ICD, ROW, SIGNED
 from chartloom.plans.chunks import TEXTS
 from chartloom.plans.pages import NORM, written_dates_sql
 from chartloom.plans.structure import ENC
-from chartloom.session import cut, table
+from chartloom.session import cut, spread_join, table
 
 
 def TOK(c: str) -> str:
@@ -47,6 +48,23 @@ class Inputs:
         self._hits: dict[str, DataFrame] = {}
         self._fused: dict[tuple[str, ...], DataFrame] = {}
         self._features: DataFrame | None = None
+        self._distinct: Inputs | None = None
+
+    @property
+    def distinct(self) -> Inputs:
+        """The run of the distinct texts: queries with the same text have the same plan and results, which are found once."""
+        if self._distinct is None:
+            run = copy(self)
+            run._plans, run._hits, run._fused = None, {}, {}
+            run.queries = cut(self.queries.select("text").distinct().withColumn("query_id", F.monotonically_increasing_id()).select("query_id", "text"))
+            self._distinct = run
+        return self._distinct
+
+    def every(self, rows: DataFrame) -> DataFrame:
+        """Rows (query_id, ...) of the run of distinct texts, given to all queries with the text."""
+        lists = rows.groupBy(F.col("query_id").alias("_text")).agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "query_id"))).alias("_rows"))
+        members = spread_join(self.queries.select("query_id", "text"), self.distinct.queries.withColumnRenamed("query_id", "_text"), ["text"], F.col("query_id"))
+        return spread_join(members, lists, ["_text"], F.col("query_id")).select("query_id", F.inline("_rows"))
 
     @property
     def plans(self) -> DataFrame:
@@ -68,11 +86,15 @@ class Inputs:
 
     def prepare(self, *channels: tuple[str, ...]) -> None:
         """Read the texts of all candidates of several configurations at once; each pair of query and item is looked at once."""
-        pairs = reduce(DataFrame.unionByName, (self.fused(c).select("query_id", "id") for c in channels)).distinct()
-        self._features = cut(ranking.pair_features(pairs, self.items, self.plans))
+        pairs = reduce(DataFrame.unionByName, (self.distinct.fused(c).select("query_id", "id") for c in channels)).distinct()
+        self._features = cut(ranking.pair_features(pairs, self.items, self.distinct.plans))
+
+    def ranked(self, channels: tuple[str, ...] = tuple(CHANNELS), rerank: bool = True) -> DataFrame:
+        """The results of each distinct text, under the ids of that run."""
+        return ranking.final_ranking(self.distinct.fused(channels), self.items, self.distinct.plans, ranking.Settings(rerank=rerank), self._features)
 
     def results(self, channels: tuple[str, ...] = tuple(CHANNELS), rerank: bool = True) -> DataFrame:
-        return ranking.final_ranking(self.fused(channels), self.items, self.plans, ranking.Settings(rerank=rerank), self._features)
+        return self.every(self.ranked(channels, rerank))
 
     def gold(self) -> DataFrame:
         """The section that holds the page of the posting that was asked about."""
@@ -377,9 +399,9 @@ SELECT DISTINCT q.query_id, md5(coalesce(answer, 'The evidence is insufficient.'
 def h02_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with their evidence for a language model."""
     run = Inputs(spark, sf_dir)
-    results = run.results().join(run.items.select("id", "text", F.col("page_start").alias("page"), "section"), "id")
-    found = answers.evidence(results).join(results.select("query_id", "id", "page", "section", "score"), ["query_id", "id"])
-    return answers.prompts(run.queries, found).select("query_id", F.md5("prompt").alias("digest"), "prompt_tokens")
+    results = run.ranked().join(run.items.select("id", "text", F.col("page_start").alias("page"), "section"), "id")
+    found = answers.evidence(results, also=("page", "section", "score"))
+    return run.every(answers.prompts(run.distinct.queries, found).select("query_id", F.md5("prompt").alias("digest"), "prompt_tokens"))
 
 
 H02 = H04.split("an AS (SELECT")[0] + r"""b AS (SELECT query_id, string_agg('[E' || rank || '] chunk_id=' || id || ' page=' || coalesce(page_start::VARCHAR, 'None') || ' section=' || coalesce(section_written, 'None') || ' score=' || round(score::DECIMAL(18, 6), 4)::DECIMAL(18, 4) || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS body

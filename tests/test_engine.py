@@ -5,7 +5,7 @@ import shutil
 import pytest
 
 from chartloom.engine import Engine
-from chartloom.operators import index, jobs
+from chartloom.operators import index, jobs, ranking
 from chartloom.plans import retrieval
 from chartloom.sources import files
 from chartloom.streaming import jobs as streams
@@ -123,3 +123,23 @@ def test_configurations_share_the_texts_they_read(spark):
     run.prepare(*configs)
     assert run._features.count() == run._features.select("query_id", "id").distinct().count() > 0
     assert apart == [sorted(map(tuple, run.results(c).collect())) for c in configs[1:3]]
+
+
+@pytest.mark.parametrize("name", ["h02_prompts", "i11_page_hits", "h04_answers", "i13_quality"])
+def test_equal_texts_are_ranked_once(spark, monkeypatch, name):
+    run, seen, features = retrieval.Inputs(spark, DATA), [], ranking.pair_features
+    asked = [(1, "why was metformin started", "d", 1), (2, "vital signs and weight", "d", 1), (3, "why was metformin started", "d", 2), (4, "", "d", None)]
+    run.queries = spark.createDataFrame(asked, "query_id long, text string, document_id string, page int")
+    monkeypatch.setattr(retrieval, "Inputs", lambda *_: run)
+    monkeypatch.setattr(ranking, "pair_features", lambda pairs, *rest: seen.append(pairs.select("query_id").distinct().count()) or features(pairs, *rest))
+    rows = getattr(retrieval, name)(spark, DATA).collect()
+    assert seen == [2]
+    if name[0] == "i":
+        assert [r.queries for r in rows] == [4]
+        return
+    digest = {r.query_id: r.digest for r in rows}
+    assert len(rows) == len(digest) == (4 if name == "h04_answers" else 3) and digest[1] == digest[3] != digest[2]
+    results = {i: sorted((r["rank"], r.id) for r in run.results().collect() if r.query_id == i) for i in (1, 2, 3)}
+    assert results[1] == results[3] != results[2] and results == {
+        i: sorted((r["rank"], r.id) for r in ranking.final_ranking(run.fused(), run.items, run.plans).collect() if r.query_id == i) for i in (1, 2, 3)
+    }
