@@ -385,9 +385,9 @@ I14 = f"""WITH {_results()}, r AS (SELECT c.page_start, c.encounter_id, c.sectio
 def h04_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive answers with checked citations."""
     run = Inputs(spark, sf_dir)
-    found = cut(answers.evidence(run.results().join(run.items.select("id", "text"), "id")))
-    out = answers.bundles(run.queries, found)
-    return out.select("query_id", F.md5("answer").alias("digest"), F.coalesce(F.size("evidence"), F.lit(0)).alias("evidence"), F.array_join("citations_used", ",").alias("used"), F.array_join("invalid_citations", ",").alias("invalid"), "grounded")
+    found = cut(answers.evidence(run.ranked().join(run.items.select("id", "text"), "id")))
+    out = answers.bundles(run.distinct.queries, found)
+    return run.every(out.select("query_id", F.md5("answer").alias("digest"), F.coalesce(F.size("evidence"), F.lit(0)).alias("evidence"), F.array_join("citations_used", ",").alias("used"), F.array_join("invalid_citations", ",").alias("invalid"), "grounded"))
 
 
 H04 = rf"""WITH {_results()}, ev AS (SELECT r.query_id, r.rank, CASE WHEN length(t.text) > 900 THEN left(t.text, 897) || '...' ELSE t.text END AS text, t.id, t.page_start, t.section_written, r.score FROM results r JOIN (SELECT *, regexp_replace(body_text, '^\s+|\s+$', '', 'g') AS text FROM (SELECT i.id, i.page_start, c.section AS section_written, i.text AS body_text FROM items i JOIN (SELECT DISTINCT chunk_id, section FROM chunks) c ON c.chunk_id = i.id)) t USING (id)),
