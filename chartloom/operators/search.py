@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.functions.text import tokens
-from chartloom.session import cut, spread_join
+from chartloom.session import cut, once, spread_join
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -280,12 +280,12 @@ def exact(texts: DataFrame, needles: DataFrame, k: int = 80) -> DataFrame:
     joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     wanted = needles.where("needle is not null").select("query_id", "needle").distinct()
     forms = wanted.select("needle").distinct().select("needle", tokens(F.col("needle")).alias("t")).where(F.size("t") > 0)
-    # Looked up by its longest word, then compared as a whole.
+    # Looked up by its longest word; one of several words is then compared as a whole, with a text put together once.
     word = F.array_max(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    forms = cut(forms.select(word.alias("word"), F.struct("needle", joined("t").alias("form")).alias("f")).groupBy("word").agg(F.collect_list("f").alias("forms")))
-    rows = texts.select("id", joined("tokens").alias("body"), F.explode(F.array_distinct("tokens")).alias("word"))
-    held = spread_join(rows, forms, ["word"], F.col("id")).select("id", "body", F.explode("forms").alias("f"))
-    found = cut(held.where(F.col("body").contains(F.col("f.form"))).select("id", F.col("f.needle").alias("needle")))
+    forms = cut(forms.select(word.alias("word"), F.struct("needle", joined("t").alias("form"), (F.size("t") == 1).alias("whole")).alias("f")).groupBy("word").agg(F.collect_list("f").alias("forms")))
+    rows = once(texts, body=joined("tokens")).select("id", "body", F.explode(F.array_distinct("tokens")).alias("word"))
+    there = F.filter("forms", lambda f: f["whole"] | F.col("body").contains(f["form"]))
+    found = cut(spread_join(rows, forms, ["word"], F.col("id")).select("id", F.explode(F.transform(there, lambda f: f["needle"])).alias("needle")))
     size = texts.agg(F.count("*").alias("n"))  # one row
     df = found.groupBy("needle").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).select(
         "needle", F.least(1 + F.sqrt(F.col("n") / F.col("df")), F.lit(40.0)).alias("weight"), (F.col("df") < F.greatest(F.lit(80.0), F.col("n") * 0.02)).alias("rare")

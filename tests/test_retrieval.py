@@ -281,3 +281,15 @@ def test_ranking_needs_no_texts_once_pairs_are_read(spark):
     whole = sorted((r["rank"], r.id, r.score) for r in ranking.final_ranking(fused, items, plans).collect())
     assert whole == sorted((r["rank"], r.id, r.score) for r in ranking.final_ranking(fused, None, None, features=features).collect())
     assert [x[1] for x in whole] == ["a", "c", "d"]
+
+
+def test_a_text_is_put_together_once_for_all_its_needles(spark, monkeypatch):
+    seen, real = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: seen.append(df) or real(df))
+    texts = spark.createDataFrame([(1, "renal artery stenosis, artery of the kidney"), (2, "artery renal 1.5"), (3, ""), (4, None)], "id long, text string")
+    needles = spark.createDataFrame([(1, "renal artery"), (1, "artery"), (2, "artery stenosis of"), (2, "1.5"), (3, "!")], "query_id long, needle string")
+    rows = sorted((r.query_id, r.id, r["rank"]) for r in search.exact(texts, needles).collect())
+    assert rows == [(1, 1, 1), (1, 2, 2), (2, 2, 1)]
+    steps = next(df for df in seen if df.columns == ["id", "needle"])._jdf.queryExecution().optimizedPlan().toString()
+    # Below the rows of single words, that is, once per text.
+    assert steps.index("array_join(") > steps.index("explode(array_distinct(")
