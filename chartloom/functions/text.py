@@ -31,6 +31,8 @@ REWRITES = [
     (r"\ba1c\b", "hba1c"),
     (r"\s\s+|[\t\n\x0B\f\r]", " "),
 ]
+# What the next letters must be where one of these can match, looked at before the border of a word, which takes longer.
+_AHEAD = ["", "(?=b)", "(?=t)", "(?=q)", "(?=a1c)", r"(?=\s)"]
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)?"
 
 
@@ -41,9 +43,11 @@ def normalize_whitespace(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Lower case, plain dashes, spaced doses, spelt-out frequencies, single blanks."""
-    out = F.translate(F.lower(text), "—–", "--")
-    for pattern, form in REWRITES:
-        out = F.regexp_replace(out, pattern, form)
+    out = F.lower(text)
+    for dash in "—–":
+        out = F.replace(out, F.lit(dash), F.lit("-"))
+    for (pattern, form), ahead in zip(REWRITES, _AHEAD, strict=True):
+        out = F.regexp_replace(out, f"{ahead}(?:{pattern})", form)
     return F.trim(out)
 
 
@@ -86,16 +90,16 @@ def synonyms_of(terms: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def written_dates(text: Column) -> Column:
     """Sorted distinct dates of a text: ``yyyy-MM-dd`` for days, ``yyyy-MM`` for months; invalid days are dropped."""
+    # Days and months in words are found in one pass: where one stands the other cannot, and neither holds the other.
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?=[jfmasond])\b({_MONTH}\s+(?:\d{{1,2}},\s+\d{{4}}|(?:19|2[0-7])\d{{2}}))\b"), F.lit(1))
+    plain = lambda d: F.regexp_replace(d, r"\s+", " ")
     spelt = F.transform(
-        F.regexp_extract_all(text, F.lit(rf"(?i)\b({_MONTH}\s+\d{{1,2}},\s+\d{{4}})\b"), F.lit(1)),
-        lambda d: F.date_format(F.try_to_date(F.regexp_replace(d, r"\s+", " "), "MMMM d, yyyy"), "yyyy-MM-dd"),
+        found,
+        lambda d: F.when(d.contains(","), F.date_format(F.try_to_date(plain(d), "MMMM d, yyyy"), "yyyy-MM-dd"))
+        .otherwise(F.date_format(F.try_to_date(F.concat(F.lit("1 "), plain(d)), "d MMMM yyyy"), "yyyy-MM")),
     )
-    iso = F.regexp_extract_all(text, F.lit(r"\b((?:19|2[0-7])\d{2}-\d{2}-\d{2})\b"), F.lit(1))
-    month_year = F.transform(
-        F.regexp_extract_all(text, F.lit(rf"(?i)\b({_MONTH}\s+(?:19|2[0-7])\d{{2}})\b"), F.lit(1)),
-        lambda d: F.date_format(F.try_to_date(F.concat(F.lit("1 "), F.regexp_replace(d, r"\s+", " ")), "d MMMM yyyy"), "yyyy-MM"),
-    )
-    return F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.concat(spelt, iso, month_year)))), F.array().cast("array<string>"))
+    iso = F.regexp_extract_all(text, F.lit(r"(?=[12])\b((?:19|2[0-7])\d{2}-\d{2}-\d{2})\b"), F.lit(1))
+    return F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.concat(spelt, iso)))), F.array().cast("array<string>"))
 
 
 def long_date(iso: Column) -> Column:

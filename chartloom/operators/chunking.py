@@ -66,7 +66,7 @@ def section_texts(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """Section rows with ``text`` (their pages' clean_text joined by line breaks) and ``key``, the section's canonical key."""
     own = chunks.where("chunk_type = 'section' and page_start <= page_end")
     spread = own.select("chunk_id", "document_id", F.explode(F.sequence("page_start", "page_end")).alias("page_number"))
-    texts = latest_pages(pages).where("clean_text <> ''").select("document_id", "page_number", "clean_text")
+    texts = latest_pages(pages.select("document_id", "page_number", "clean_text", "loaded_at")).where("clean_text <> ''")
     joined = (
         spread.join(texts, ["document_id", "page_number"]).groupBy("chunk_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "clean_text"))), lambda s: s["clean_text"]), "\n").alias("text"))

@@ -49,8 +49,8 @@ def items_of(chunks: DataFrame, pages: DataFrame, encounters: DataFrame) -> Data
     return texts.join(kinds, ["document_id", "encounter_id"], "left").select(
         F.col("chunk_id").alias("id"), "document_id", grp.alias("grp"), "key", "section", F.lit("section").alias("chunk_type"), F.lit(None).cast("string").alias("table_type"),
         "page_start", "page_end", "encounter_id", "encounter_type", F.get(iso, F.lit(0)).alias("day"), "provider", "text", "norm", tokens_of(F.col("norm")).alias("tokens"), ranking.head(F.col("norm")).alias("head"),
-        F.array_sort(F.array_union(written_dates(F.col("text")), iso)).alias("dates"), F.array_distinct(F.regexp_extract_all("text", F.lit(ICD), F.lit(1))).alias("codes"),
-        F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(ROW))).alias("lab_rows"), F.col("text").rlike(SIGNED).alias("signed"),
+        F.array_sort(F.array_union(written_dates(F.col("text")), iso)).alias("dates"), F.array_distinct(F.regexp_extract_all("text", F.lit("(?=[A-TV-Z])" + ICD), F.lit(1))).alias("codes"),
+        F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(ROW))).alias("lab_rows"), (F.col("text").contains("igned by ") & F.col("text").rlike(SIGNED)).alias("signed"),
     )
 
 

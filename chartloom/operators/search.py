@@ -62,7 +62,7 @@ def _packed(rows: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
 
 
 #: From this share of its pairs of queries and items a term is multiplied as part of a matrix, below it pair by pair.
-DENSE_SHARE = 0.015
+DENSE_SHARE = 0.004
 
 
 class _Best:

@@ -5,7 +5,7 @@ import shutil
 import pytest
 
 from chartloom.engine import Engine
-from chartloom.operators import index, jobs, ranking
+from chartloom.operators import evaluation, index, jobs, ranking
 from chartloom.plans import retrieval
 from chartloom.sources import files
 from chartloom.streaming import jobs as streams
@@ -143,3 +143,18 @@ def test_equal_texts_are_ranked_once(spark, monkeypatch, name):
     assert results[1] == results[3] != results[2] and results == {
         i: sorted((r["rank"], r.id) for r in ranking.final_ranking(run.fused(), run.items, run.plans).collect() if r.query_id == i) for i in (1, 2, 3)
     }
+
+
+def test_quality_ranks_only_texts_with_a_gold_candidate(spark, monkeypatch):
+    run, planned, features = retrieval.Inputs(spark, DATA), [], ranking.pair_features
+    text = "why was metformin started"
+    run.queries = spark.createDataFrame([(1, text, "d", 1)], "query_id long, text string, document_id string, page int")
+    third = run.results().where("rank = 3").join(run.items.select("id", "document_id", "page_start"), "id").first()
+    other = retrieval.Inputs(spark, DATA)
+    asked = [(1, text, third.document_id, third.page_start), (2, "vital signs and weight", "d", 1), (3, text, "d", 2), (4, "", "d", None)]
+    other.queries = spark.createDataFrame(asked, "query_id long, text string, document_id string, page int")
+    expected = evaluation.quality(evaluation.first_match(other.results(), other.gold(), other.queries)).first()
+    assert expected.queries == 4 and expected.missed == 3 and expected.hit_3 == 0.25
+    monkeypatch.setattr(retrieval, "Inputs", lambda *_: other)
+    monkeypatch.setattr(ranking, "pair_features", lambda pairs, items, plans, *rest: planned.append([r.text for r in plans.collect()]) or features(pairs, items, plans, *rest))
+    assert retrieval.i13_quality(spark, DATA).first() == expected and planned == [[text]]
